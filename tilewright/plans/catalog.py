@@ -1,0 +1,6 @@
+"""Every query of the library by name, with the SQL that it must agree with."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
