@@ -6,14 +6,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontaminate, exact, packing, sharding
-from tilewright.llm._common import read
+from tilewright.llm import chat, decontaminate, exact, language, packing, quality, sharding, simhash, toxicity
+from tilewright.llm._common import fold, read
 
 
 def _hex(text: object) -> object:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, read(spark, sf_dir, "labels"), fold(F.col("id"), 3) != 1)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.classify(docs, read(spark, sf_dir, "labels"), fold(F.col("id"), 5) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    names, prototypes = language.learn(docs, fold(F.col("id"), 5) != 0)
+    return language.identify(docs, names, prototypes).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -59,6 +82,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
+    "op3_toxicity": op3_toxicity,
+    "op4_simhash": op4_simhash,
+    "op6_language": op6_language,
     "op5_packing": op5_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
