@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontaminate, exact, language, packing, quality, sharding, simhash, toxicity
+from tilewright.llm import chat, decontaminate, exact, language, packing, quality, sharding, simhash, substring, toxicity
 from tilewright.llm._common import fold, read
 
 
@@ -20,6 +20,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.substring_dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.classify(docs, read(spark, sf_dir, "labels"), fold(F.col("id"), 5) != 0)
@@ -83,6 +87,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_simhash": op4_simhash,
     "op6_language": op6_language,
@@ -94,6 +99,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_substring_dedup": r"""
+        with d as (select doc_id, case when w is null or w = [''] then []::varchar[] else w end as w
+          from (select doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') as w from documents)),
+        p as (select doc_id, unnest(range(1, len(w) - 18)) as i, unnest(list_transform(range(1, len(w) - 18), lambda k: sha256(array_to_string(w[k:k + 19], ' ')))) as s
+          from d where len(w) >= 20),
+        r as (select doc_id, i from (select *, row_number() over (partition by s order by doc_id, i) as nth from p) where nth > 1),
+        gone as (select doc_id, list(distinct i + k) as g from (select doc_id, i, unnest(range(0, 20)) as k from r) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(len(g), 0)::bigint as n_removed,
+          sha256(array_to_string(case when g is null then w else list_filter(w, lambda x, k: not list_contains(g, k)) end, ' ')) as kept_sha256
+        from d left join gone using (doc_id)
+    """,
     "op7_exact_dedup": r"""
         with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
         select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
