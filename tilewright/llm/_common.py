@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,34 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def same_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """Just these columns, under private names, so that no other column can clash."""
-    return docs.select(*(docs[c].alias(f"_{k}") for k, c in enumerate(columns)))
+def raw_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def without(docs: DataFrame, gone: DataFrame, again: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs, all its columns, without the rows that gone names as (id, th), and with one of those that again names. th is the raw text's hash."""
+    own, th = docs[id_col], raw_hash(docs[text_col])
+
+    def named(rows: DataFrame) -> tuple[DataFrame, Column]:
+        rows = rows.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th"))
+        return rows, own.eqNullSafe(rows["_gone_id"]) & (th == rows["_gone_th"])
+
+    rows, same = named(gone)
+    left = docs.join(rows, same, "left_anti")
+    if again.isEmpty():
+        return left
+    rows, same = named(again)
+    one = docs.join(rows, same, "left_semi").withColumn("_gone_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return left.join(rows, same, "left_anti").unionByName(one.dropDuplicates([id_col, "_gone_th"]).drop("_gone_th"))
+
+
+def filtered(docs: DataFrame, text_col: str, keep: Callable[[], Callable[[pa.Array], np.ndarray]]) -> DataFrame:
+    """docs, all its columns, with the rows for which keep says so. keep: makes, once a task, a function from a column of texts to booleans."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ask = keep()
+        for batch in batches:
+            yield batch.filter(pa.array(ask(column(batch, at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,6 @@ benchmark hits nothing; an empty table gives no rows. Null item ids are left out
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import column, written
+from tilewright.llm._common import column, filtered, written
 
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 WINDOW = 10
@@ -153,5 +152,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return got.drop("_copy")
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """docs, all its columns, without the rows that hold a window of an item. Blocks of the benchmark filter one after the other."""
+    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def keep(sent: object = sent) -> object:
+            search = machines(sent.value, window)
+            return lambda col: [not any(next(m.search(ws), None) for m in search) for ws in map(words, col.to_pylist())]
+
+        docs = filtered(docs, text_col, keep)
+    return docs

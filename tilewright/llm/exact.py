@@ -12,14 +12,12 @@ ids alone keeps one row and has keep_id null. An empty table gives no rows. Othe
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import buckets, mix, written
+from tilewright.llm._common import buckets, mix, raw_hash, without, written
 
 
 def normalised(text: Column) -> Column:
@@ -96,19 +94,20 @@ class BinaryFuse:
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, key, n): how often each pair of id and class occurs."""
+    """(id, th, digest, n): how often each triple of id, hash of the raw text, and class occurs."""
     digest = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
     return (
-        docs.select(F.col(id_col).alias("id"), F.unhex(digest).alias("digest"))
-        .groupBy("id", "digest")
+        docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.unhex(digest).alias("digest"))
+        .groupBy("id", "th", "digest")
         .agg(F.count(F.lit(1)).alias("n"))
     )
 
 
 def _classes(rows: DataFrame, n_buckets: int) -> DataFrame:
-    # The filters' key is 64 bits of the digest; a bucket is another function of it.
+    # The filters' key is 64 bits of the digest; a bucket is another function of it. The row that leads a class is the least by id, nulls last.
     key = F.conv(F.hex(F.substring("digest", 1, 8)), 16, -10).cast("long")
-    out = rows.groupBy("digest").agg(F.min("id").alias("keep"), F.sum("n").alias("size"))
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    out = rows.groupBy("digest").agg(lead.alias("lead"), F.sum("n").alias("size"))
     return out.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(n_buckets)).cast("int"))
 
 
@@ -136,52 +135,54 @@ def screen(incoming: DataFrame, snapshot_filters: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows as (id, digest, n) and the classes as (digest, keep, size, same). incoming: true for rows of the new batch, false for those of the snapshot. same: false for a class of equal digests whose bytes differ, which is left as two."""
+    """The rows as (id, th, digest, n) and the classes as (digest, lead, size). incoming: a condition on id, true for rows of the new batch, false for those of the snapshot. Two representatives of one digest whose bytes differ stay apart."""
     n_buckets = buckets(docs.sparkSession)
     rows = written(keyed(docs, id_col, text_col).withColumn("new", F.coalesce(incoming, F.lit(True))), "exact-rows")
     old = written(_classes(rows.where("not new"), n_buckets), "exact-snapshot")
     made = written(filters(old), "exact-filters")
-    new = written(screen(_classes(rows.where("new"), n_buckets), made), "exact-screened")
-    hits = written(
-        new.where("maybe").select("digest", F.col("keep").alias("new_keep"), F.col("size").alias("new_size")).join(old.select("digest", "keep", "size"), "digest"), "exact-hits"
-    )
+    new = _classes(rows.where("new"), n_buckets)
+    asked = new.select("digest", "key", "bucket")
+    maybe = written(screen(asked, made).where("maybe").select("digest"), "exact-positives")
+    new = written(new, "exact-new")
+    hits = new.join(maybe, "digest").select("digest", F.col("lead").alias("new_lead"), F.col("size").alias("new_size")).join(old.select("digest", "lead", "size"), "digest")
+    hits = written(hits, "exact-hits")
     # Byte checks: the normalised texts of the two representatives, side by side.
-    ends = hits.where("keep is not null and new_keep is not null").select("digest", F.explode(F.array("keep", "new_keep")).alias("id"))
-    texts = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).cast("binary").alias("bytes"))
-    seen = (
-        texts.join(ends, "id")
-        .where(F.unhex(F.sha2("bytes", 256)) == F.col("digest"))
-        .groupBy("digest")
-        .agg((F.min("bytes") == F.max("bytes")).alias("same"))
-    )
-    hits = written(hits.join(seen, "digest", "left").withColumn("same", F.coalesce("same", F.lit(True))), "exact-checked")
-    joint = hits.where("same").select("digest", F.least("keep", "new_keep").alias("keep"), (F.col("size") + F.col("new_size")).alias("size"))
-    alone = old.select("digest", "keep", "size").unionByName(new.where("not maybe").select("digest", "keep", "size"))
-    missed = new.where("maybe").select("digest", "keep", "size")
-    out = alone.unionByName(missed).join(hits.where("same").select("digest"), "digest", "left_anti").unionByName(joint)
-    return rows, out
+    ends = hits.select("digest", F.explode(F.array("lead", "new_lead")).alias("e")).select("digest", F.col("e.id").alias("i"), F.col("e.th").alias("h"))
+    texts = docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    bytes_ = normalised(F.col("text")).cast("binary")
+    seen = texts.join(ends, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).groupBy("digest").agg((F.min(bytes_) == F.max(bytes_)).alias("same"))
+    hits = written(hits.join(seen.where("same"), "digest", "left_semi"), "exact-checked")
+    joint = hits.select("digest", F.least("lead", "new_lead").alias("lead"), (F.col("size") + F.col("new_size")).alias("size"))
+    alone = old.select("digest", "lead", "size").unionByName(new.select("digest", "lead", "size"))
+    return rows, alone.join(hits.select("digest"), "digest", "left_anti").unionByName(joint)
+
+
+def _middle(docs: DataFrame, id_col: str) -> Column:
+    low, high = docs.agg(F.min(id_col).cast("double"), F.max(id_col).cast("double")).first()
+    return F.col("id").cast("double") > ((low or 0) + (high or 0)) / 2
+
+
+def _leads() -> Column:
+    return F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th"))
 
 
 def exact_dedup(docs: DataFrame, incoming: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a row of docs: (id_col, keep_id, group_size, kept, text_sha256). incoming: true for rows of the new batch; by default ids above the middle of their range are the new batch. The result doesn't depend on it."""
-    if incoming is None:
-        low, high = docs.agg(F.min(id_col).cast("double"), F.max(id_col).cast("double")).first()
-        incoming = F.col("id").cast("double") > ((low or 0) + (high or 0)) / 2
-    rows, groups = classes(docs, incoming, id_col, text_col)
-    found = rows.join(groups, "digest")
-    first = F.col("id").eqNullSafe(F.col("keep"))
-    each = F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k")
-    return found.select("id", "keep", "size", "digest", first.alias("first"), each).select(
+    """One row a row of docs: (id_col, keep_id, group_size, kept, text_sha256). incoming: a condition on ``id``, true for rows of the new batch; by default ids above the middle of their range are the new batch. The result doesn't depend on it."""
+    rows, groups = classes(docs, _middle(docs, id_col) if incoming is None else incoming, id_col, text_col)
+    each = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k")
+    return rows.join(groups, "digest").select("id", "lead", "size", "digest", _leads().alias("first"), each).select(
         F.col("id").alias(id_col),
-        F.col("keep").alias("keep_id"),
+        F.col("lead.id").alias("keep_id"),
         F.col("size").alias("group_size"),
         (F.col("first") & (F.col("k") == 1)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def sha256(text: str | None) -> str:
-    """The digest of one text, for tests and callers."""
-    import re
-
-    return hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", text or "").encode()).hexdigest()
+def drop_copies(docs: DataFrame, incoming: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all its columns, with one row of each class."""
+    rows, groups = classes(docs, _middle(docs, id_col) if incoming is None else incoming, id_col, text_col)
+    found = rows.join(groups, "digest")
+    gone = written(found.where(~_leads()).select("id", "th"), "exact-gone")
+    again = written(found.where(_leads() & (F.col("n") > 1)).select("id", "th"), "exact-again")
+    return without(docs, gone, again, id_col, text_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import SpanHash, column, mix, slices, sums, utf8, written
+from tilewright.llm._common import SpanHash, column, filtered, mix, slices, sums, utf8, written
 from tilewright.llm._text import KINDS
 
 BITS = 20
@@ -101,6 +101,12 @@ def scores(raw: np.ndarray, offsets: np.ndarray, weights: np.ndarray, bits: int
     return 1 / (1 + np.exp(-np.clip(dot + weights[0], -35, 35)))
 
 
+def of_column(col: pa.Array, weights: np.ndarray) -> np.ndarray:
+    raw, offsets = utf8(col)
+    out = [scores(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], weights) for a, b in slices(offsets)]
+    return np.concatenate(out) if out else np.empty(0)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, id_col: str, text_col: str, most: int) -> DataFrame:
     """(y, text) of at most so many labelled rows, as a table. The ids chosen are bounded by that, and so may be broadcast."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & learn_from)
@@ -124,11 +130,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = sent.value
         for batch in batches:
-            raw, offsets = utf8(column(batch, 1))
-            out = [scores(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], w) for a, b in slices(offsets)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(of_column(column(batch, 1), sent.value), pa.float64())], names=["id", "score"])
 
     kind = dict(docs.dtypes)[id_col]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
@@ -138,3 +141,10 @@ def classify(docs: DataFrame, labels: DataFrame, learn_from: Column | None = Non
     """Fit on the labelled rows that learn_from (a condition on ``id``) admits, and score every row."""
     rows = sample(docs, labels, label, F.lit(True) if learn_from is None else learn_from, id_col, text_col, most)
     return score(docs, train(rows), id_col, text_col)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE, least: float = 0.5) -> DataFrame:
+    """docs, all its columns, with the rows that score at least so much."""
+    rows = sample(docs, labels, label, F.lit(True) if learn_from is None else learn_from, id_col, text_col, most)
+    sent = docs.sparkSession.sparkContext.broadcast(train(rows))
+    return filtered(docs, text_col, lambda: lambda col: of_column(col, sent.value) >= least)

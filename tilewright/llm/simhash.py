@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import column, written
+from tilewright.llm._common import column, raw_hash, without, written
 from tilewright.llm.components import components
 
 SHINGLE = 3
@@ -62,12 +62,12 @@ def majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(id, fp): fp as a signed long."""
+    """(id, th, fp): fp as a signed long, th the raw text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, hashes, counts, held = [], [], [], 0
-            for text in column(batch, 1):
+            for text in column(batch, 2):
                 own = np.array(shingle_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"), size), np.uint64)
                 hashes.append(own)
                 counts.append(len(own))
@@ -78,10 +78,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if counts:
                 out.append(majorities(np.concatenate(hashes), np.array(counts)))
             found = np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=["id", "th", "fp"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, th bigint, fp bigint")
 
 
 def grid_points(fp: Column, segments: int = SEGMENTS) -> Column:
@@ -123,12 +123,27 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
+def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """(fp, lead) for each fingerprint of rows (id, th, fp): lead is the least (none, id, th) among the rows reachable by links, null ids last."""
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    prints = written(rows.groupBy("fp").agg(lead.alias("lead")), "prints")
+    groups = written(components(links(prints, distance, segments)), "components")
+    rooted = prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
+    return rooted.select("fp", "root").join(lowest, "root").select("fp", "lead")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """(id_col, fp, component): component is the smallest id among the texts reachable by links."""
     rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    prints = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "prints")
-    groups = written(components(links(prints, distance, segments)), "components")
-    rooted = prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    named = rooted.join(lowest, "root").select("fp", "component")
-    return rows.join(named, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return rows.join(grouped(rows, distance, segments), "fp").select(F.col("id").alias(id_col), "fp", F.col("lead.id").alias("component"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """docs, all its columns, with one row of each component: that of the smallest id."""
+    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    found = rows.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(grouped(rows, distance, segments), "fp")
+    leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th"))
+    gone = written(found.where(~leads).select("id", "th"), "near-gone")
+    again = written(found.where(leads & (F.col("n") > 1)).select("id", "th"), "near-again")
+    return without(docs, gone, again, id_col, text_col)
