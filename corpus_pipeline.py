@@ -4,17 +4,26 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tilewright.llm import decontaminate, exact, packing
+from tilewright.llm import decontaminate, exact, packing, quality, simhash
 from tilewright.llm._common import read, written
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labelled ones, rejects go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one document stays."""
+    """Of equal texts, the document with the smallest id stays."""
     return exact.drop_copies(docs)
 
 
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints (word shingles of three, two bits), the document with the smallest id stays."""
+    return simhash.drop_near_copies(docs)
+
+
 def _leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
     return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
@@ -25,13 +34,20 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES = [("exact dedup", _exact), ("benchmark decontamination", _leaks), ("packing", _pack)]
+STAGES = [
+    ("quality classifier", _quality),
+    ("exact dedup", _exact),
+    ("SimHash near-dedup", _near),
+    ("benchmark decontamination", _leaks),
+    ("packing", _pack),
+]
 
-#: Learnt scores and hashes that SQL lacks decide here; tests hold each stage against a brute-force version.
+#: A learnt score and 64-bit hashes decide here, which SQL doesn't express; tests hold the stages against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each result written and reread as the next one's input."""
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
