@@ -1,6 +1,540 @@
-"""Every query of the library by name, with the SQL that it must agree with."""
+"""Every query of the library by name, with the SQL that it must agree with. Floats are rounded alike on both sides."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.functions import names, pixels
+from tilewright.functions.vectors import mean_vectors, softmax
+from tilewright.operators import cluster, compare, consensus, graph, models, samples, smooth, tiles
+from tilewright.operators import tree as trees
+from tilewright.plans import fixtures as fx
+from tilewright.sources import writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _round(c: str | Column, digits: int = 6) -> Column:
+    return F.round(F.col(c) if isinstance(c, str) else c, digits)
+
+
+def _text(vector: str | Column, digits: int = 5) -> Column:
+    """A vector as text, so that values hash alike."""
+    return F.array_join(F.transform(vector, lambda v: F.format_string(f"%.{digits}f", F.round(v, digits) + F.lit(0.0))), ",")
+
+
+def _sql_text(vector: str, digits: int = 5) -> str:
+    return f"array_to_string(list_transform({vector}, lambda v: printf('%.{digits}f', round(v, {digits}) + 0.0)), ',')"
+
+
+# Tiles
+
+
+@query(f"with {fx.PATCHES} select slide, x, y, row_number() over (partition by slide order by x, y) - 1 as n from patch")
+def patch_numbering(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.number_tiles(fx.patches(spark, d).select("slide", "x", "y")).select("slide", "x", "y", F.col("n").cast("long").alias("n"))
+
+
+@query(
+    """with s as (select 'P' || s_suppkey::varchar as slide, (s_suppkey % 7)::int as nx, (s_suppkey % 5)::int as ny from supplier)
+    select slide, x, y from s, lateral (select unnest(range(0, nx))::int as x) a, lateral (select unnest(range(0, ny))::int as y) b"""
+)
+def tile_grid(spark: SparkSession, d: str) -> DataFrame:
+    slides = fx.read(spark, d, "supplier").select(F.concat(F.lit("P"), F.col("s_suppkey").cast("string")).alias("slide"), (F.col("s_suppkey") % 7).cast("int").alias("nx"), (F.col("s_suppkey") % 5).cast("int").alias("ny"))
+    return tiles.tile_grid(slides)
+
+
+@query(
+    f"""with {fx.PATCHES}, p as (select format('{{}}.PDL1.mrxs#{{}}-level16-{{}}-{{}}.jpg', slide, n, x, y) as path from patch)
+    select path, regexp_extract(path, '^(.+)#', 1) as slide, regexp_extract(path, '#([0-9]+)-', 1)::int as n, regexp_extract(path, 'level([0-9]+)-', 1)::int as level,
+      regexp_extract(path, '-([0-9]+)-[0-9]+[.]jpg$', 1)::int as x, regexp_extract(path, '-([0-9]+)[.]jpg$', 1)::int as y from p"""
+)
+def patch_name_parse(spark: SparkSession, d: str) -> DataFrame:
+    named = tiles.named(fx.patches(spark, d).withColumn("slide", F.concat("slide", F.lit(".PDL1.mrxs"))))
+    return named.select("path", names.parsed(F.concat(F.lit("file:/a%23/"), F.replace(F.col("path"), F.lit("#"), F.lit("%23")))).alias("t")).select("path", "t.*")
+
+
+@query("select p_partkey as id, p_size as tissue, 100 as area from part where p_size > 0.25 * 100")
+def tissue_filter(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.with_tissue(fx.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("tissue"), F.lit(100).alias("area")))
+
+
+@query(
+    """select user_id, count(*) filter (v between -1 + 2 * 85 / 256.0::double and 1) > 10 as positive
+    from (select user_id, (value::decimal(18, 2)::double % 300) / 100 - 1.5 as v from events) group by 1"""
+)
+def stain_filter(spark: SparkSession, d: str) -> DataFrame:
+    values = fx.read(spark, d, "events").select("user_id", (F.col("value").cast("decimal(18,2)").cast("double") % 300 / 100 - 1.5).alias("v"))
+    return values.groupBy("user_id").agg(F.collect_list("v").alias("v")).select("user_id", pixels.stained(F.col("v")).alias("positive"))
+
+
+_INVERSE = pixels._inverse(pixels.STAINS)
+
+
+@query(
+    f"""select p_partkey as id, round(-ln(r / 255.0 + 2) * {_INVERSE[0][2]!r}::double - ln(g / 255.0 + 2) * {_INVERSE[1][2]!r}::double - ln(b / 255.0 + 2) * {_INVERSE[2][2]!r}::double, 6) as dab,
+      round(0.2125::double * r + 0.7154::double * g + 0.0721::double * b, 6) as grey, round(r / 127.5::double - 1, 6) as scaled
+    from (select p_partkey, (p_partkey % 256)::double as r, (p_size * 5 % 256)::double as g, (p_partkey * 7 % 256)::double as b from part)"""
+)
+def stain_channels(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.read(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 256).cast("double").alias("r"), (F.col("p_size") * 5 % 256).cast("double").alias("g"), (F.col("p_partkey") * 7 % 256).cast("double").alias("b"))
+    r, g, b = F.col("r"), F.col("g"), F.col("b")
+    return p.select(F.col("p_partkey").alias("id"), _round(pixels.stain(r, g, b, 2)).alias("dab"), _round(pixels.grey(r, g, b)).alias("grey"), _round(pixels.scaled(r)).alias("scaled"))
+
+
+@query(f"with {fx.PATCHES}, {fx.GRID_TILES} select t.slide, t.n, p.label from tile t join patch p on t.n = p.n and replace(t.slide, 'G', 'S') = p.slide where t.positive = 1")
+def positive_features(spark: SparkSession, d: str) -> DataFrame:
+    chosen = fx.grid_tiles(spark, d).where("positive = 1").select("slide", "n")
+    features = fx.patches(spark, d).withColumn("slide", F.replace(F.col("slide"), F.lit("S"), F.lit("G")))
+    return chosen.join(features, ["slide", "n"]).select("slide", "n", "label")
+
+
+@query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) as r from orders) where (r - 1) % 50 = 0")
+def systematic_sample(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.systematic_sample(fx.read(spark, d, "orders").select("o_orderkey"), ["o_orderkey"])
+
+
+@query("select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) as r from orders) where r <= 3")
+def prefix_of_each(spark: SparkSession, d: str) -> DataFrame:
+    return tiles.first_of_each(fx.read(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], 3)
+
+
+@query(f"with {fx.PATCHES} select slide, n from patch where slide in (select slide from patch where label = 3 and n < 5)")
+def slide_subset(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.patches(spark, d).select("slide", "n", "label")
+    return tiles.on_slides(p, p.where("label = 3 and n < 5")).select("slide", "n")
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_orderkey is not null)")
+def pending_outputs(spark: SparkSession, d: str) -> DataFrame:
+    done = fx.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return tiles.pending(fx.read(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
+
+
+_WORDS = "word as (select l_suppkey as image, ((l_partkey * 7 + l_orderkey * 3) % 256)::int as w from lineitem)"
+
+
+def _words(spark: SparkSession, d: str) -> DataFrame:
+    return fx.read(spark, d, "lineitem").select(F.col("l_suppkey").alias("image"), ((F.col("l_partkey") * 7 + F.col("l_orderkey") * 3) % 256).cast("int").alias("word"))
+
+
+@query(
+    f"""with {_WORDS}, c as (select image, w, count(*) as n from word group by 1, 2), k as (select unnest(range(0, 256))::int as w), i as (select distinct image from word)
+    select i.image, array_to_string(list(coalesce(c.n, 0)::varchar order by k.w), ',') as histogram from i cross join k left join c on c.image = i.image and c.w = k.w group by 1"""
+)
+def visual_word_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.word_histograms(_words(spark, d), "image").select("image", F.array_join("histogram", ",").alias("histogram"))
+
+
+@query(
+    f"""with {_WORDS}, m as (select image, min(w)::double as a, max(w)::double as b from word group by 1),
+    e as (select image, case when a = b then a - 0.5 else a end as lo, case when a = b then b + 0.5 else b end as hi from m),
+    g as (select word.image, w, lo, (hi - lo) / 255 as step, least(floor((w - lo) / (hi - lo) * 255)::int, 254) as i from word join e using (image)),
+    f as (select *, i - case when w < i * step + lo then 1 else 0 end as j from g),
+    h as (select image, j + case when j < 254 and w >= (j + 1) * step + lo then 1 else 0 end as bin, count(*) as n from f group by 1, 2),
+    k as (select unnest(range(0, 255))::int as bin), s as (select image from m)
+    select s.image, array_to_string(list(coalesce(h.n, 0)::varchar order by k.bin), ',') as histogram from s cross join k left join h on h.image = s.image and h.bin = k.bin group by 1"""
+)
+def visual_word_histogram_compat(spark: SparkSession, d: str) -> DataFrame:
+    return pixels.word_histograms(_words(spark, d), "image", compat=True).select("image", F.array_join("histogram", ",").alias("histogram"))
+
+
+# Clusters
+
+
+@query(
+    f"""with {fx.PATCHES}, flat as (select slide, label, unnest(features) as v, generate_subscripts(features, 1) as pos from patch),
+    m as (select slide, label, pos, avg(v) as m, count(*) as population from flat group by 1, 2, 3)
+    select slide, label, max(population) as population, {_sql_text("list(m order by pos)")} as mean from m group by 1, 2"""
+)
+def label_mean_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return mean_vectors(fx.patches(spark, d), ["slide", "label"]).select("slide", "label", "population", _text("features").alias("mean"))
+
+
+@query(f"with {fx.ASSIGNED} select slide, n, c1, c2, c3, round(d1, 6) as d1, round(d2, 6) as d2, round(d3, 6) as d3, {_sql_text('dist')} as dist from assigned")
+def nearest_centroids_top3(spark: SparkSession, d: str) -> DataFrame:
+    return fx.assigned(spark, d).select("slide", "n", "c1", "c2", "c3", _round("d1").alias("d1"), _round("d2").alias("d2"), _round("d3").alias("d3"), _text("dist").alias("dist"))
+
+
+_SWAP = "select slide, n, case when {0} then c2 when {1} then c3 else c1 end as c1, case when {0} then c1 else c2 end as c2, case when {0} then c3 when {1} then c1 else c3 end as c3 from assigned"
+
+
+@query(f"with {fx.ASSIGNED} " + _SWAP.format("(c1 >= 3 and c2 < 3 and d2 - d1 <= 1)", "(c1 >= 3 and c3 < 3 and d3 - d1 <= 1)"))
+def labelled_preference(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.labelled_preference(fx.assigned(spark, d), 3).select("slide", "n", "c1", "c2", "c3")
+
+
+@query(f"with {fx.ASSIGNED} " + _SWAP.format("(c1 >= 3 and c2 < 3 and d2 - d1 <= 1)", "(c1 >= 3 and c3 < 3 and d2 - d1 > 1 and d3 - d1 <= 1)"))
+def labelled_preference_compat(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.labelled_preference(fx.assigned(spark, d), 3, compat=True).select("slide", "n", "c1", "c2", "c3")
+
+
+_SEEDED = """, seed as (select (row_number() over (order by slide, n) - 1)::int as id, features from patch where label = 8 and slide = 'S0'),
+    every as (select id, features from seed union all select (id + (select max(id) + 1 from seed))::int, features from centroid),
+    r as (select p.slide, p.n, e.id, list_distance(p.features, e.features) as d, row_number() over (partition by p.slide, p.n order by list_distance(p.features, e.features), e.id) as r
+      from patch p, every e where p.positive = 1),
+    assigned as (select slide, n, max(id) filter (r = 1) as c1, max(id) filter (r = 2) as c2, max(id) filter (r = 3) as c3, max(d) filter (r = 1) as d1,
+      max(d) filter (r = 2) as d2, max(d) filter (r = 3) as d3, (select max(id) + 1 from seed) as k from r group by 1, 2) """
+
+
+@query(f"with {fx.CENTROIDS}{_SEEDED}" + _SWAP.format("(c1 >= k and c2 < k and d2 - d1 <= 1)", "(c1 >= k and c3 < k and d3 - d1 <= 1)"))
+def semi_supervised_clusters(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.patches(spark, d)
+    seeds = tiles.numbered(p.where("label = 8 and slide = 'S0'").select("slide", "n", "features"), ["slide", "n"], "id")
+    found = cluster.nearest(p.where("positive = 1"), cluster.seeded(seeds, fx.centroids(spark, d)))
+    return cluster.labelled_preference(found, seeds.count()).select("slide", "n", "c1", "c2", "c3")
+
+
+@query(f"with {fx.ASSIGNED}, e as (select slide, n, list_transform(dist, lambda v: exp(d1 - v)) as e from assigned) select slide, n, {_sql_text('list_transform(e, lambda v: v / list_sum(e))')} as p from e")
+def softmax_distances(spark: SparkSession, d: str) -> DataFrame:
+    return fx.assigned(spark, d).select("slide", "n", _text(softmax(F.transform("dist", lambda v: -v))).alias("p"))
+
+
+@query(
+    f"""with {fx.ASSIGNED}, t as (select a.slide, a.x, a.y, a.label from patch a), s as (select unnest([-1, 0, 1]) as i), w as (
+      select a.slide, a.x, a.y, i.i, j.i as j, b.label from t a, s i, s j, t b where b.slide = a.slide and b.x = a.x + i.i and b.y = a.y + j.i)
+    select slide, x, y, array_to_string(list(label::varchar order by i, j), ',') as around from w group by 1, 2, 3 having count(*) = 9"""
+)
+def neighbourhood_features(spark: SparkSession, d: str) -> DataFrame:
+    found = smooth.neighbourhoods(fx.patches(spark, d), "label")
+    return found.select("slide", "x", "y", F.array_join(F.transform("around", lambda v: v.cast("string")), ",").alias("around"))
+
+
+@query(
+    f"""with {fx.ASSIGNED}, f as (select slide, n, c1, label, list_distance(p.features, c.features) as d, c1 as k from (select a.*, p.features from assigned a join patch p using (slide, n)) p join (
+      select k, list(m order by pos) as features from (select c1 as k, pos, avg(v) as m from (select a.c1, unnest(p.features) as v, generate_subscripts(p.features, 1) as pos from assigned a join patch p using (slide, n)) group by 1, 2) group by 1) c on c.k = p.c1),
+    m as (select k, list(m order by pos) as features from (select c1 as k, pos, avg(v) as m from (select a.c1, unnest(p.features) as v, generate_subscripts(p.features, 1) as pos from assigned a join patch p using (slide, n)) group by 1, 2) group by 1),
+    s as (select k, avg(d) as s from f group by 1)
+    select round(avg(r), 6) as index from (select a.k, max((x.s + y.s) / list_distance(a.features, b.features)) as r from m a join m b on a.k <> b.k join s x on x.k = a.k join s y on y.k = b.k group by 1)"""
+)
+def davies_bouldin(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.davies_bouldin(fx.assigned(spark, d), "c1").select(_round("index").alias("index"))
+
+
+@query("select p_partkey from part where p_size % 2 = 1 and p_partkey % 2 = 1 and (p_size // 2) % 2 = 0 and (p_partkey // 2) % 2 = 1")
+def binary_cluster_membership(spark: SparkSession, d: str) -> DataFrame:
+    bits = fx.read(spark, d, "part").selectExpr("p_partkey", "p_size % 2 as assigned", "p_partkey % 2 as b1", "(p_size div 2) % 2 as b2", "(p_partkey div 2) % 2 as b3")
+    return cluster.binary_members(bits, 5, ["b1", "b2", "b3"]).select("p_partkey")
+
+
+# Smoothing
+
+
+@query(f"with {fx.GRID_TILES} select g.slide, g.x, g.y, (case when t.slide is null then 0 when positive = 0 then 1 else c1 + 2 end)::int as code from grid g left join tile t using (slide, x, y)")
+def preview_codes_smoothing(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.grid_tiles(spark, d)
+    return smooth.preview(t, fx.grid_cells(t))
+
+
+@query(f"with {fx.GRID_TILES} select g.slide, g.x, g.y, (case when t.slide is null then 0 when c1 = 0 and c2 = 0 then 1 else c1 + 2 end)::int as code from grid g left join tile t using (slide, x, y)")
+def preview_codes_render_compat(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.grid_tiles(spark, d)
+    return smooth.preview(t, fx.grid_cells(t), render=True, compat=True)
+
+
+_COLOURS = "colour(code, r, g, b) as (values " + ", ".join(f"({c}, {r}::double, {g}::double, {b}::double)" for c, r, g, b in smooth.colour_rows()) + ")"
+
+
+@query(f"with {fx.GRID_TILES}, {_COLOURS}, p as (select g.slide, g.x, g.y, (case when t.slide is null then 0 when positive = 0 then 1 else c1 + 2 end)::int as code from grid g left join tile t using (slide, x, y)) select slide, x, y, p.code, r, g, b from p left join colour using (code)")
+def preview_colours(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.grid_tiles(spark, d)
+    return smooth.coloured(smooth.preview(t, fx.grid_cells(t))).select("slide", "x", "y", "code", "r", "g", "b")
+
+
+@query(
+    f"""with {fx.GRID_TILES}, p as (select g.slide, g.x, g.y, case when t.slide is null then 0 when positive = 0 then 1 else c1 + 2 end as code from grid g left join tile t using (slide, x, y)),
+    s as (select unnest([-1, 0, 1]) as i), w as (select a.slide, a.x, a.y, a.code as mine, b.code from p a, s i, s j, p b where b.slide = a.slide and b.x = a.x + i.i and b.y = a.y + j.i and a.x between 1 and 18 and a.y between 1 and 18),
+    lonely as (select slide, x, y, mine from w group by 1, 2, 3, 4 having mine <> 0 and count(*) filter (code = mine) = 1),
+    counted as (select slide, x, y, code, count(*) as k from w semi join lonely using (slide, x, y) group by 1, 2, 3, 4),
+    best as (select * from (select *, row_number() over (partition by slide, x, y order by k desc, code) as r from counted) where r = 1 and k >= 5)
+    select t.slide, t.n, t.x, t.y, t.positive, (case when (b.code in (0, 1) and b.k >= 7) or b.code - 2 = t.c2 or b.code - 2 = t.c3 then b.code - 2 else t.c1 end)::int as c1, t.c2, t.c3
+    from tile t left join best b using (slide, x, y)"""
+)
+def smoothing(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.grid_tiles(spark, d)
+    return smooth.smoothed(t, fx.grid_cells(t)).select("slide", "n", "x", "y", "positive", "c1", "c2", "c3")
+
+
+# Comparison
+
+
+@query(f"with {fx.ASSIGNED}, k as (select unnest(range(0, (select max(c1) + 1 from assigned)))::int as cluster) select cluster, count(a.c1) as n from k left join assigned a on a.c1 = k.cluster group by 1")
+def cluster_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return compare.cluster_sizes(fx.assigned(spark, d))
+
+
+@query(f"with {fx.ASSIGNED} select slide, c1 as cluster, count(*) as n from assigned group by 1, 2")
+def slide_cluster_counts(spark: SparkSession, d: str) -> DataFrame:
+    return fx.assigned(spark, d).groupBy("slide", F.col("c1").alias("cluster")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_PAIRS = fx.RUNS + ", pair as (select a.slide, a.n, a.label as a, b.label as b from runs a join runs b using (slide, n) where a.run = 0 and b.run = 1)"
+_OVERLAP = (
+    _PAIRS
+    + """, top as (select greatest(max(a), max(b)) as m from pair), k as (select unnest(range(0, (select m + 1 from top)))::int as v),
+  cellc as (select x.v as a, y.v as b, count(p.n) as n from k x cross join k y left join pair p on p.a = x.v and p.b = y.v group by 1, 2),
+  o as (select a, b, n, 100.0::double * n / nullif(sum(n) over (partition by a) + sum(n) over (partition by b) - n, 0) as of_union, 100.0::double * n / nullif(sum(n) over (partition by a), 0) as of_a,
+    100.0::double * n / nullif(sum(n) over (partition by b), 0) as of_b from cellc)"""
+)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    runs = fx.run_labels(spark, d)
+    return compare.aligned(runs.where("run = 0"), runs.where("run = 1"), ["slide", "n"])
+
+
+@query(f"with {_OVERLAP} select a, b, n, round(of_union, 6) as of_union, round(of_a, 6) as of_a, round(of_b, 6) as of_b from o")
+def cluster_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return compare.overlap(_pairs(spark, d)).select("a", "b", "n", *(_round(c).alias(c) for c in ("of_union", "of_a", "of_b")))
+
+
+@query(f"with {_OVERLAP} select a as cluster, b as match, round(of_union, 6) as percent from (select *, row_number() over (partition by a order by of_union desc nulls last, b) as r from o) where r = 1")
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    return compare.best_matches(compare.overlap(_pairs(spark, d))).select("cluster", "match", _round("percent").alias("percent"))
+
+
+_ARI = """, c as (select i, j, a, b, count(*)::double as n from pair group by 1, 2, 3, 4),
+    pa as (select i, j, sum(m * (m - 1) / 2) as p from (select i, j, a, sum(n) as m from c group by 1, 2, 3) group by 1, 2), pb as (select i, j, sum(m * (m - 1) / 2) as p from (select i, j, b, sum(n) as m from c group by 1, 2, 3) group by 1, 2),
+    pn as (select i, j, sum(n * (n - 1) / 2) as p, sum(n) as t from c group by 1, 2),
+    ari as (select i, j, (pn.p - pa.p * pb.p / (t * (t - 1) / 2)) / ((pa.p + pb.p) / 2 - pa.p * pb.p / (t * (t - 1) / 2)) as ari from pn join pa using (i, j) join pb using (i, j))"""
+
+
+@query(f"with {fx.RUNS}, pair as (select 0 as i, 1 as j, a.label as a, b.label as b from runs a join runs b using (slide, n) where a.run = 0 and b.run = 1){_ARI} select round(ari, 6) as ari from ari")
+def adjusted_rand(spark: SparkSession, d: str) -> DataFrame:
+    return compare.rand_index(_pairs(spark, d)).select(_round("ari").alias("ari"))
+
+
+@query(f"with {fx.RUNS}, pair as (select a.run as i, b.run as j, a.label as a, b.label as b from runs a join runs b using (slide, n) where a.run < b.run){_ARI} select round(avg(ari), 6) as mean_ari, round(stddev_samp(ari), 6) as sd_ari, count(*) as pairs from ari")
+def pairwise_stability(spark: SparkSession, d: str) -> DataFrame:
+    return compare.stability(fx.run_labels(spark, d), ["slide", "n"]).select(_round("mean_ari").alias("mean_ari"), _round("sd_ari").alias("sd_ari"), "pairs")
+
+
+# Vectors and samples
+
+_UNITS = (
+    fx.PATCHES
+    + """, u as (select slide, n, vec_id, label, list_transform(features, lambda v: v / sqrt(list_dot_product(features, features))) as f from patch),
+  fl as (select label, unnest(f) as v, generate_subscripts(f, 1) as pos from u), cm as (select label, list(m order by pos) as c from (select label, pos, avg(v) as m from fl group by 1, 2) group by 1)"""
+)
+
+
+@query(f"with {_UNITS} select label, round(avg(1 - list_dot_product(f, c)), 6) as intra from u join cm using (label) group by 1")
+def cosine_intra(spark: SparkSession, d: str) -> DataFrame:
+    return samples.intra_class(fx.patches(spark, d)).select("label", _round("intra").alias("intra"))
+
+
+@query(f"with {_UNITS} select a.label as a, b.label as b, round(1 - list_dot_product(a.c, b.c), 6) as inter from cm a join cm b on a.label < b.label")
+def cosine_inter(spark: SparkSession, d: str) -> DataFrame:
+    return samples.inter_class(fx.patches(spark, d)).select("a", "b", _round("inter").alias("inter"))
+
+
+@query(
+    f"""with {fx.CENTROIDS}, near as (select c.id as centroid, p.vec_id, row_number() over (partition by c.id order by list_distance(p.features, c.features), p.vec_id) as r from patch p, centroid c),
+    u as (select vec_id, list_transform(features, lambda v: v / sqrt(list_dot_product(features, features))) as f from patch),
+    s as (select u.vec_id, k.centroid, list_dot_product(u.f, v.f) as s from u, near k join u v on v.vec_id = k.vec_id where k.r = 1)
+    select vec_id, centroid as label from (select *, row_number() over (partition by vec_id order by s desc, centroid) as r from s) where r = 1 and s > 0.75"""
+)
+def reliable_samples(spark: SparkSession, d: str) -> DataFrame:
+    return samples.reliable(fx.patches(spark, d), fx.centroids(spark, d), "vec_id")
+
+
+@query(f"with {fx.ASSIGNED}, c as (select c1 as cluster, count(*) as n from assigned group by 1) select cluster, least(n, 32) as drawn, least(n, 32) as draws from c")
+def random_per_cluster(spark: SparkSession, d: str) -> DataFrame:
+    drawn = samples.with_replacement(fx.assigned(spark, d).select("slide", "n", "c1"), "c1", ["slide", "n"])
+    return drawn.groupBy(F.col("c1").alias("cluster")).agg(F.count(F.lit(1)).alias("drawn"), F.countDistinct("draw").alias("draws"))
+
+
+# Graphs
+
+
+@query(f"with {fx.GRID_TILES}, d as (select distinct slide, x from tile where y % 3 = 0 and x % 3 = 1) select slide, min(g)::int as delta from (select slide, x - lag(x) over (partition by slide order by x) as g from d) group by 1")
+def grid_spacing(spark: SparkSession, d: str) -> DataFrame:
+    return graph.grid_spacing(fx.grid_tiles(spark, d).where("y % 3 = 0 and x % 3 = 1"))
+
+
+@query(f"with {fx.PATCHES} select a.slide, least(a.n, b.n) as a, greatest(a.n, b.n) as b, round(list_distance(a.features, b.features), 6) as w from patch a join patch b on a.slide = b.slide and a.n < b.n and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1")
+def neighbour_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbour_edges(fx.patches(spark, d)).select("slide", "a", "b", _round("w").alias("w"))
+
+
+_SEGMENTS = fx.PATCHES + """, fl as (select slide, label, unnest(features) as v, generate_subscripts(features, 1) as pos from patch),
+  seg as (select slide, label as in_slide_id, (row_number() over (order by slide, label) - 1)::bigint as global_id, population, features from (
+    select slide, label, max(c) as population, list(m order by pos) as features from (select slide, label, pos, avg(v) as m, count(*) as c from fl group by 1, 2, 3) group by 1, 2))"""
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    return graph.segment_stack(fx.patches(spark, d))
+
+
+@query(f"with {_SEGMENTS} select slide, in_slide_id, global_id, population, {_sql_text('features')} as features from seg")
+def segment_stack(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).select("slide", "in_slide_id", F.col("global_id").cast("long").alias("global_id"), "population", _text("features").alias("features"))
+
+
+_KNN = _SEGMENTS + """, near as (select a.global_id as i, b.global_id as j, list_distance(a.features, b.features) as w, row_number() over (partition by a.global_id order by list_distance(a.features, b.features), b.global_id) as r
+  from seg a join seg b on a.global_id <> b.global_id), edge as (select least(i, j) as a, greatest(i, j) as b, min(w) as w from near where r <= 4 group by 1, 2)"""
+
+
+def _knn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    stack = _segments(spark, d).select(F.col("global_id").cast("long").alias("id"), "slide", "features")
+    return graph._written(stack, "stack"), graph._written(graph.knn_edges(stack), "knn")
+
+
+@query(f"with {_KNN} select a, b, round(w, 6) as w from edge")
+def knn_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _knn(spark, d)[1].select("a", "b", _round("w").alias("w"))
+
+
+@query()
+def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
+    return graph.spanning_forest(_knn(spark, d)[1]).select("a", "b", _round("w").alias("w"))
+
+
+@query()
+def segments_felzenszwalb(spark: SparkSession, d: str) -> DataFrame:
+    return graph.felzenszwalb(graph.neighbour_edges(fx.patches(spark, d)), coeff=400.0)
+
+
+# Trees
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    stack, edges = _knn(spark, d)
+    return graph._written(trees.concept_tree(graph.spanning_forest(edges), stack), "tree")
+
+
+@query()
+def concept_tree(spark: SparkSession, d: str) -> DataFrame:
+    return _tree(spark, d).select("tree", "node", "parent", "left", "right", _round("weight").alias("weight"), "population", _text("descriptor").alias("descriptor"), F.array_join("slides", ",").alias("slides"))
+
+
+@query()
+def significant_tree(spark: SparkSession, d: str) -> DataFrame:
+    return trees.significant_tree(_tree(spark, d))
+
+
+@query(
+    f"with {fx.TREE_SQL} select t.node::bigint as node, t.population::bigint as population from tree t join tree a on a.node = t.l join tree b on b.node = t.r where t.population >= 3 and a.population < 3 and b.population < 3"
+    " union all select node, population from tree where l is null and population >= 3"
+)
+def truncated_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return trees.truncated_leaves(fx.tree(spark), 3)
+
+
+@query(f"with recursive {fx.TREE_SQL}, down(node, cur) as (select node, node from tree where population >= 3 union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null) select d.node::bigint as node, d.cur::bigint as leaf from down d join tree t on t.node = d.cur where t.l is null")
+def leaves_under(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.tree(spark)
+    return trees.leaves_under(t, t.where("population >= 3").select("node"))
+
+
+@query()
+def tree_similarity(spark: SparkSession, d: str) -> DataFrame:
+    return trees.similarity(fx.tree(spark), fx.tree(spark, 0.25), 14, 14).select(_round("score").alias("score"))
+
+
+@query(
+    f"""with recursive {_SEGMENTS}, {fx.TREE_SQL}, down(node, cur) as (select node, node from tree where population >= 3 union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null),
+    lv as (select d.node, d.cur as leaf from down d join tree t on t.node = d.cur where t.l is null), q as (select node, floor(40 / count(*)) as quota from lv group by 1),
+    c as (select node, leaf, slide, in_slide_id, population from lv join seg on seg.global_id = lv.leaf)
+    select node::bigint as node, sum(least(population, quota))::bigint as n from c join q using (node) group by 1"""
+)
+def concept_export_plan(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.tree(spark)
+    leaves = trees.leaves_under(t, t.where("population >= 3").select("node"))
+    stack = _segments(spark, d).select("slide", F.col("in_slide_id").alias("label"), F.col("global_id").cast("long").alias("global_id"))
+    members = fx.patches(spark, d).join(stack, ["slide", "label"]).select("global_id", "slide", "x", "y")
+    return samples.export_plan(leaves, members, 40).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Consensus
+
+
+_CONSENSUS = fx.RUNS + """, cr as (select case when run < 3 then 2 else 3 end as k, run, dense_rank() over (order by slide, n) as id, label from runs where slide in ('S0', 'S1')),
+  m as (select a.k, a.id as i, b.id as j, avg((a.label = b.label)::int) as m from cr a join cr b on a.k = b.k and a.run = b.run and a.id < b.id group by 1, 2, 3)"""
+
+
+def _consensus_runs(spark: SparkSession, d: str) -> DataFrame:
+    r = fx.run_labels(spark, d).where("slide in ('S0', 'S1')")
+    ids = tiles.numbered(r.select("slide", "n").distinct(), ["slide", "n"], "id")
+    return r.join(ids, ["slide", "n"]).select(F.when(F.col("run") < 3, 2).otherwise(3).alias("k"), "run", (F.col("id") + 1).cast("long").alias("id"), "label")
+
+
+@query(f"with {_CONSENSUS} select k, i, j, round(m, 6) as m from m")
+def consensus_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus_matrix(_consensus_runs(spark, d)).select("k", "i", "j", _round("m").alias("m"))
+
+
+@query(
+    f"""with {_CONSENSUS}, n as (select count(distinct id) as n from cr), e as (select k, m, 2 as t from m union all select distinct k, 1.0, n from m, n),
+    r as (select k, min(m) as lo, max(m) as hi from e group by 1), b as (select e.k, least(floor((m - lo) / ((hi - lo) / 10))::int, 9) as bin, t from e join r using (k))
+    select k, round(sum(t * (10 - bin)) / (n * n)::double, 6) as area from b, n group by k, n"""
+)
+def consensus_area(spark: SparkSession, d: str) -> DataFrame:
+    runs = _consensus_runs(spark, d)
+    return consensus.consensus_area(consensus.consensus_matrix(runs), runs.select("id").distinct().count()).select("k", _round("area").alias("area"))
+
+
+@query(
+    """with a as (select (l_linenumber + 1)::int as k, sum(l_quantity) as area from lineitem group by 1),
+    c as (select k, case when k > 2 then (lead(area) over (order by k) - area) / area else area end as change, lead(k) over (order by k) is null as final from a)
+    select k, round(change, 6) as change, k = (select k from c where not final order by change desc, k limit 1) as best from c where not final"""
+)
+def best_k(spark: SparkSession, d: str) -> DataFrame:
+    areas = fx.read(spark, d, "lineitem").groupBy((F.col("l_linenumber") + 1).cast("int").alias("k")).agg(F.sum("l_quantity").alias("area"))
+    return consensus.area_change(areas, 2).select("k", _round("change").alias("change"), "best")
+
+
+@query()
+def consensus_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.ensemble(_consensus_runs(spark, d), 0.8)
+
+
+# Fitted models
+
+
+@query()
+def pca_scaled(spark: SparkSession, d: str) -> DataFrame:
+    return models.reduced(fx.patches(spark, d).where("positive = 1")).select("slide", "n", F.size("reduced").alias("size"))
+
+
+@query()
+def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8)[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def bisecting_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8, bisecting=True)[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Sinks
+
+
+@query(f"with {fx.GRID_TILES} select slide, n as Patch_number, x as X, y as Y, positive as Positive, c1 as Cluster from tile")
+def cluster_export(spark: SparkSession, d: str) -> DataFrame:
+    return writers.cluster_table(fx.grid_tiles(spark, d))
+
+
+@query(f"with {fx.PATCHES} select slide as Slidename, n as Number, x as X, y as Y, round(features[1], 5) as feature_0, round(features[2], 5) as feature_1, round(features[64], 5) as feature_63 from patch")
+def feature_export(spark: SparkSession, d: str) -> DataFrame:
+    made = writers.feature_table(fx.patches(spark, d), 64)
+    return made.select("Slidename", "Number", "X", "Y", *(_round(c, 5).alias(c) for c in ("feature_0", "feature_1", "feature_63")))
+
+
+@query(f"with {fx.GRID_TILES} select c1 as cluster, format('{{}}#{{}}-level16-{{}}-{{}}.jpg', slide, n, x, y) as path from tile where positive = 1 and c1 >= 0")
+def cluster_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return writers.cluster_manifest(fx.grid_tiles(spark, d))
