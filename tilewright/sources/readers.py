@@ -50,10 +50,9 @@ def table(spark: SparkSession, path: str, schema: str, header: bool = False) ->
 
 def feature_columns(columns: list[str]) -> tuple[str, list[str]]:
     """The architecture named by feature columns ({architecture}_feature_{k}), and these in the order of k."""
-    found = [(int(m[2]), c, m[1]) for c in columns if (m := re.fullmatch(r"(.+)_feature_(\d+)", c))]
-    if not found:
-        return "", [c for _, c in sorted((int(m[1]), c) for c in columns if (m := re.fullmatch(r"feature_(\d+)", c)))]
-    return found[0][2], [c for _, c, _ in sorted(found)]
+    matches = [(re.fullmatch(r"(?:(.+)_)?feature_(\d+)", c), c) for c in columns]
+    found = sorted((int(m[2]), c, m[1] or "") for m, c in matches if m)
+    return (found[0][2] if found else ""), [c for _, c, _ in found]
 
 
 def vectors(rows: DataFrame) -> DataFrame:
