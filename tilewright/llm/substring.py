@@ -205,10 +205,11 @@ def _records(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.R
 
 def _answers(answers: list[dict], rows: pd.DataFrame) -> pd.DataFrame:
     """Answers to chunks, and the documents as they came."""
-    docs = rows.loc[rows["kind"] == 2, _NAMES[1:]]
+    # Objects, as joined columns of Arrow strings come in several pieces, which Spark doesn't take.
+    docs = rows.loc[rows["kind"] == 2, _NAMES[1:]].astype({"sha": object, "text": object})
     if not answers:
         return docs
-    back = pd.DataFrame(answers, columns=_NAMES[1:])
+    back = pd.DataFrame(answers, columns=_NAMES[1:]).astype({"sha": object, "text": object})
     return pd.concat([docs, back]) if len(docs) else back
 
 
@@ -251,7 +252,7 @@ def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
         s, c = (np.concatenate(x) for x in zip(unpack(known, 2), unpack(more, 2), strict=True))
         order = np.argsort(s, kind="stable")
         own.append(pack(s[order], c[order]) if len(s) else None)
-    return docs[["id", "th", "n_words", "sha"]].assign(ranges=own)
+    return docs[["id", "th", "n_words", "sha"]].astype({"sha": object}).assign(ranges=pd.Series(own, docs.index, object))
 
 
 def _windows(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
