@@ -11,7 +11,7 @@ task, so common ones weigh nothing). Only windows with a shared anchor can repea
 shuffled in turn; of equal ones all but the earliest are repeats, and the words that these cover go.
 
 Records travel packed, a row for each task's chunk and bucket of names, and each group that a Python task takes is a bucket of a hash or a chunk of bounded
-size. Documents without a shared anchor aren't looked at again.
+size. Documents without a shared anchor send nothing more. Texts are shuffled once, by a hash of the row, for both passes over candidates.
 
 Defined results: ids are integers; a null text has no words, and texts of fewer than 20 words lose none; only doc_id and start order windows, so that of rows that
 repeat both id and text none is earlier, and a null id is later than any other. An empty table gives no rows. The digest of no words is
@@ -106,10 +106,14 @@ def anchors(words: np.ndarray, offsets: np.ndarray, window: int = WINDOW, rounds
     return names[chosen[begin]], text[begin], starts[begin] - offsets[:-1][text[begin]], np.diff(np.append(begin, len(chosen)))
 
 
+def _edges(n: int) -> np.ndarray:
+    """The least names of buckets 1 to n - 1: equal ranges of values."""
+    return np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
+
+
 def by_bucket(names: np.ndarray, n: int) -> np.ndarray:
-    """The n + 1 offsets of the buckets of sorted names: equal ranges of their values."""
-    edges = np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
-    return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
+    """The n + 1 offsets of the buckets of sorted names."""
+    return np.concatenate([[0], np.searchsorted(names, _edges(n)), [len(names)]])
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -120,6 +124,16 @@ def unpack(raw: bytes | None, n: int) -> list[np.ndarray]:
     return list(np.frombuffer(raw or b"", "<u4").reshape(n, -1).astype(np.int64))
 
 
+def pack_small(values: np.ndarray) -> bytes:
+    """Numbers in two bytes each if all fit, else in four; the first byte says which."""
+    kind = "<u2" if not len(values) or values.max() < 1 << 16 else "<u4"
+    return kind[-1].encode() + np.ascontiguousarray(values, kind).tobytes()
+
+
+def unpack_small(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u" + chr(raw[0]), offset=1).astype(np.int64)
+
+
 def ranges_by(group: np.ndarray, n: int, *values: np.ndarray) -> list[bytes | None]:
     """For each of n groups the packed values of its members, or None."""
     order = np.argsort(group, kind="stable")
@@ -140,9 +154,9 @@ def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 #: Rows on their way: 0 records of names met once in a chunk, 1 names met more often, 2 a document, 3 an answer to a chunk.
-_WAY = "bucket int, chunk bigint, kind int, idx int, id bigint, th bigint, n_words bigint, sha string, text string, a binary, b binary, c binary"
+_WAY = "bucket int, chunk bigint, kind int, idx int, id bigint, th bigint, n_words bigint, sha string, a binary, b binary, c binary, d binary"
 _NAMES = [x.split()[0] for x in _WAY.split(", ")]
-_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("idx", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
+_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("idx", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
 _BACK = _WAY.partition(", ")[2]
 
 
@@ -206,10 +220,10 @@ def _records(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.R
 def _answers(answers: list[dict], rows: pd.DataFrame) -> pd.DataFrame:
     """Answers to chunks, and the documents as they came."""
     # Objects, as joined columns of Arrow strings come in several pieces, which Spark doesn't take.
-    docs = rows.loc[rows["kind"] == 2, _NAMES[1:]].astype({"sha": object, "text": object})
+    docs = rows.loc[rows["kind"] == 2, _NAMES[1:]].astype({"sha": object})
     if not answers:
         return docs
-    back = pd.DataFrame(answers, columns=_NAMES[1:]).astype({"sha": object, "text": object})
+    back = pd.DataFrame(answers, columns=_NAMES[1:]).astype({"sha": object})
     return pd.concat([docs, back]) if len(docs) else back
 
 
@@ -255,42 +269,62 @@ def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
     return docs[["id", "th", "n_words", "sha"]].astype({"sha": object}).assign(ranges=pd.Series(own, docs.index, object))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], n_buckets: int, window: int = WINDOW) -> Iterator[pa.RecordBatch]:
-    """Pass 4: the hashes of candidate windows, each once a chunk, and the documents with the repeats that the chunk itself shows."""
-    for chunk, table in _chunked(batches, 2, CHUNK_WORDS):
-        ids = table.column("id").to_numpy()
-        table = table.take(pa.array(np.argsort(ids, kind="stable")))
-        ids = np.sort(ids)
-        col = _texts(table, "text")
-        words, offsets = word_hashes(col)
-        text, start = [], []
-        for i, raw in enumerate(table.column("ranges")):
-            s = np.unique(spread(*unpack(raw.as_py(), 2)))
-            text.append(np.full(len(s), i))
-            start.append(s)
-        text, start = np.concatenate(text), np.concatenate(start)
-        at = offsets[:-1][text] + start
-        name = SpanHash(mix(words))(at, at + window) if len(at) else np.empty(0, np.uint64)
-        order = np.argsort(name, kind="stable")
-        ordered = name[order]
-        new = np.append(True, ordered[1:] != ordered[:-1]) if len(name) else np.empty(0, bool)
-        first = order[np.flatnonzero(new)]
-        lead = first[np.cumsum(new) - 1]
-        # The order of windows is that of (id, start): those at their leader's own place, in a row that repeats it, aren't later.
-        later = np.zeros(len(name), bool)
-        later[order] = (ids[text[order]] > ids[text[lead]]) | (start[order] > start[lead])
-        known = ranges_by(*as_ranges(text[later], start[later])[:1], len(col), *as_ranges(text[later], start[later])[1:])
-        asked = order[~later[order]]
-        names, at = name[asked], by_bucket(name[asked], n_buckets)
-        out = []
-        for k in range(n_buckets):
-            mine = asked[at[k] : at[k + 1]]
-            if len(mine):
-                who, place = np.unique(text[mine], return_inverse=True)
-                out.append({"bucket": k, "chunk": chunk, "kind": 0, "a": names[at[k] : at[k + 1]].tobytes(), "b": pack(who[place], start[mine], place), "c": ids[who].astype("<i8").tobytes()})
-        for i, (id_, th, t) in enumerate(zip(table.column("id").to_pylist(), table.column("th").to_pylist(), col, strict=True)):
-            out.append({"bucket": chunk % n_buckets, "chunk": chunk, "kind": 2, "idx": i, "id": id_, "th": th, "n_words": int(offsets[i + 1] - offsets[i]), "text": t.as_py(), "a": known[i]})
-        yield _rows(out)
+def _ordered(docs: pa.Table) -> pa.Table:
+    """A chunk's documents in the order of (id, th), the same each time; rows alike in both are interchangeable."""
+    return docs.take(pa.array(np.lexsort((docs.column("th").to_numpy(), docs.column("id").to_numpy())))).combine_chunks()
+
+
+def _windows(docs: pa.Table, asked: pa.Table, n_buckets: int) -> pa.Table:
+    """Pass 4, a chunk: the hashes of candidate windows, each once a chunk, and the repeats that the chunk itself shows."""
+    ranges = dict(zip(zip(asked.column("id").to_pylist(), asked.column("th").to_pylist(), strict=True), asked.column("ranges").to_pylist(), strict=True))
+    if not ranges or not len(docs):
+        return _ARROW.empty_table()
+    docs = _ordered(docs)
+    chunk, ids = docs.column("chunk")[0].as_py(), docs.column("id").to_numpy()
+    found = [(i, raw) for i, key in enumerate(zip(ids.tolist(), docs.column("th").to_pylist(), strict=True)) if (raw := ranges.get(key)) is not None]
+    if not found:
+        return _ARROW.empty_table()
+    rows = np.array([i for i, _ in found], np.int64)
+    words, offsets = word_hashes(_texts(docs, "text").take(pa.array(rows)))
+    starts = [np.unique(spread(*unpack(raw, 2))) for _, raw in found]
+    text, start = np.repeat(np.arange(len(rows)), [len(s) for s in starts]), np.concatenate(starts)
+    at = offsets[:-1][text] + start
+    name, ids = SpanHash(mix(words))(at, at + WINDOW), ids[rows]
+    order = np.argsort(name, kind="stable")
+    ordered = name[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])
+    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    # The order of windows is that of (id, start): one at its leader's own place, in a row that repeats the id, isn't later.
+    later = np.zeros(len(name), bool)
+    later[order] = (ids[text[order]] > ids[text[lead]]) | (start[order] > start[lead])
+    known_text, first, count = as_ranges(text[later], start[later])
+    known = ranges_by(known_text, len(rows), first, count)
+    out = [{"bucket": chunk % n_buckets, "chunk": chunk, "kind": 2, "idx": int(rows[i]), "a": raw} for i, raw in enumerate(known) if raw]
+    # By bucket, then in the order of texts and starts, so that steps between starts are small.
+    sent = np.flatnonzero(~later)
+    bucket = np.searchsorted(_edges(n_buckets), name[sent], "right")
+    order = np.argsort(bucket, kind="stable")
+    sent, at = sent[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    for k in range(n_buckets):
+        mine = sent[at[k] : at[k + 1]]
+        if len(mine):
+            t, s = text[mine], start[mine]
+            begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            step = np.diff(s, prepend=0)
+            step[begin] = s[begin]
+            who = t[begin]
+            out.append({"bucket": k, "chunk": chunk, "kind": 0, "a": name[mine].tobytes(), "b": pack_small(step), "c": ids[who].astype("<i8").tobytes(), "d": pack(rows[who], np.diff(np.append(begin, len(mine))))})
+    return pa.Table.from_batches([_rows(out)], _ARROW)
+
+
+def _places(steps: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, number of the text in the packet) of the windows that a packet holds."""
+    step, (rows, count) = unpack_small(steps), unpack(which, 2)
+    total = np.cumsum(step)
+    begin = np.cumsum(count) - count
+    base = total[begin] - step[begin]
+    number = np.repeat(np.arange(len(rows)), count)
+    return rows[number], total - base[number], number
 
 
 def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
@@ -300,16 +334,21 @@ def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     if len(asked):
         names = [np.frombuffer(x, np.uint64) for x in asked["a"]]
         owner = np.repeat(np.arange(len(names)), [len(x) for x in names])
-        refs = [unpack(x, 3) for x in asked["b"]]
+        refs = [_places(b, d) for b, d in zip(asked["b"], asked["d"], strict=True)]
         text, start = (np.concatenate([r[k] for r in refs]) for k in (0, 1))
         ids = np.concatenate([np.frombuffer(c, "<i8")[r[2]] for c, r in zip(asked["c"], refs, strict=True)])
         everything = np.concatenate(names)
-        order = np.lexsort((start, ids, everything))
+        order = np.argsort(everything, kind="stable")
         ordered = everything[order]
         new = np.append(True, ordered[1:] != ordered[:-1])
-        lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        more = ~new | np.append(~new[1:], False)
+        order, new = order[more], new[more]
+        group = np.cumsum(new)
+        again = np.lexsort((start[order], ids[order], group))
+        order, group = order[again], group[again]
+        lead = order[np.flatnonzero(np.append(True, group[1:] != group[:-1]))][group - 1] if len(order) else order
         hit = order[(ids[order] > ids[lead]) | (start[order] > start[lead])]
-        hit = hit[np.argsort(owner[hit], kind="stable")]
+        hit = np.sort(hit)
         at = np.searchsorted(owner[hit], np.arange(len(names) + 1))
         for k, chunk in enumerate(asked["chunk"]):
             mine = hit[at[k] : at[k + 1]]
@@ -318,25 +357,38 @@ def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
     return _answers(out, rows)
 
 
-def _kept(rows: pd.DataFrame) -> pd.DataFrame:
+_KEPT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
+
+
+def _kept(docs: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     """Pass 6, a chunk: what its documents keep, where that isn't all."""
-    docs = rows[rows["kind"] == 2].sort_values("idx")
-    got = [unpack(x, 2) for x in rows.loc[rows["kind"] == 3, "a"]]
-    text, start = (np.concatenate([g[k] for g in got]) for k in range(2)) if got else (np.empty(0, np.int64),) * 2
-    found = ranges_by(text, len(docs), start, np.ones(len(start), np.int64))
+    if not len(answers) or not len(docs):
+        return _KEPT.empty_table()
+    docs = _ordered(docs)
+    kinds, packed = answers.column("kind").to_pylist(), answers.column("a").to_pylist()
+    got = [unpack(x, 2) for k, x in zip(kinds, packed, strict=True) if k == 3]
+    got = [(t, s, np.ones(len(s), np.int64)) for t, s in got]
+    for k, idx, x in zip(kinds, answers.column("idx").to_pylist(), packed, strict=True):
+        if k == 2:
+            first, count = unpack(x, 2)
+            got.append((np.full(len(first), idx), first, count))
+    text, first, count = (np.concatenate([g[k] for g in got]) for k in range(3))
+    order = np.argsort(text, kind="stable")
+    text, first, count = text[order], first[order], count[order]
+    own = np.unique(text)
+    at = np.append(np.searchsorted(text, own), len(text))
+    ids, ths, texts = docs.column("id"), docs.column("th"), docs.column("text")
     out = []
-    for id_, th, own, known, more in zip(docs["id"], docs["th"], docs["text"], docs["a"], found, strict=True):
-        s, c = (np.concatenate(x) for x in zip(unpack(known, 2), unpack(more, 2), strict=True))
-        if not len(s):
-            continue
-        words = own.encode("utf-8", "surrogatepass").split()
+    for k, i in enumerate(own.tolist()):
+        words = texts[i].as_py().encode("utf-8", "surrogatepass").split()
         edge = np.zeros(len(words) + 1, np.int64)
-        np.add.at(edge, s, 1)
-        np.subtract.at(edge, s + c + WINDOW - 1, 1)
+        mine = slice(at[k], at[k + 1])
+        np.add.at(edge, first[mine], 1)
+        np.subtract.at(edge, first[mine] + count[mine] + WINDOW - 1, 1)
         gone = np.cumsum(edge)[:-1] > 0
-        kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-        out.append((id_, th, int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
-    return pd.DataFrame(out, columns=["id", "th", "n_removed", "kept_text", "kept_sha256"])
+        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
+        out.append({"id": ids[i].as_py(), "th": ths[i].as_py(), "n_removed": int(gone.sum()), "kept_text": kept.decode("utf-8", "surrogatepass") if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest()})
+    return pa.Table.from_pylist(out, _KEPT)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -346,12 +398,16 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent = keyed.mapInArrow(lambda batches: _records(batches, n), _WAY)
     back = sent.groupBy("bucket").applyInPandas(_shared, _BACK)
     base = written(back.groupBy("chunk").applyInPandas(_candidates, "id bigint, th bigint, n_words bigint, sha string, ranges binary"), "substring-candidates")
-    asked = base.where("ranges is not null").select(F.col("id").alias("i"), F.col("th").alias("h"), "ranges").dropDuplicates(["i", "h"])
-    again = keyed.join(asked, (F.col("id") == F.col("i")) & (F.col("th") == F.col("h"))).select("id", "th", "text", "ranges")
-    sent = again.mapInArrow(lambda batches: _windows(batches, n), _WAY)
+    # Chunks for the second look: a hash of the row, as many as keep them small and every task busy. Both passes that need texts read one shuffle of them.
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    chunks = max(n, -(-size // (CHUNK_WORDS * 6)))
+    chunk = F.pmod(F.xxhash64("id", "th"), F.lit(chunks)).cast("long").alias("chunk")
+    texts = keyed.select("id", "th", "text", chunk)
+    asked = base.where("ranges is not null").select("id", "th", "ranges", chunk)
+    sent = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda own, ask: _windows(own, ask, n), _WAY)
     back = sent.groupBy("bucket").applyInPandas(_repeats, _BACK)
     fields = "id bigint, th bigint, n_removed bigint, kept_text string, kept_sha256 string"
-    cut = back.groupBy("chunk").applyInPandas(_kept, fields)
+    cut = texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda own, answers: _kept(own, answers, keep_text), fields)
     if not keep_text:
         cut = cut.drop("kept_text")
     cut = written(cut, "substring-cut").dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "i", "th": "h"})
