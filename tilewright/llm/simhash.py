@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import column, raw_hash, without, written
+from tilewright.llm._common import column, mix, raw_hash, without, written
 from tilewright.llm.components import components
 
 SHINGLE = 3
 #: Segments of two bits: a grid of 32 dimensions with counts from 0 to 2. Finer segments meet fewer strangers and cost more steps.
 SEGMENTS = 32
 DISTANCE = 2
+#: What a filtering stage takes for near copies: shingles of so many words, and their Jaccard similarity; parts of a set whose least hashes are compared; bits that the fingerprints of such sets hardly ever differ in (15 and 3 are usual at 0.8).
+WORDS, SIMILARITY, SAMPLES, FAR = 5, 0.8, 8, 24
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -123,11 +125,90 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
-def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """(fp, lead) for each fingerprint of rows (id, th, fp): lead is the least (none, id, th) among the rows reachable by links, null ids last."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, samples: int) -> DataFrame:
+    """(id, th, fp, wide, n, mins): the fingerprint over shingles of three words; for the set of shingles of so many words its fingerprint, size, and the least hash of each of so many parts of it (by hash; null where a part is empty)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short, wide, sizes, mins = [], [], [], []
+            for text in column(batch, 2):
+                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+                short.append(np.array(shingle_hashes(raw), np.uint64))
+                own = np.unique(np.array(shingle_hashes(raw, words), np.uint64))
+                part = (mix(own) % np.uint64(samples)).astype(np.int64)
+                # own ascends, so the first of a part is its least.
+                found, first = np.unique(part, return_index=True)
+                least: list[int | None] = [None] * samples
+                for k, i in zip(found.tolist(), first.tolist(), strict=True):
+                    least[k] = int(own[i].astype(np.int64))
+                wide.append(own)
+                sizes.append(len(own))
+                mins.append(least)
+            prints = [pa.array(_in_runs(x).view(np.int64), pa.int64()) for x in (short, wide)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints, pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["id", "th", "fp", "wide", "n", "mins"])
+
+    kind = dict(docs.dtypes)[id_col]
+    schema = f"id {kind}, th bigint, fp bigint, wide bigint, n bigint, mins array<bigint>"
+    return docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+def _in_runs(hashes: list[np.ndarray], most: int = 1 << 19) -> np.ndarray:
+    out, first, held = [], 0, 0
+    for i, h in enumerate(hashes):
+        held += len(h)
+        if held > most or i == len(hashes) - 1:
+            part = hashes[first : i + 1]
+            out.append(majorities(np.concatenate(part), np.array([len(x) for x in part])))
+            first, held = i + 1, 0
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, far: int) -> DataFrame:
+    """(a, b): fingerprints of texts whose sets of shingles have at least that Jaccard similarity. rows: sketches.
+
+    Texts as alike as that share the least hash of most parts of their sets. Of the texts that share one, the one whose wide fingerprint is nearest to the majority of all of them is their centre, and each is compared with the centre of
+    each of its parts: pairs are linear in the texts, however many share a hash. Sizes and wide fingerprints (differing in more bits than far means less alike) rule most out, and the sets decide."""
+    each = rows.select("id", "th", "fp", "wide", "n", F.posexplode("mins").alias("t", "m")).where("m is not null")
+    shared = written(each.groupBy("t", "m").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("t", "m"), "near-shared")
+    members = written(each.join(shared, ["t", "m"]), "near-members")
+    bits = [F.sum(F.shiftrightunsigned("wide", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
+    votes = members.groupBy("t", "m").agg(F.count(F.lit(1)).alias("votes"), *bits)
+    middle = F.lit(0).cast("long")
+    for b in range(64):
+        middle = middle.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("votes"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+    middles = written(votes.select("t", "m", middle.alias("middle")), "near-middles")
+    nearest = F.min(F.struct(_differ(F.col("wide"), F.col("middle")).alias("d"), "fp", "wide", "n", "id", "th"))
+    centres = written(members.join(middles, ["t", "m"]).groupBy("t", "m").agg(nearest.alias("c")), "near-centres")
+    met = members.join(centres, ["t", "m"]).where((F.col("fp") != F.col("c.fp")) & (_differ(F.col("wide"), F.col("c.wide")) <= far))
+    met = met.where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
+    pairs = met.select("id", "th", F.col("fp").alias("a"), F.col("c.id").alias("other_id"), F.col("c.th").alias("other_th"), F.col("c.fp").alias("b"))
+    pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
+    texts = docs.select(F.col(id_col).alias("i"), raw_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    left = pairs.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("a", "b", "other_id", "other_th", F.col("text").alias("left"))
+    both = left.join(texts, F.col("other_id").eqNullSafe(F.col("i")) & (F.col("other_th") == F.col("h"))).select("a", "b", "left", F.col("text").alias("right"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = (set(shingle_hashes((t.as_py() or "").encode("utf-8", "surrogatepass"), words)) for t in (x, y))
+                common = len(p & q)
+                keep.append(common >= similarity * (len(p) + len(q) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
+def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, more: DataFrame | None = None) -> DataFrame:
+    """(fp, lead) for each fingerprint of rows (id, th, fp): lead is the least (none, id, th) among the rows reachable by links, null ids last. more: further links (a, b) of fingerprints."""
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     prints = written(rows.groupBy("fp").agg(lead.alias("lead")), "prints")
-    groups = written(components(links(prints, distance, segments)), "components")
+    near = links(prints, distance, segments)
+    groups = written(components(near if more is None else near.unionByName(more)), "components")
     rooted = prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
     return rooted.select("fp", "root").join(lowest, "root").select("fp", "lead")
@@ -139,10 +220,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(grouped(rows, distance, segments), "fp").select(F.col("id").alias(id_col), "fp", F.col("lead.id").alias("component"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """docs, all its columns, with one row of each component: that of the smallest id."""
-    rows = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    found = rows.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(grouped(rows, distance, segments), "fp")
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, far: int = FAR) -> DataFrame:
+    """docs, all its columns, with one row of each group of near copies: that of the smallest id. Texts are linked if their fingerprints differ in at most two bits, or their sets of shingles of so many words are as similar as asked."""
+    rows = written(sketches(docs, id_col, text_col, words, samples), "sketches")
+    more = written(similar(docs, rows, id_col, text_col, words, similarity, far), "near-similar")
+    found = rows.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(grouped(rows, more=more), "fp")
     leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th"))
     gone = written(found.where(~leads).select("id", "th"), "near-gone")
     again = written(found.where(leads & (F.col("n") > 1)).select("id", "th"), "near-again")
