@@ -441,7 +441,13 @@ def leaves_under(spark: SparkSession, d: str) -> DataFrame:
     return trees.leaves_under(t, t.where("population >= 3").select("node"))
 
 
-@query()
+@query(
+    f"""with recursive {fx.TREE_SQL}, v as (select node, l, r, [node::double, 2.0::double, 0.5::double] as p, [node + 0.25::double, 2 - 0.25::double * node, 0.5::double] as q from tree),
+    w as (select v.node, v.l, v.r, v.p, v.q, a.p as pl, b.p as pr, a.q as ql, b.q as qr from v left join v a on a.node = v.l left join v b on b.node = v.r),
+    down(a, b, share) as (select 14, 14, 1.0::double union all select unnest([x.l, x.r]), unnest(case when list_dot_product(x.pl, y.ql) + list_dot_product(x.pr, y.qr) >= list_dot_product(x.pl, y.qr) + list_dot_product(x.pr, y.ql)
+      then [y.l, y.r] else [y.r, y.l] end), share / 2 from down join w x on x.node = a join w y on y.node = b where x.l is not null and y.l is not null)
+    select round(sum(share * list_dot_product(x.p, y.q)), 6) as score from down join w x on x.node = a join w y on y.node = b where x.l is null or y.l is null"""
+)
 def tree_similarity(spark: SparkSession, d: str) -> DataFrame:
     return trees.similarity(fx.tree(spark), fx.tree(spark, 0.25), 14, 14).select(_round("score").alias("score"))
 
@@ -498,7 +504,11 @@ def best_k(spark: SparkSession, d: str) -> DataFrame:
     return consensus.area_change(areas, 2).select("k", _round("change").alias("change"), "best")
 
 
-@query()
+@query(
+    f"""with recursive {_CONSENSUS}, together as (select a.id as i, b.id as j from cr a join cr b on a.run = b.run and a.id < b.id group by 1, 2 having avg((a.label = b.label)::int) >= 0.8),
+    e as (select i, j from together union select j, i from together), reach(id, r) as (select distinct id, id from cr union select reach.id, e.j from reach join e on e.i = reach.r)
+    select id, min(r) as label from reach group by 1"""
+)
 def consensus_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return consensus.ensemble(_consensus_runs(spark, d), 0.8)
 
