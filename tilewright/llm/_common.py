@@ -147,7 +147,8 @@ def without(docs: DataFrame, gone: DataFrame, again: DataFrame, id_col: str, tex
     own, th = docs[id_col], raw_hash(docs[text_col])
 
     def named(rows: DataFrame) -> tuple[DataFrame, Column]:
-        rows = rows.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th"))
+        # A merge join at every size: what it shuffles then grows with the input, without a jump where the rows named outgrow a broadcast.
+        rows = rows.select(F.col("id").alias("_gone_id"), F.col("th").alias("_gone_th")).hint("merge")
         return rows, own.eqNullSafe(rows["_gone_id"]) & (th == rows["_gone_th"])
 
     rows, same = named(gone)

@@ -150,7 +150,7 @@ def classes(docs: DataFrame, incoming: Column, id_col: str = "doc_id", text_col:
     ends = hits.select("digest", F.explode(F.array("lead", "new_lead")).alias("e")).select("digest", F.col("e.id").alias("i"), F.col("e.th").alias("h"))
     texts = docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     bytes_ = normalised(F.col("text")).cast("binary")
-    seen = texts.join(ends, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).groupBy("digest").agg((F.min(bytes_) == F.max(bytes_)).alias("same"))
+    seen = texts.join(ends.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).groupBy("digest").agg((F.min(bytes_) == F.max(bytes_)).alias("same"))
     hits = written(hits.join(seen.where("same"), "digest", "left_semi"), "exact-checked")
     joint = hits.select("digest", F.least("lead", "new_lead").alias("lead"), (F.col("size") + F.col("new_size")).alias("size"))
     alone = old.select("digest", "lead", "size").unionByName(new.select("digest", "lead", "size"))
