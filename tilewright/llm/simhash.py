@@ -181,8 +181,9 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     for b in range(64):
         middle = middle.bitwiseOR(F.when(2 * F.col(f"b{b}") > F.col("votes"), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
     middles = written(votes.select("t", "m", middle.alias("middle")), "near-middles")
-    nearest = F.min(F.struct(_differ(F.col("wide"), F.col("middle")).alias("d"), "fp", "wide", "n", "id", "th"))
-    centres = written(members.join(middles, ["t", "m"]).groupBy("t", "m").agg(nearest.alias("c")), "near-centres")
+    # Written between, so that Spark may split this join's heavy keys, and the aggregate below has a partial step.
+    members = written(members.join(middles, ["t", "m"]).withColumn("d", _differ(F.col("wide"), F.col("middle"))).drop("middle"), "near-distances")
+    centres = written(members.groupBy("t", "m").agg(F.min(F.struct("d", "fp", "wide", "n", "id", "th")).alias("c")), "near-centres")
     met = members.join(centres, ["t", "m"]).where((F.col("fp") != F.col("c.fp")) & (_differ(F.col("wide"), F.col("c.wide")) <= far))
     met = met.where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
     pairs = met.select("id", "th", F.col("fp").alias("a"), F.col("c.id").alias("other_id"), F.col("c.th").alias("other_th"), F.col("c.fp").alias("b"))
