@@ -113,10 +113,10 @@ def prefix_of_each(spark: SparkSession, d: str) -> DataFrame:
     return tiles.first_of_each(fx.read(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], 3)
 
 
-@query(f"with {fx.PATCHES} select slide, n from patch where slide in (select slide from patch where label = 3 and n < 5)")
+@query(f"with {fx.PATCHES} select slide, n from patch where slide in (select slide from patch where label = 3)")
 def slide_subset(spark: SparkSession, d: str) -> DataFrame:
     p = fx.patches(spark, d).select("slide", "n", "label")
-    return tiles.on_slides(p, p.where("label = 3 and n < 5")).select("slide", "n")
+    return tiles.on_slides(p, p.where("label = 3")).select("slide", "n")
 
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_orderkey is not null)")
@@ -183,7 +183,7 @@ def labelled_preference_compat(spark: SparkSession, d: str) -> DataFrame:
     return cluster.labelled_preference(fx.assigned(spark, d), 3, compat=True).select("slide", "n", "c1", "c2", "c3")
 
 
-_SEEDED = """, seed as (select (row_number() over (order by slide, n) - 1)::int as id, features from patch where label = 8 and slide = 'S0'),
+_SEEDED = """, seed as (select (row_number() over (order by slide, n) - 1)::int as id, features from patch where label = 8),
     every as (select id, features from seed union all select (id + (select max(id) + 1 from seed))::int, features from centroid),
     r as (select p.slide, p.n, e.id, list_distance(p.features, e.features) as d, row_number() over (partition by p.slide, p.n order by list_distance(p.features, e.features), e.id) as r
       from patch p, every e where p.positive = 1),
@@ -194,7 +194,7 @@ _SEEDED = """, seed as (select (row_number() over (order by slide, n) - 1)::int
 @query(f"with {fx.CENTROIDS}{_SEEDED}" + _SWAP.format("(c1 >= k and c2 < k and d2 - d1 <= 1)", "(c1 >= k and c3 < k and d3 - d1 <= 1)"))
 def semi_supervised_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = fx.patches(spark, d)
-    seeds = tiles.numbered(p.where("label = 8 and slide = 'S0'").select("slide", "n", "features"), ["slide", "n"], "id")
+    seeds = tiles.numbered(p.where("label = 8").select("slide", "n", "features"), ["slide", "n"], "id")
     found = cluster.nearest(p.where("positive = 1"), cluster.seeded(seeds, fx.centroids(spark, d)))
     return cluster.labelled_preference(found, seeds.count()).select("slide", "n", "c1", "c2", "c3")
 
@@ -361,9 +361,9 @@ def random_per_cluster(spark: SparkSession, d: str) -> DataFrame:
 # Graphs
 
 
-@query(f"with {fx.GRID_TILES}, d as (select distinct slide, x from tile where y % 3 = 0 and x % 3 = 1) select slide, min(g)::int as delta from (select slide, x - lag(x) over (partition by slide order by x) as g from d) group by 1")
+@query(f"with {fx.GRID_TILES}, d as (select distinct slide, 3 * x + 1 as x from tile) select slide, min(g)::int as delta from (select slide, x - lag(x) over (partition by slide order by x) as g from d) group by 1")
 def grid_spacing(spark: SparkSession, d: str) -> DataFrame:
-    return graph.grid_spacing(fx.grid_tiles(spark, d).where("y % 3 = 0 and x % 3 = 1"))
+    return graph.grid_spacing(fx.grid_tiles(spark, d).withColumn("x", 3 * F.col("x") + 1))
 
 
 @query(f"with {fx.PATCHES} select a.slide, least(a.n, b.n) as a, greatest(a.n, b.n) as b, round(list_distance(a.features, b.features), 6) as w from patch a join patch b on a.slide = b.slide and a.n < b.n and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1")
@@ -469,12 +469,12 @@ def concept_export_plan(spark: SparkSession, d: str) -> DataFrame:
 # Consensus
 
 
-_CONSENSUS = fx.RUNS + """, cr as (select case when run < 3 then 2 else 3 end as k, run, dense_rank() over (order by slide, n) as id, label from runs where slide in ('S0', 'S1')),
+_CONSENSUS = fx.RUNS + """, cr as (select case when run < 3 then 2 else 3 end as k, run, dense_rank() over (order by slide, n) as id, label from runs),
   m as (select a.k, a.id as i, b.id as j, avg((a.label = b.label)::int) as m from cr a join cr b on a.k = b.k and a.run = b.run and a.id < b.id group by 1, 2, 3)"""
 
 
 def _consensus_runs(spark: SparkSession, d: str) -> DataFrame:
-    r = fx.run_labels(spark, d).where("slide in ('S0', 'S1')")
+    r = fx.run_labels(spark, d)
     ids = tiles.numbered(r.select("slide", "n").distinct(), ["slide", "n"], "id")
     return r.join(ids, ["slide", "n"]).select(F.when(F.col("run") < 3, 2).otherwise(3).alias("k"), "run", (F.col("id") + 1).cast("long").alias("id"), "label")
 
