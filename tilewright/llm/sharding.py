@@ -33,7 +33,9 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     # The law is on bytes: cells that hold the last tenth of them look at bytes alone and so level what the joint rule left.
     level = np.cumsum(share[order, 0]) > 0.9
     for k, cell in enumerate(order):
-        fit = residual[:, 0] if level[k] else residual @ share[cell]
+        # Shards that have room for its bytes come first; where none has, the one with the most.
+        room = residual[:, 0] >= share[cell, 0]
+        fit = residual[:, 0] if level[k] or not room.any() else np.where(room, residual @ share[cell], -np.inf)
         best = int(np.argmax(fit))
         out[cell] = best
         residual[best] -= share[cell]
