@@ -36,7 +36,7 @@ WINDOW = 20
 #: Rounds of pairing; a symbol holds up to 4 words after two, and up to 1 + 2 words at either side of a window may pair outwards.
 ROUNDS = 2
 #: Words that a task works on at once.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 20
 #: Stands for a null id on the way.
 LAST_ID = int(np.iinfo(np.int64).max)
 
@@ -213,7 +213,7 @@ def _records(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.R
         n_words = np.diff(offsets)
         for i, (id_, th, t) in enumerate(zip(table.column("id").to_pylist(), table.column("th").to_pylist(), col, strict=True)):
             sha = hashlib.sha256(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").split())).hexdigest()
-            out.append({"bucket": chunk % n_buckets, "chunk": chunk, "kind": 2, "idx": i, "id": id_, "th": th, "n_words": int(n_words[i]), "sha": sha, "a": known[i]})
+            out.append({"bucket": (chunk + i) % n_buckets, "chunk": chunk, "kind": 2, "idx": i, "id": id_, "th": th, "n_words": int(n_words[i]), "sha": sha, "a": known[i]})
         yield _rows(out)
 
 
