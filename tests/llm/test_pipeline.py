@@ -45,6 +45,23 @@ def test_near_copies_of_many_kinds(spark, make):
     assert left == set(alike(rows).values()) == {0, *range(100, 130)}
 
 
+def test_near_copies_that_share_a_passage(spark, make):
+    """Pairs and families of near copies, most of whose words are a passage that all texts have; and two groups that only one text of each joins."""
+    random = np.random.default_rng(4)
+    words = [f"y{k}" for k in range(5000)]
+    passage, rows, n = random.choice(words, 200).tolist(), {}, 0
+    for own, many, edits in ((40, 2, 2), (40, 2, 2), (50, 3, 2), (80, 2, 3), (40, 12, 1)) * 8:
+        text = random.choice(words, own).tolist() + passage
+        for i in range(many):
+            edit = list(text)
+            for k in random.choice(len(edit), edits if i else 0, replace=False):
+                edit[k] = f"edit{n}x{k}"
+            rows[n] = " ".join(edit)
+            n += 1
+    left = {r.doc_id for r in simhash.drop_near_copies(make(*rows.items())).collect()}
+    assert left == set(alike(rows).values()) and len(left) < 60
+
+
 def test_stages(spark, duck, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns

@@ -19,11 +19,12 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import column, mix, raw_hash, without, written
+from tilewright.llm._common import buckets, column, mix, raw_hash, without, written
 from tilewright.llm.components import components
 
 SHINGLE = 3
@@ -32,6 +33,8 @@ SEGMENTS = 32
 DISTANCE = 2
 #: What a filtering stage takes for near copies: shingles of so many words, and their Jaccard similarity; parts of a set whose least hashes are compared; bits that the fingerprints of such sets hardly ever differ in (15 and 3 are usual at 0.8).
 WORDS, SIMILARITY, SAMPLES, FAR = 5, 0.8, 8, 24
+#: Bits of the table that tells shingles of one text from others (2**BITMAP bits, sent to all tasks), and of its pages.
+BITMAP, PAGE = 27, 19
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -170,7 +173,7 @@ def _differ(a: Column, b: Column) -> Column:
 def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, far: int) -> DataFrame:
     """(a, b): fingerprints of texts whose sets of shingles have at least that Jaccard similarity. rows: sketches.
 
-    Texts as alike as that share the least hash of most parts of their sets. Of the texts that share one, the one whose wide fingerprint is nearest to the majority of all of them is their centre, and each is compared with the centre of
+    A first round, that finds most; rest() finds the others. Texts as alike as that share the least hash of most parts of their sets. Of the texts that share one, the one whose wide fingerprint is nearest to the majority of all of them is their centre, and each is compared with the centre of
     each of its parts: pairs are linear in the texts, however many share a hash. Sizes and wide fingerprints (differing in more bits than far means less alike) rule most out, and the sets decide."""
     each = rows.select("id", "th", "fp", "wide", "n", F.posexplode("mins").alias("t", "m")).where("m is not null")
     shared = written(each.groupBy("t", "m").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("t", "m"), "near-shared")
@@ -188,6 +191,11 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     met = met.where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
     pairs = met.select("id", "th", F.col("fp").alias("a"), F.col("c.id").alias("other_id"), F.col("c.th").alias("other_th"), F.col("c.fp").alias("b"))
     pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
+    return _alike(docs, pairs, id_col, text_col, words, similarity)
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(a, b) of pairs (id, th, a, other_id, other_th, b) whose texts' sets of shingles are as similar as asked."""
     texts = docs.select(F.col(id_col).alias("i"), raw_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     left = pairs.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))).select("a", "b", "other_id", "other_th", F.col("text").alias("left"))
     both = left.join(texts, F.col("other_id").eqNullSafe(F.col("i")) & (F.col("other_th") == F.col("h"))).select("a", "b", "left", F.col("text").alias("right"))
@@ -204,12 +212,137 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, more: DataFrame | None = None) -> DataFrame:
-    """(fp, lead) for each fingerprint of rows (id, th, fp): lead is the least (none, id, th) among the rows reachable by links, null ids last. more: further links (a, b) of fingerprints."""
+def counted(docs: DataFrame, text_col: str, words: int) -> DataFrame:
+    """(h, df), arrays, a row a run of ascending hashes: the shingles of two rows or more, and the number of rows. They are counted in hash buckets, after a count within each task, so that a common shingle is no hot key."""
+    n = buckets(docs.sparkSession)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(held), return_counts=True)
+        edges = np.searchsorted(((h >> np.uint64(48)) * np.uint64(n)) >> np.uint64(16), np.arange(n + 1))
+        arrays = [pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(x, pa.int64())) for x in (h.view(np.int64), c)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), *arrays], names=["k", "h", "c"]).filter(pa.array(np.diff(edges) > 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for text in column(batch, 0):
+                held.append(_set(text, words))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    yield packed(held)
+                    held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        h, c = (pc.list_flatten(table[x]).to_numpy() for x in "hc")
+        h, at = np.unique(h.view(np.uint64), return_inverse=True)
+        df = np.bincount(at, c, len(h)).astype(np.int64)
+        h, df = h[df > 1], df[df > 1]
+        edges = pa.array(np.append(np.arange(0, len(h), 1 << 12), len(h)), pa.int32())
+        return pa.table({k: pa.ListArray.from_arrays(edges, pa.array(x, pa.int64())) for k, x in (("h", h.view(np.int64)), ("df", df))})
+
+    each = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k int, h array<bigint>, c array<bigint>")
+    return each.groupBy("k").applyInArrow(add, "h array<bigint>, df array<bigint>")
+
+
+def _set(text: pa.Scalar, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes((text.as_py() or "").encode("utf-8", "surrogatepass"), words), np.uint64))
+
+
+def _bitmap(counts: DataFrame) -> np.ndarray:
+    """A table of fixed size with a bit set for each hash of counts, by its first BITMAP bits; it is put together by pages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.unique(batch.column(0).flatten().to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP)).astype(np.int64)
+            for page in np.unique(at >> PAGE).tolist():
+                own = at[at >> PAGE == page] & ((1 << PAGE) - 1)
+                np.bitwise_or.at(pages.setdefault(page, np.zeros(1 << PAGE - 3, np.uint8)), own >> 3, (1 << (own & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(pages), pa.int32()), pa.array([p.tobytes() for p in pages.values()], pa.binary())], names=["page", "bits"])
+
+    def both(table: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()])
+        return pa.table({"page": table["page"][:1], "bits": pa.array([bits.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << BITMAP - PAGE, 1 << PAGE - 3), np.uint8)
+    schema = "page int, bits binary"
+    for r in counts.select("h").mapInArrow(run, schema).groupBy("page").applyInArrow(both, schema).toLocalIterator():
+        out[r.page] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _prefix(n: Column, part: float) -> Column:
+    """How many of n shingles come before the last ceil(part * n) - 1 of them; rounded up where floats leave a doubt."""
+    return (n - F.ceil(n * F.lit(part) - F.lit(1e-6)) + 1).cast("int")
+
+
+def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(a, b): every link of fingerprints of texts as similar as asked that groups (node, root) doesn't hold together yet. rows: sketches.
+
+    A prefix-filter join: each set of shingles is put in one order, rare ones first. Of two sets x and y of that similarity s, ceil(s / (1 + s) * (|x| + |y|)) shingles at least are common, so the first common one
+    has that many behind it (itself included) in both: it is among the first |x| - ceil(s * |x|) + 1 of each, and among the first |x| - ceil(2s / (1 + s) * |x|) + 1 of the smaller. Shingles of one text alone come first and meet nothing, so a
+    text with enough of them is left out early, by a bitmap that may only err towards keeping it. Texts meet at a shingle only across groups: those outside the shingle's main group meet all that have it."""
+    counts = written(counted(docs, text_col, words), "near-counts")
+    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            at, sizes, found, held = [], [], [], 0
+
+            def out() -> pa.RecordBatch:
+                many = [len(x) for x in found]
+                where = pa.array(np.repeat(at, many))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(np.repeat(sizes, many), pa.int64()), pa.array(np.concatenate(found).view(np.int64))], names=["id", "th", "n", "h"])
+
+            for i, text in enumerate(column(batch, 2)):
+                own = _set(text, words)
+                bit = (own >> np.uint64(64 - BITMAP)).astype(np.int64)
+                some = own[bits[bit >> 3] >> (bit & 7) & 1 == 1]
+                # Shingles without a bit are this text's alone; where they fill its prefix, no other text is as similar.
+                if len(own) - len(some) < len(own) - np.ceil(similarity * len(own) - 1e-6) + 1 and len(some):
+                    at.append(i)
+                    sizes.append(len(own))
+                    found.append(some)
+                    held += len(some)
+                    if held > 1 << 18:
+                        yield out()
+                        at, sizes, found, held = [], [], [], 0
+            if held:
+                yield out()
+
+    kind = dict(docs.dtypes)[id_col]
+    texts = docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
+    met = texts.mapInArrow(run, f"id {kind}, th bigint, n bigint, h bigint").join(counts.selectExpr("inline(arrays_zip(h, df))"), "h")
+    # A set, as rows may repeat.
+    each = written(met, "near-met").groupBy("id", "th", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("at"))
+    each = each.withColumn("alone", (F.col("n") - F.size("at")).cast("int")).withColumn("most", _prefix(F.col("n"), similarity) - F.col("alone")).where("most > 0")
+    each = each.select(F.col("id").alias("i"), F.col("th").alias("t"), "n", "alone", F.slice("at.h", F.lit(1), F.col("most")).alias("at"))
+    own = rows.select("id", "th", "fp").distinct().join(groups, F.col("fp") == F.col("node"), "left").select("id", "th", "fp", F.coalesce("root", "fp").alias("root"))
+    each = own.join(each, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).select("id", "th", "fp", "root", "n", "alone", F.posexplode("at").alias("k", "h"))
+    each = each.select("id", "th", "fp", "root", "n", "h", (F.col("alone") + F.col("k")).alias("before"))
+    each = written(each.withColumn("low", F.col("before") < _prefix(F.col("n"), 2 * similarity / (1 + similarity))), "near-prefixes")
+    mixed = each.groupBy("h", "root").agg(F.count(F.lit(1)).alias("many"), F.max("low").alias("low")).groupBy("h")
+    mixed = mixed.agg(F.max(F.struct("many", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.max("low").alias("low")).where("roots > 1 and low").select("h", "main.root")
+    each = written(each.join(written(mixed.withColumnRenamed("root", "main"), "near-mixed"), "h"), "near-across")
+    x, y = each.where("root <> main").alias("x"), each.alias("y")
+    across = (F.col("x.root") < F.col("y.root")) | ((F.col("y.root") == F.col("y.main")) & (F.col("x.root") != F.col("y.root")))
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    behind = F.least(F.col("x.n") - F.col("x.before"), F.col("y.n") - F.col("y.before")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind)
+    pairs = written(pairs.select("x.id", "x.th", F.col("x.fp").alias("a"), F.col("y.id").alias("other_id"), F.col("y.th").alias("other_th"), F.col("y.fp").alias("b")), "near-candidates")
+    pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
+    return _alike(docs, pairs, id_col, text_col, words, similarity)
+
+
+def grouped(rows: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS, groups: DataFrame | None = None) -> DataFrame:
+    """(fp, lead) for each fingerprint of rows (id, th, fp): lead is the least (none, id, th) among the rows reachable by links, null ids last. groups: components (node, root), where they are known."""
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
     prints = written(rows.groupBy("fp").agg(lead.alias("lead")), "prints")
-    near = links(prints, distance, segments)
-    groups = written(components(near if more is None else near.unionByName(more)), "components")
+    if groups is None:
+        groups = written(components(links(prints, distance, segments)), "components")
     rooted = prints.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "lead", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
     return rooted.select("fp", "root").join(lowest, "root").select("fp", "lead")
@@ -225,7 +358,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs, all its columns, with one row of each group of near copies: that of the smallest id. Texts are linked if their fingerprints differ in at most two bits, or their sets of shingles of so many words are as similar as asked."""
     rows = written(sketches(docs, id_col, text_col, words, samples), "sketches")
     more = written(similar(docs, rows, id_col, text_col, words, similarity, far), "near-similar")
-    found = rows.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(grouped(rows, more=more), "fp")
+    groups = written(components(links(rows.select("fp").distinct()).unionByName(more)), "near-groups")
+    last = written(rest(docs, rows, groups, id_col, text_col, words, similarity), "near-rest")
+    if not last.isEmpty():
+        groups = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last)), "near-groups")
+    found = rows.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(grouped(rows, groups=groups), "fp")
     leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th"))
     gone = written(found.where(~leads).select("id", "th"), "near-gone")
     again = written(found.where(leads & (F.col("n") > 1)).select("id", "th"), "near-again")
