@@ -174,7 +174,7 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     """(a, b): fingerprints of texts whose sets of shingles have at least that Jaccard similarity. rows: sketches.
 
     A first round, that finds most; rest() finds the others. Texts as alike as that share the least hash of most parts of their sets. Of the texts that share one, the one whose wide fingerprint is nearest to the majority of all of them is their centre, and each is compared with the centre of
-    each of its parts: pairs are linear in the texts, however many share a hash. Sizes and wide fingerprints (differing in more bits than far means less alike) rule most out, and the sets decide."""
+    each of its parts: pairs are linear in the texts, however many share a hash. Sizes and wide fingerprints (differing in more bits than far means hardly as alike; rest() finds the rare pair that is) rule most out, and the sets decide."""
     each = rows.select("id", "th", "fp", "wide", "n", F.posexplode("mins").alias("t", "m")).where("m is not null")
     shared = written(each.groupBy("t", "m").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("t", "m"), "near-shared")
     members = written(each.join(shared, ["t", "m"]), "near-members")
