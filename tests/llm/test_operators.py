@@ -362,3 +362,15 @@ def test_bundles_are_sums_of_bound_vectors():
     dot = np.stack([np.bincount(bag.text, (bag.products(prototypes)[bag.gram] * bag.count[:, None])[:, k], 2) for k in range(2)], 1)
     own = np.stack([language.Bag([t], letters).bundle() for t in ("abc abd", "xyz")])
     assert np.allclose(dot, own @ prototypes.T, rtol=1e-4)
+
+
+def test_toxicity_where_toxic_labels_are_rare(spark, make):
+    """16 toxic texts of 4,000, a sample of 512: the words of toxic texts alone are learnt."""
+    random, bad = np.random.default_rng(6), ["grobzik", "vlurpash", "quindrox", "smeltyug"]
+    words = [f"{a}{b}{c}" for a in ("mor", "tal", "sen", "pil") for b in ("ado", "ine", "uke") for c in ("ra", "lis", "ton")]
+    texts = [" ".join(random.choice(words, 20)) for _ in range(4100)]
+    toxic = {*range(0, 4000, 250), *range(4000, 4050)}
+    texts = [f"{t} {bad[i % 4]} {bad[i // 4 % 4]}" if i in toxic else t for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(4000)], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.classify(make(*enumerate(texts)), labels, most=512).collect()}
+    assert np.mean([got[i] >= 0.5 for i in range(4000, 4050)]) > 0.9 and np.mean([got[i] < 0.5 for i in range(4050, 4100)]) > 0.9

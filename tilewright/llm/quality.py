@@ -107,12 +107,22 @@ def of_column(col: pa.Array, weights: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(y, text) of at most so many labelled rows, as a table. The ids chosen are bounded by that, and so may be broadcast."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn_from: Column, id_col: str, text_col: str, most: int, by_class: bool = False) -> DataFrame:
+    """(y, text) of at most so many labelled rows, as a table. The ids chosen are bounded by that, and so may be broadcast. by_class: all rows of the rarer class are drawn, up to half of the sample."""
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & learn_from)
-    chosen = written(chosen.orderBy(F.xxhash64("id"), "id", "y").limit(most), "sample-ids")
+    chosen = written(_drawn(chosen, [F.xxhash64("id"), "id", "y"], most, by_class), "sample-ids")
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return written(found.orderBy(F.xxhash64("text"), "y").limit(most).select("y", "text"), "sample")
+    return written(_drawn(found.select("y", "text"), [F.xxhash64("text"), "y"], most, by_class), "sample")
+
+
+def _drawn(rows: DataFrame, order: list[Column | str], most: int, by_class: bool) -> DataFrame:
+    """The first so many rows in that order."""
+    if not by_class:
+        return rows.orderBy(*order).limit(most)
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    rare = min((0, 1), key=lambda y: counts.get(y, 0))
+    few = min(counts.get(rare, 0), most // 2)
+    return rows.where(F.col("y") == rare).orderBy(*order).limit(few).unionByName(rows.where(F.col("y") != rare).orderBy(*order).limit(most - few))
 
 
 def train(rows: DataFrame) -> np.ndarray:

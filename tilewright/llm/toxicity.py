@@ -2,7 +2,7 @@
 
 A word's character n-grams (3 to 5 letters, edges of the word included, lower case) are hashed into ``2**BITS`` vectors. A text is the mean of the vectors of
 all its n-grams, weighted by a smooth inverse of their frequency, and a linear softmax over two classes reads the mean; vectors and softmax are trained together by AdaGrad in numpy, on a bounded sample of
-labelled texts (``SAMPLE`` rows) in one task. As the softmax is linear, each vector's share in the difference of the two logits is one number;
+labelled texts (``SAMPLE`` rows, the rarer class whole up to half of them) in one task. As the softmax is linear, each vector's share in the difference of the two logits is one number;
 the executors get that table, of fixed size, and a score is its mean over the whole text.
 
 Defined results: null texts and those without a letter or digit have the mean zero and score by the intercepts alone; rows that repeat a doc_id are
@@ -53,7 +53,9 @@ def fit(texts: list[str | None], labels: np.ndarray, bits: int = BITS, dim: int
         in_texts[at] += 1
         in_all[at] += times
         each.append((at.astype(np.int32), times.astype(np.float32), int(y)))
-    # Frequent n-grams weigh less (a smooth inverse frequency), and those of few texts have no vector: they would only tell these texts apart.
+    # Frequent n-grams weigh less (a smooth inverse frequency), and those of few texts have no vector: they would only tell these texts apart. Where the rarer class has few texts itself, fewer are asked for.
+    toxic = sum(y for *_, y in each)
+    least = min(least, max(1, min(toxic, len(each) - toxic) // 50))
     weight = np.where(in_texts >= least, COMMON / (COMMON + in_all / max(1.0, in_all.sum())), 0)
     bags = []
     for at, times, y in each:
@@ -123,5 +125,5 @@ def score(docs: DataFrame, table: np.ndarray, id_col: str = "doc_id", text_col:
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> DataFrame:
     """Fit on the labelled rows that learn_from (a condition on ``id``) admits, and score every row."""
-    rows = sample(docs, labels, label, F.lit(True) if learn_from is None else learn_from, id_col, text_col, most)
+    rows = sample(docs, labels, label, F.lit(True) if learn_from is None else learn_from, id_col, text_col, most, by_class=True)
     return score(docs, train(rows), id_col, text_col)
