@@ -227,3 +227,12 @@ def test_stream(spark, sf_dir, tmp_path):
     scoring.score(scoring.arriving(spark, str(tmp_path / "in"), rows.schema, 1), centres, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     got, want = spark.read.parquet(str(tmp_path / "out")), cluster.nearest(rows, centres)
     assert got.count() == want.count() and got.select("slide", "n", "c1").exceptAll(want.select("slide", "n", "c1")).isEmpty()
+
+
+def test_singletons_are_segments_where_asked(spark):
+    """Tiles 0 and 1 are joined, 2 has an edge too heavy, 3 none."""
+    edges = spark.createDataFrame([("s", 0, 1, 1.0), ("s", 1, 2, 99.0)], "slide string, a bigint, b bigint, w double")
+    tiles = spark.createDataFrame([("s", n) for n in range(4)], "slide string, n bigint")
+    assert {(r.n, r.label) for r in graph.felzenszwalb(edges).collect()} == {(0, 0), (1, 0)}
+    assert {(r.n, r.label) for r in graph.felzenszwalb(edges, keep_singletons=True).collect()} == {(0, 0), (1, 0), (2, 1)}
+    assert {(r.n, r.label) for r in graph.felzenszwalb(edges, keep_singletons=True, tiles=tiles).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2)}

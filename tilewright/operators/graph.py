@@ -135,11 +135,11 @@ class DisjointSets:
         return a
 
 
-def segment(a: np.ndarray, b: np.ndarray, w: np.ndarray, coeff: float = 10.0) -> dict[int, int]:
-    """Felzenszwalb's segmentation of one graph: node to the least node of its segment. Nodes without an edge taken are left out."""
+def segment(a: np.ndarray, b: np.ndarray, w: np.ndarray, coeff: float = 10.0, keep_singletons: bool = False) -> dict[int, int]:
+    """Felzenszwalb's segmentation of one graph: node to the least node of its segment. Nodes without an edge taken are left out, or, with keep_singletons, segments of their own."""
     ids = np.unique(np.concatenate([a, b]))
     u, v = np.searchsorted(ids, a), np.searchsorted(ids, b)
-    sets, used = DisjointSets(len(ids)), np.zeros(len(ids), bool)
+    sets, used = DisjointSets(len(ids)), np.full(len(ids), keep_singletons)
     for i in np.lexsort((b, a, w)):
         p, q = sets.root(int(u[i])), sets.root(int(v[i]))
         if p != q and w[i] <= min(sets.energy[p] + coeff / sets.size[p], sets.energy[q] + coeff / sets.size[q]):
@@ -151,11 +151,15 @@ def segment(a: np.ndarray, b: np.ndarray, w: np.ndarray, coeff: float = 10.0) ->
     return {int(ids[k]): least[sets.root(int(k))] for k in np.flatnonzero(used)}
 
 
-def felzenszwalb(edges: DataFrame, coeff: float = 10.0) -> DataFrame:
-    """(slide, n, label) of edges (slide, a, b, w): labels are gapless from 0 by the least tile of each segment. The method takes a slide's edges in order, so a slide is one task; tiles that no edge was taken for are left out."""
+def felzenszwalb(edges: DataFrame, coeff: float = 10.0, keep_singletons: bool = False, tiles: DataFrame | None = None) -> DataFrame:
+    """(slide, n, label) of edges (slide, a, b, w): labels are gapless from 0 by the least tile of each segment. The method takes a slide's edges in order, so a slide is one task; tiles that no edge was taken for are left out, or, with keep_singletons, segments of their own. tiles (slide, n): with keep_singletons, those to label even where they have no edge."""
+    if keep_singletons and tiles is not None:
+        # An edge from a tile to itself joins nothing.
+        n = F.col("n").cast("bigint")
+        edges = edges.select("slide", "a", "b", "w").unionByName(tiles.select("slide", n.alias("a"), n.alias("b"), F.lit(0.0).alias("w")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        of = segment(rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["w"].to_numpy(float), coeff)
+        of = segment(rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["w"].to_numpy(float), coeff, keep_singletons)
         rank = {root: i for i, root in enumerate(sorted(set(of.values())))}
         return pd.DataFrame({"slide": rows["slide"].iloc[0], "n": list(of), "label": [rank[r] for r in of.values()]})
 
