@@ -236,3 +236,11 @@ def test_singletons_are_segments_where_asked(spark):
     assert {(r.n, r.label) for r in graph.felzenszwalb(edges).collect()} == {(0, 0), (1, 0)}
     assert {(r.n, r.label) for r in graph.felzenszwalb(edges, keep_singletons=True).collect()} == {(0, 0), (1, 0), (2, 1)}
     assert {(r.n, r.label) for r in graph.felzenszwalb(edges, keep_singletons=True, tiles=tiles).collect()} == {(0, 0), (1, 0), (2, 1), (3, 2)}
+
+
+def test_visual_words_from_all_windows(spark, monkeypatch):
+    """Two images of 23 x 23 pixels have 256 windows each."""
+    seen, fit = [], models.clustered
+    monkeypatch.setattr(models, "clustered", lambda rows, *given: seen.append(rows.count()) or fit(rows, *given))
+    images = spark.createDataFrame([(i, 23, 23, [(i * 90 + k * k) % 256 for k in range(529)]) for i in range(2)], "id int, height int, width int, pixels array<int>")
+    assert models.visual_words(images, 2, every=1).count() == 2 and seen == [512]

@@ -53,20 +53,19 @@ def windows(image: np.ndarray, size: int = 8) -> np.ndarray:
     return np.moveaxis(view, 2, -1).reshape(-1, size * size * image.shape[2]) if image.ndim == 3 else view.reshape(-1, size * size)
 
 
-def visual_words(images: DataFrame, n_words: int, size: int = 8, seed: int = 7, every: int = 50, most: int = 20000) -> DataFrame:
-    """(id, features): words from the windows of every so many-th image (by a hash of id), of which k-means gets at most about so many rows."""
+def visual_words(images: DataFrame, n_words: int, size: int = 8, seed: int = 7, every: int = 50) -> DataFrame:
+    """(id, features): words from all windows of every so many-th image (by a hash of id)."""
     sampled = images.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(every)) == 0)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        random = np.random.default_rng(seed)
         for batch in batches:
             for r in batch.itertuples():
                 rows = windows(np.array(r.pixels, float).reshape(r.height, r.width), size) / 127.5 - 1
-                keep = random.choice(len(rows), min(len(rows), 200), replace=False)
-                yield pd.DataFrame({"features": rows[keep].tolist()})
+                for at in range(0, len(rows), 4096):
+                    yield pd.DataFrame({"features": rows[at : at + 4096].tolist()})
 
     rows = sampled.select("height", "width", "pixels").mapInPandas(cut, "features array<double>")
-    return clustered(rows.limit(most), n_words, seed)[1]
+    return clustered(rows, n_words, seed)[1]
 
 
 def word_counts(images: DataFrame, words: DataFrame, size: int = 8, compat: bool = False) -> DataFrame:
