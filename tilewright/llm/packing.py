@@ -6,7 +6,9 @@ tree holds the largest capacity below each node, so that the first such bin is f
 never leave the scan: a piece carries its checksum.
 
 Defined results: a null text is empty and is its end id alone; each of the rows that repeat a doc_id is a document of its own (their pieces look
-alike, each in a place of its own); null ids are packed like any other; an empty table gives no rows.
+alike, each in a place of its own); null ids are packed like any other; an empty table gives no rows. A text of any length is coded whole; one whose white space or
+other runs are too long for the faster coder goes to the reference coder. Among rests of equal length the earlier in its group goes first, so ties depend on the order in which a task
+meets its rows, and only the numbers of sequences with them. Other columns of the input, whatever their names, don't matter and aren't returned.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ GROUP = 8192
 
 
 class Tokenizer:
-    """Ids of a byte-level BPE vocabulary. The fast coder of the same vocabulary gives the same ids where no special token's string occurs; with one, the reference coder is asked."""
+    """Ids of a byte-level BPE vocabulary. The fast coder of the same vocabulary gives the same ids where no special token's string occurs; with one, or where the fast coder gives up (its pattern has a bounded stack), the reference coder is asked."""
 
     def __init__(self, json_path: str, ranks_path: str) -> None:
         import public_tokenizers
@@ -42,13 +44,16 @@ class Tokenizer:
         self.json_path, self.slow = json_path, None
 
     def ids(self, text: str) -> np.ndarray:
-        if "<|endoftext|>" in text:
-            if self.slow is None:
-                from tokenizers import Tokenizer as Own
-
-                self.slow = Own.from_file(self.json_path)
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+        if "<|endoftext|>" not in text:
+            try:
+                return np.asarray(self.fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
+            except ValueError:  # a run too long for its pattern
+                pass
+        if self.slow is None:
+            from tokenizers import Tokenizer as Own
+
+            self.slow = Own.from_file(self.json_path)
+        return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 class TournamentTree:
