@@ -9,7 +9,7 @@ A language's sample is ``SAMPLE`` rows in expectation, chosen by a hash of the i
 ``DIM`` numbers a language come to the driver.
 
 Defined results: null texts and those without a letter are ``und`` with score 0, as is every text when no row has a language; a tie goes to the language that sorts
-first; rows that repeat a doc_id are each predicted (and learnt from); an empty table gives no rows. The score is the softmax of the cosines times a sharpness. A
+first; rows that repeat a doc_id are each predicted (and learnt from); an empty table gives no rows. A text of any length, and of any number of distinct letters, is read whole; a row's other columns, whatever their names, don't matter. The score is the softmax of the cosines times a sharpness. A
 text's norm takes distinct trigrams as orthogonal, which random vectors are but for noise; it is the same for all languages.
 """
 
@@ -47,34 +47,36 @@ class Bag:
         self.codes, place = np.unique(codes, return_inverse=True)
         n = len(self.codes)
         at = np.flatnonzero(codes[1:-1] != 0) if len(codes) > 2 else np.empty(0, np.int64)
+        # A trigram of up to 1.1 million letters fits 63 bits; with a text's number it need not, so that trigrams are numbered first.
         gram = (place[at] * n + place[at + 1]) * n + place[at + 2]
-        text = np.searchsorted(offsets, at, "right") - 1
-        key = np.sort(text * n**3 + gram)
+        self.grams, gram = np.unique(gram, return_inverse=True)
+        text, many = np.searchsorted(offsets, at, "right") - 1, max(1, len(self.grams))
+        key = np.sort(text * many + gram)
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
         self.count = np.diff(np.append(new, len(key)))
-        self.text, gram = np.divmod(key[new], n**3)
-        self.grams, self.gram = np.unique(gram, return_inverse=True)
+        self.text, self.gram = np.divmod(key[new], many)
         self.n_texts = len(texts)
 
+    def vectors(self, first: int, last: int, dim: int) -> np.ndarray:
+        """The vectors of some distinct trigrams. Only their own letters' vectors are made, however many the texts have."""
+        n, g = len(self.codes), self.grams[first:last]
+        letters, at = np.unique(np.stack([g // (n * n), g // n % n, g % n]), return_inverse=True)
+        own = letter_vectors(self.codes[letters], dim)
+        a, b, c = at.reshape(3, -1)
+        return (np.roll(own, 2, 1)[a] * np.roll(own, 1, 1)[b] * own[c]).astype(np.float32)
+
     def products(self, prototypes: np.ndarray) -> np.ndarray:
         """Each distinct trigram's product with each prototype."""
-        dim, n = prototypes.shape[1], len(self.codes)
-        own = letter_vectors(self.codes, dim)
-        once, twice = np.roll(own, 1, 1), np.roll(own, 2, 1)
         out = np.empty((len(self.grams), len(prototypes)), np.float32)
         for k in range(0, len(self.grams), 2048):
-            g = self.grams[k : k + 2048]
-            out[k : k + 2048] = (twice[g // (n * n)] * once[g // n % n] * own[g % n]).astype(np.float32) @ prototypes.T
+            out[k : k + 2048] = self.vectors(k, k + 2048, prototypes.shape[1]) @ prototypes.T
         return out
 
     def bundle(self, dim: int = DIM) -> np.ndarray:
         """The sum of the vectors of all trigrams of all texts."""
-        times = np.bincount(self.gram, self.count, len(self.grams)).astype(np.float32)
-        n, own = len(self.codes), letter_vectors(self.codes, dim)
-        once, twice, out = np.roll(own, 1, 1), np.roll(own, 2, 1), np.zeros(dim)
+        times, out = np.bincount(self.gram, self.count, len(self.grams)).astype(np.float32), np.zeros(dim)
         for k in range(0, len(self.grams), 2048):
-            g = self.grams[k : k + 2048]
-            out += times[k : k + 2048] @ (twice[g // (n * n)] * once[g // n % n] * own[g % n]).astype(np.float32)
+            out += times[k : k + 2048] @ self.vectors(k, k + 2048, dim)
         return out
 
 
