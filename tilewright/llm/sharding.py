@@ -3,12 +3,13 @@
 Rows of equal text are a group and stay together unless the group is heavy: what outgrows a small part of a shard is cut by a hash of the id into
 chunks below it. Groups and chunks are hashed into cells (at most ``cells`` of them, so what the driver places is bounded at any input size), a
 partial aggregate gives each cell's vector (bytes, tokens, rows), and the driver deals the cells out, the heaviest first, each to the
-shard where the dot product of its vector with the shard's residual capacity is highest. Small cells come last and level the bytes. Slots are
+shard where the weighted dot product of its vector with the shard's residual capacity is highest, among those with room for its bytes. Small cells come last and level the rest. Slots are
 gapless: a cell's rows are numbered within the cell, behind those of the cells before it in its shard.
 
 Defined results: a row's size is its text's UTF-8 bytes plus 8, a null text has none (crc32 0); repeated rows are rows of their own, and get slots
 of their own; null ids hash like any other; an empty table gives no rows. Tokens are counted as runs of characters outside ASCII white space.
-Fewer rows than shards leave shards empty.
+Fewer rows than shards leave shards empty. Cells of equal weight are dealt by number, and the shard of the lowest number wins a tie. A text of any length is one row, so that a
+shard can't be below the largest. Other columns of the input, whatever their names, don't matter and aren't returned.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from tilewright.llm._common import written
 
 #: Cells that the driver places at most: a documented bound on what it collects (5 numbers a cell).
 CELLS = 1 << 15
+#: What bytes, tokens and rows count in the dot product: the law is on bytes.
+WEIGHTS = np.array([10.0, 1.0, 1.0])
 
 
 def place(vectors: np.ndarray, shards: int) -> np.ndarray:
@@ -29,14 +32,11 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     share = vectors / total
     residual = np.full((shards, vectors.shape[1]), 1.0 / shards)
     out = np.zeros(len(vectors), np.int64)
-    order = np.lexsort((np.arange(len(vectors)), -vectors[:, 0]))
-    # The law is on bytes: cells that hold the last tenth of them look at bytes alone and so level what the joint rule left.
-    level = np.cumsum(share[order, 0]) > 0.9
-    for k, cell in enumerate(order):
+    largest = (share * WEIGHTS).max(1) if len(share) else np.empty(0)
+    for cell in np.lexsort((np.arange(len(vectors)), -largest)):
         # Shards that have room for its bytes come first; where none has, the one with the most.
         room = residual[:, 0] >= share[cell, 0]
-        fit = residual[:, 0] if level[k] or not room.any() else np.where(room, residual @ share[cell], -np.inf)
-        best = int(np.argmax(fit))
+        best = int(np.argmax(np.where(room, residual @ (share[cell] * WEIGHTS), -np.inf) if room.any() else residual[:, 0]))
         out[cell] = best
         residual[best] -= share[cell]
     return out
