@@ -175,25 +175,47 @@ def test_substring_texts(spark, make):
     assert got == {1: None, 2: "before after"}
 
 
-def test_anchors_miss_no_repeat():
-    """Every repeated window has a shared anchor, whatever surrounds it."""
-    import pyarrow as pa
-
+def test_windows_that_are_equal_have_equal_interiors():
+    """Whatever surrounds a window, each level's symbols inside it are the same, and cover only its own words."""
     random = np.random.default_rng(6)
     for size in (2, 3, 5, 40):
-        words = [f"v{k}" for k in range(size)]
-        texts = [" ".join(random.choice(words, int(random.integers(0, 90)))) for _ in range(40)]
-        hashes, offsets = substring.word_hashes(pa.array(texts))
-        name, text, start, count = substring.anchors(hashes, offsets)
-        shared = np.isin(name, [n for n, c in zip(*np.unique(name, return_counts=True), strict=True) if c > 1])
-        found = {(int(t), int(s) + k) for t, s, c in zip(text[shared], start[shared], count[shared], strict=True) for k in range(int(c))}
-        assert int(count.sum()) == sum(max(0, len(t.split()) - 19) for t in texts)
-        seen = {}
-        for i, t in enumerate(texts):
-            w = t.split()
-            for k in range(len(w) - 19):
-                seen.setdefault(tuple(w[k : k + 20]), []).append((i, k))
-        assert {p for v in seen.values() if len(v) > 1 for p in v} <= found
+        texts = [random.integers(0, size, int(random.integers(20, 90))) for _ in range(40)]
+        names = random.integers(1, 1 << 63, size).astype(np.uint64)[np.concatenate(texts)]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        first = np.zeros(len(names), bool)
+        first[offsets[:-1]] = True
+        starts = np.concatenate([np.arange(a, b - 19) for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        seen, deep = {}, 0
+        for level in substring.recompress(names, first, starts, 5):
+            for k, (a, b) in enumerate(zip(level.low.tolist(), level.high.tolist(), strict=True)):
+                inside = tuple(level.names[a:b].tolist())
+                seen.setdefault(tuple(names[starts[k] : starts[k] + 20].tolist()), {}).setdefault(id(level), inside)
+                assert seen[tuple(names[starts[k] : starts[k] + 20].tolist())][id(level)] == inside
+                deep = max(deep, len(inside) and 20 // len(inside))
+        assert deep >= 3
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_words_that_weak_hashes_confuse(spark, make):
+    a = thue_morse(1024)
+    rest = " ".join(f"r{k}" for k in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{a.translate(str.maketrans('ab', 'ba'))} {rest}"), (3, f"{a} {rest}"), (2**63 - 1, "z " * 20), (None, "z " * 20)]
+    got = {r.doc_id: r.n_removed for r in substring.substring_dedup(make(*rows)).collect()}
+    assert got == {1: 0, 2: 0, 3: 20, 2**63 - 1: 0, None: 20}
+
+
+@pytest.mark.parametrize("bits", [1, 4, 9])
+def test_windows_whose_hashes_clash(spark, make, bits):
+    random = np.random.default_rng(8)
+    words = [f"c{k}" for k in range(60)]
+    passages = [random.choice(words, 30).tolist() for _ in range(6)]
+    rows = [(i, " ".join(random.choice(words, 5).tolist() + passages[i % 6][: 24 + i % 7] + random.choice(words, 12).tolist())) for i in range(24)]
+    rows += [(3, rows[3][1]), (3, rows[4][1]), (None, rows[5][1])]
+    got = substring.substring_dedup(make(*rows), bits=bits).collect()
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows)
 
 
 # Decontamination

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,8 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (as in tests), one under the warehouse."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset and driver and executors are one process (as in tests), one under the warehouse; on a cluster that is an error, as each machine would write a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
 
 
@@ -32,9 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """As many hash buckets as a shuffle has partitions, which follows the size of the input."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that written() made and that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
+def buckets(spark: SparkSession, size: int, most: int) -> int:
+    """How many hash buckets hold so much with at most so much each, on average; as many as a shuffle has partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -5,12 +5,13 @@ shorter item is one window). The machine for windows of m words looks at the blo
 says how far the span can move before that block could stand in a window; where the shift is zero the block's hash bucket lists windows, whose
 other words are compared directly. Items of fewer than ten words have machines of their own, by length, so that they don't shorten the shifts.
 
-The windows sent to the executors are bounded: the benchmark is cut into blocks of at most ``BLOCK_WORDS`` words by a running sum over its items,
-and a benchmark of more than one block is searched block by block over all documents, whose partial results are then merged.
+The windows sent to the executors are bounded: the benchmark is cut into blocks of at most ``BLOCK_WORDS`` words by a running sum over its items. Rows pass from
+block to block and gather spans and items on the way, without a shuffle; ``BLOCKS`` blocks are searched in one scan, and the rows are written between scans.
 
 Defined results: a null text has no words (n_words 0, no item), and neither an item of none nor one without words occurs anywhere;
 items of equal text all count; items are listed once, sorted as strings; repeated rows are returned as often as they come; an empty
-benchmark hits nothing; an empty table gives no rows. Null item ids are left out of the list, but their words hit.
+benchmark hits nothing; an empty table gives no rows. Null item ids are left out of the list, but their words hit. Texts of any length are searched whole; overlapping and
+touching windows are one span, so ties between them don't matter; a row's other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 WINDOW = 10
 #: Words of the benchmark that one pass holds: about 100 MB of tables in a Python worker.
 BLOCK_WORDS = 200_000
+#: Blocks that one scan of the documents searches.
+BLOCKS = 4
 
 
 def words(text: str | None) -> list[bytes]:
@@ -110,46 +113,38 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, most: int) -> Iter
     yield block
 
 
-_FIELDS = [("n_words", "bigint"), ("spans", "array<struct<start:bigint,end:bigint>>"), ("items", "array<string>")]
+_SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-def _scan(docs: DataFrame, block: list[tuple[object, str | None]], id_col: str, text_col: str, window: int) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+def _scan(rows: DataFrame, block: list[tuple[object, str | None]], window: int) -> DataFrame:
+    """rows (id, text, n_words, spans, items) with one more block's spans and items."""
+    sent = rows.sparkSession.sparkContext.broadcast(block)
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = machines(sent.value, window)
         for batch in batches:
             n, spans, items = [], [], []
-            for text in column(batch, 1).to_pylist():
+            for text, old, had in zip(column(batch, 1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 ws = words(text)
                 hit, found = find(ws, search)
+                hit = merged(hit + [(s["start"], s["end"]) for s in old]) if old else hit
                 n.append(len(ws))
                 spans.append([{"start": a, "end": b} for a, b in hit])
-                items.append(sorted(str(x) for x in found if x is not None))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=["id", "n_words", "spans", "items"])
+                items.append(sorted({str(x) for x in found if x is not None}.union(had)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=rows.columns)
 
-    kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} {t}" for n, t in _FIELDS))
+    return rows.mapInArrow(run, rows.schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id_col, n_words, spans, items): the merged spans of hit words, and the items with an occurring window, a row of docs."""
-    parts = [_scan(docs, block, id_col, text_col, window) for block in _blocks(benchmark, item_col, item_text_col, block_words)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    # Rows that repeat an id have different texts or are alike; the number of words and a hash of the text tell them apart.
-    keyed = docs.select(F.col(id_col), F.col(text_col), F.struct(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("h")).alias("k"))
-    parts = [_scan(keyed.select("k", text_col), block, "k", text_col, window) for block in _blocks(benchmark, item_col, item_text_col, block_words)]
-    all_parts = written(parts[0].withColumn("part", F.lit(0)), "hits-0")
-    for i, p in enumerate(parts[1:], 1):
-        all_parts = all_parts.unionByName(written(p.where(F.size("spans") > 0).withColumn("part", F.lit(i)), f"hits-{i}"))
-    merge = F.udf(lambda many: [{"start": a, "end": b} for a, b in merged([tuple(s) for one in many for s in one])], dict(_FIELDS)["spans"])
-    got = all_parts.groupBy("id").agg(
-        F.max("n_words").alias("n_words"), F.collect_set("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("part") == 0).alias("n")
-    )
-    got = got.select(F.col("id.id").alias(id_col), "n_words", merge("spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("_copy"))
-    return got.drop("_copy")
+    none = F.expr("array_repeat(cast(null as struct<start:bigint,end:bigint>), 0)"), F.expr("cast(array() as array<string>)")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), none[0].cast(_SPANS).alias("spans"), none[1].alias("items"))
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
+        # Each block of a stage has a Python worker of its own, with its own tables; between stages the rows are written.
+        rows = _scan(written(rows, "hits") if k and k % BLOCKS == 0 else rows, block, window)
+    return rows.select(F.col("id").alias(id_col), "n_words", "spans", "items")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:

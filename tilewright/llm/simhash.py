@@ -35,6 +35,8 @@ DISTANCE = 2
 WORDS, SIMILARITY, SAMPLES, FAR = 5, 0.8, 8, 24
 #: Bits of the table that tells shingles of one text from others (2**BITMAP bits, sent to all tasks), and of its pages.
 BITMAP, PAGE = 27, 19
+#: Shingles counted in one hash bucket, about.
+BUCKET = 1 << 22
 
 
 def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
@@ -212,9 +214,9 @@ def _alike(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str, words:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def counted(docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(h, df), arrays, a row a run of ascending hashes: the shingles of two rows or more, and the number of rows. They are counted in hash buckets, after a count within each task, so that a common shingle is no hot key."""
-    n = buckets(docs.sparkSession)
+def counted(docs: DataFrame, text_col: str, words: int, total: int) -> DataFrame:
+    """(h, df), arrays, a row a run of ascending hashes: the shingles of two rows or more, and the number of rows. total: the shingles of all rows. They are counted in hash buckets, after a count within each task, so that a common shingle is no hot key."""
+    n = buckets(docs.sparkSession, total, BUCKET)
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
         h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -284,7 +286,8 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
     A prefix-filter join: each set of shingles is put in one order, rare ones first. Of two sets x and y of that similarity s, ceil(s / (1 + s) * (|x| + |y|)) shingles at least are common, so the first common one
     has that many behind it (itself included) in both: it is among the first |x| - ceil(s * |x|) + 1 of each, and among the first |x| - ceil(2s / (1 + s) * |x|) + 1 of the smaller. Shingles of one text alone come first and meet nothing, so a
     text with enough of them is left out early, by a bitmap that may only err towards keeping it. Texts meet at a shingle only across groups: those outside the shingle's main group meet all that have it."""
-    counts = written(counted(docs, text_col, words), "near-counts")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    counts = written(counted(docs, text_col, words, total), "near-counts")
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,127 +1,59 @@
 """Substring dedup by recompression: words covered by a window of 20 words that also starts earlier are found, over all documents.
 
-Words are named by 64-bit hashes. In each of ``ROUNDS`` rounds every symbol gets a coin from its name, and a symbol of coin 0 followed by one of coin 1 becomes a
-pair, named by the hash of both names; so names are global without a dictionary. Symbols of a run are equal, have one coin and never pair across it: a run
-keeps its unit's name, whatever its length. Whether two symbols pair depends on them alone, so wherever a window stands, the symbols
-over its inner words (all but 1 + 2 at either side after two rounds) are the same: consistent interior symbols.
+Every document is a sequence of symbols, at first its words. Level 1 names maximal runs of one word by unit and length; each level above gives every symbol a coin
+from its name, and a symbol of coin 0 followed by one of coin 1 becomes a pair, named by both. A name depends on what it stands for alone, so it is global. What
+a window's symbols at a level are depends on the window alone but for its edges: its first and last run may go on outside, and at each pairing a first symbol of coin 1
+or a last one of coin 0 may have its partner outside. What is left without these is the window's interior: consistent symbols, the same wherever the window stands.
 
-Each window takes one of these as its anchor, the longest, by hash among equals; neighbours mostly take the same one, so that there is one anchor
-record for some eight words. A shuffle by name shows which names occur more than once (names that are frequent within a task meet there and travel once a
-task, so common ones weigh nothing). Only windows with a shared anchor can repeat. Their hashes over all 20 words are computed from the text and
-shuffled in turn; of equal ones all but the earliest are repeats, and the words that these cover go.
+Spark rounds, each for two levels, join what all documents know of names: a round's dictionary, split into hash buckets, tells each chunk of documents which of the names in its windows'
+interiors are met more than once anywhere. A window with a name that isn't can't repeat and goes, and with it what only it needed; so the windows left have shared symbols up to the highest level, of about six
+words. These decide where repeats may be; windows that share all are then matched by a hash of their words, and verified: equal hashes are arranged as a tree of at
+most ``FAN`` children a window, the words of each parent travel to its children, a stretch of consecutive windows at once, and are compared. A window whose
+words equal those of a parent that starts earlier is a repeat. Where they differ the hash clashes, and all windows of that hash are grouped by their words themselves. So a hash never decides.
 
-Records travel packed, a row for each task's chunk and bucket of names, and each group that a Python task takes is a bucket of a hash or a chunk of bounded
-size. Documents without a shared anchor send nothing more. Texts are shuffled once, by a hash of the row, for both passes over candidates.
+Documents are read once, into chunks of bounded size that hold each distinct word once; the passes move these, packed. In a chunk equal windows meet first, so that a
+passage that is everywhere costs one record a chunk and window. Names, windows and their buckets are dealt to as many buckets as the number of words asks for.
 
 Defined results: ids are integers; a null text has no words, and texts of fewer than 20 words lose none; only doc_id and start order windows, so that of rows that
-repeat both id and text none is earlier, and a null id is later than any other. An empty table gives no rows. The digest of no words is
-that of the empty string. Hashes have 64 bits: with n candidate windows, about n * n / 2**65 pairs may be taken for equal wrongly.
+repeat both id and text none is earlier, and a null id is later than any other. A text of any length is one chunk's at most, whole. An empty table gives no rows. The digest of no words is
+that of the empty string. Other columns of the input, whatever their names, don't matter and aren't returned.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm._common import SPACES, SpanHash, buckets, column, mix, slices, utf8, word_spans, written
+from tilewright.llm._common import SpanHash, buckets, column, discard, mix, slices, utf8, written
 
 WINDOW = 20
-#: Rounds of pairing; a symbol holds up to 4 words after two, and up to 1 + 2 words at either side of a window may pair outwards.
-ROUNDS = 2
-#: Words that a task works on at once.
-CHUNK_WORDS = 1 << 20
-#: Stands for a null id on the way.
-LAST_ID = int(np.iinfo(np.int64).max)
-
-
-def margin(rounds: int) -> int:
-    return (1 << rounds) - 1
-
-
-def word_hashes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word, and the n + 1 offsets of each text's words."""
-    raw, offsets = utf8(col)
-    hashes, counts = [], []
-    for a, b in slices(offsets):
-        own, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        starts, ends, of = word_spans(own, at, SPACES)
-        hashes.append(SpanHash(own.astype(np.uint64) + np.uint64(1))(starts, ends))
-        counts.append(np.diff(of))
-    if not counts:
-        return np.empty(0, np.uint64), np.zeros(1, np.int64)
-    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
-
-
-def recompress(names: np.ndarray, first: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """The names of the symbols after so many rounds, and the word at which each starts. first: whether a word is its text's first."""
-    start = np.arange(len(names))
-    for r in range(1, rounds + 1):
-        coin = mix(names ^ np.uint64(r * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(63)
-        left = np.flatnonzero((coin[:-1] == 0) & (coin[1:] == 1) & ~first[1:])
-        names = names.copy()
-        names[left] = mix(names[left] * np.uint64(3) ^ mix(names[left + 1] + np.uint64(r)))
-        keep = np.ones(len(names), bool)
-        keep[left + 1] = False
-        names, start, first = names[keep], start[keep], first[keep]
-    return names, start
-
-
-def window_starts(offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """The first word and the text of each window."""
-    n = np.maximum(0, np.diff(offsets) - window + 1)
-    text = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n) + offsets[:-1][text], text
-
-
-def anchors(words: np.ndarray, offsets: np.ndarray, window: int = WINDOW, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name, text, first window within the text, windows) for each run of windows that share an anchor."""
-    starts, text = window_starts(offsets, window)
-    if not len(starts):
-        return np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3
-    first = np.zeros(len(words), bool)
-    first[offsets[:-1][offsets[:-1] < len(words)]] = True
-    names, at = recompress(mix(words), first, rounds)
-    length = np.diff(np.append(at, len(words)))
-    # Smaller is better: the longest symbol, then the smallest hash.
-    rank = ((np.uint64((1 << rounds)) - length.astype(np.uint64)) << np.uint64(60)) | (mix(names) >> np.uint64(4))
-    best = np.repeat(np.arange(len(names), dtype=np.int32), length)
-    zone, width = window - 2 * margin(rounds), 1
-    while 2 * width <= zone:
-        a, b = best[:-width], best[width:]
-        best, width = np.where(rank[b] < rank[a], b, a), 2 * width
-    if zone > width:
-        a, b = best[: -(zone - width)], best[zone - width :]
-        best = np.where(rank[b] < rank[a], b, a)
-    chosen = best[starts + margin(rounds)]
-    new = np.ones(len(chosen), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(new)
-    return names[chosen[begin]], text[begin], starts[begin] - offsets[:-1][text[begin]], np.diff(np.append(begin, len(chosen)))
-
-
-def _edges(n: int) -> np.ndarray:
-    """The least names of buckets 1 to n - 1: equal ranges of values."""
-    return np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
-
-
-def by_bucket(names: np.ndarray, n: int) -> np.ndarray:
-    """The n + 1 offsets of the buckets of sorted names."""
-    return np.concatenate([[0], np.searchsorted(names, _edges(n)), [len(names)]])
+#: The levels of names that each Spark round asks for: words and runs, then pairs.
+ROUNDS = ((0, 1), (2, 3), (4, 5))
+#: Bytes of text in a chunk, about; a longer text is a chunk of its own.
+CHUNK_BYTES = 6 << 20
+#: Words of the corpus for each bucket of names or windows.
+BUCKET_WORDS = 1 << 20
+#: Windows that one window's words are sent to at most, for each chunk that repeats a row.
+FAN = 8
 
 
 def pack(*arrays: np.ndarray) -> bytes:
     return b"".join(np.ascontiguousarray(a, "<u4").tobytes() for a in arrays)
 
 
-def unpack(raw: bytes | None, n: int) -> list[np.ndarray]:
-    return list(np.frombuffer(raw or b"", "<u4").reshape(n, -1).astype(np.int64))
+def unpack(raw: bytes, n: int) -> list[np.ndarray]:
+    return list(np.frombuffer(raw, "<u4").reshape(n, -1).astype(np.int64))
 
 
 def pack_small(values: np.ndarray) -> bytes:
@@ -134,288 +66,477 @@ def unpack_small(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u" + chr(raw[0]), offset=1).astype(np.int64)
 
 
-def ranges_by(group: np.ndarray, n: int, *values: np.ndarray) -> list[bytes | None]:
-    """For each of n groups the packed values of its members, or None."""
-    order = np.argsort(group, kind="stable")
-    at = np.searchsorted(group[order], np.arange(n + 1))
-    return [pack(*(v[order[a:b]] for v in values)) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
-def as_ranges(text: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs (text, first, count) of sorted window starts."""
-    if not len(start):
-        return text, start, start
-    begin = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)))
-    return text[begin], start[begin], np.diff(np.append(begin, len(start)))
-
-
-def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-
-
-#: Rows on their way: 0 records of names met once in a chunk, 1 names met more often, 2 a document, 3 an answer to a chunk.
-_WAY = "bucket int, chunk bigint, kind int, idx int, id bigint, th bigint, n_words bigint, sha string, a binary, b binary, c binary, d binary"
-_NAMES = [x.split()[0] for x in _WAY.split(", ")]
-_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), ("idx", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
-_BACK = _WAY.partition(", ")[2]
+@lru_cache
+def _edges(n: int) -> np.ndarray:
+    """The least names of buckets 1 to n - 1: equal ranges of values."""
+    return np.array([(k << 64) // n for k in range(1, n)], dtype=np.uint64)
 
 
-def _rows(rows: list[dict]) -> pa.RecordBatch:
-    # Numbers are never null here: pandas would make floats of them.
-    return pa.RecordBatch.from_pylist([{"idx": 0, "id": 0, "th": 0, "n_words": 0, **r} for r in rows], _ARROW)
+def by_bucket(names: np.ndarray, n: int) -> np.ndarray:
+    """The n + 1 offsets of the buckets of sorted names."""
+    return np.concatenate([[0], np.searchsorted(names, _edges(n)), [len(names)]])
 
 
-def _chunked(batches: Iterator[pa.RecordBatch], text_at: int, most: int) -> Iterator[tuple[int, pa.Table]]:
-    """The task's rows in chunks, each with a number of its own. The number of bytes stands for that of words."""
-    held, size, seq = [], 0, 0
-    base = TaskContext.get().partitionId() << 24
+def groups(ordered: np.ndarray) -> np.ndarray:
+    """The number, from 0, of each member's group of equal neighbours."""
+    return np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1 if len(ordered) else np.empty(0, np.int64)
+
+
+@dataclass
+class Level:
+    """The symbols of one level: names, whether the level made them, and each window's interior [low, high)."""
+
+    names: np.ndarray
+    fresh: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def asked(self) -> np.ndarray:
+        """Whether the level made the symbol and it is in some window's interior."""
+        some, n = self.low < self.high, len(self.names) + 1
+        edge = np.bincount(self.low[some], minlength=n) - np.bincount(self.high[some], minlength=n)
+        return self.fresh & (np.cumsum(edge)[:-1] > 0)
+
+
+def recompress(names: np.ndarray, first: np.ndarray, starts: np.ndarray, last: int, window: int = WINDOW) -> Iterator[Level]:
+    """Levels 0 to last over words. first: whether a word is its text's first; starts: the windows' first words."""
+    low, high = starts, starts + window
+    yield Level(names, np.ones(len(names), bool), low, high)
+    for level in range(1, last + 1):
+        if level == 1:
+            new = first.copy()
+            new[1:] |= names[1:] != names[:-1]
+            at, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+            length = np.diff(np.append(begin, len(names)))
+            fresh = length > 1
+            low, high = at[low] + 1, at[high - 1]
+            names = np.where(fresh, mix(names[begin] ^ mix(length.astype(np.uint64))), names[begin])
+            first = first[begin]
+        else:
+            coin = mix(names ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(63) == 1
+            left = np.append(~coin[:-1] & coin[1:] & ~first[1:], False)
+            keep = np.ones(len(names), bool)
+            keep[1:] = ~left[:-1]
+            at, pair = np.cumsum(keep) - 1, np.flatnonzero(left)
+            low, high = low + coin[low], high - ~coin[np.maximum(high - 1, 0)]
+            some = low < high
+            low, high = np.where(some, at[np.where(some, low, 0)], 0), np.where(some, at[np.where(some, high - 1, 0)] + 1, 0)
+            names = names.copy()
+            names[pair] = mix(names[pair] * np.uint64(3) ^ mix(names[pair + 1] + np.uint64(level)))
+            names, first, fresh = names[keep], first[keep], left[keep]
+        some = low < high
+        low, high = np.where(some, low, 0), np.where(some, high, 0)
+        yield Level(names, fresh, low, high)
+
+
+@dataclass
+class Chunk:
+    """Documents with windows that may repeat, in the order of their ids (null last), over a vocabulary of their own. live: whether such a window starts at a word."""
+
+    number: int
+    vocabulary: list[bytes]
+    words: np.ndarray
+    offsets: np.ndarray
+    ids: np.ndarray
+    none: np.ndarray
+    rows: list[np.ndarray]
+    live: np.ndarray
+
+    def dump(self) -> dict:
+        n = np.array([len(r) for r in self.rows])
+        packed = [np.concatenate(self.rows) if self.rows else n, n, np.diff(self.offsets)]
+        return {"kind": STATE, "chunk": self.number, "a": b" ".join(self.vocabulary), "b": pack_small(self.words), "c": self.ids.astype("<i8").tobytes(), "d": self.none.astype("u1").tobytes(), "e": b"".join(map(pack, packed)), "f": np.packbits(self.live).tobytes()}
+
+    @classmethod
+    def load(cls, table: pa.Table) -> Chunk:
+        r = table.to_pylist()[0]
+        words, ids, none = unpack_small(r["b"]), np.frombuffer(r["c"], "<i8"), np.frombuffer(r["d"], "u1").astype(bool)
+        e = unpack(r["e"], 1)[0]
+        n, lengths = e[-2 * len(ids) : len(e) - len(ids)], e[len(e) - len(ids) :]
+        rows = np.split(e[: -2 * len(ids)], np.cumsum(n)[:-1])
+        return cls(r["chunk"], r["a"].split(b" "), words, np.concatenate([[0], np.cumsum(lengths)]), ids, none, rows, np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(words)).astype(bool))
+
+    def starts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first word and the document of each live window."""
+        at = np.flatnonzero(self.live)
+        return at, np.searchsorted(self.offsets, at, "right") - 1
+
+    def names(self) -> np.ndarray:
+        return np.array([xxhash.xxh64_intdigest(w) for w in self.vocabulary], np.uint64)[self.words]
+
+    def first(self) -> np.ndarray:
+        out = np.zeros(len(self.words), bool)
+        out[self.offsets[:-1]] = True
+        return out
+
+    def levels(self, which: tuple[int, ...]) -> list[Level]:
+        return [x for k, x in enumerate(recompress(self.names(), self.first(), self.starts()[0], max(which))) if k in which]
+
+    def text(self, first: int, last: int) -> bytes:
+        return b" ".join([self.vocabulary[w] for w in self.words[first:last].tolist()])
+
+    def compact(self) -> Chunk | None:
+        """Without documents that have no live window."""
+        n = np.add.reduceat(self.live, self.offsets[:-1]) if len(self.ids) else np.empty(0, np.int64)
+        keep = n > 0
+        if not keep.any():
+            return None
+        if keep.all():
+            return self
+        inner = np.repeat(keep, np.diff(self.offsets))
+        used, words = np.unique(self.words[inner], return_inverse=True)
+        offsets = np.concatenate([[0], np.cumsum(np.diff(self.offsets)[keep])])
+        return Chunk(self.number, [self.vocabulary[w] for w in used.tolist()], words, offsets, self.ids[keep], self.none[keep], [r for r, k in zip(self.rows, keep.tolist(), strict=True) if k], self.live[inner])
+
+
+#: Kinds of rows between passes: a document, a chunk, a chunk's question to a bucket of names or of windows, a hash that clashes.
+DOCUMENT, STATE, QUESTION, CLASH = range(4)
+_WAY = "kind int, chunk bigint, bucket int, idx int, id bigint, n_words bigint, sha string, a binary, b binary, c binary, d binary, e binary, f binary"
+_ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("idx", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), *((c, pa.binary()) for c in "abcdef")])
+
+
+def _rows(rows: list[dict], schema: pa.Schema = _ARROW) -> pa.Table:
+    return pa.Table.from_pylist(rows, schema)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Pass 0: documents, chunks, and the chunks' first questions."""
+    base, seq, held, size = TaskContext.get().partitionId() << 24, 0, [], 0
     for batch in batches:
-        _, offsets = utf8(column(batch, text_at))
-        for a, b in slices(offsets, most * 6):
-            held.append(batch.slice(a, b - a))
+        _, offsets = utf8(column(batch, 1))
+        for a, b in slices(offsets, CHUNK_BYTES):
+            held += zip(batch.column(0)[a:b].to_pylist(), column(batch, 1)[a:b].to_pylist(), strict=True)
             size += int(offsets[b] - offsets[a])
-            if size >= most * 6:
-                yield base + seq, pa.Table.from_batches(held).combine_chunks()
+            if size >= CHUNK_BYTES:
+                yield from _rows(_chunk(base + seq, held, n)).to_batches()
                 held, size, seq = [], 0, seq + 1
     if held:
-        yield base + seq, pa.Table.from_batches(held).combine_chunks()
-
-
-def _texts(table: pa.Table, name: str) -> pa.Array:
-    col = table.column(name)
-    return pa.concat_arrays(col.chunks) if col.num_chunks != 1 else col.chunk(0)
-
-
-def _records(batches: Iterator[pa.RecordBatch], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Pass 1: each chunk's anchors, and its documents with the words they would keep if nothing repeats."""
-    for chunk, table in _chunked(batches, 2, CHUNK_WORDS):
-        col = _texts(table, "text")
-        words, offsets = word_hashes(col)
-        name, text, start, count = anchors(words, offsets)
-        order = np.argsort(name, kind="stable")
-        name, text, start, count = name[order], text[order], start[order], count[order]
-        new = np.append(True, name[1:] != name[:-1]) if len(name) else np.empty(0, bool)
-        group = np.cumsum(new) - 1
-        often = np.bincount(group)[group] > 1 if len(name) else np.empty(0, bool)
-        known = ranges_by(text[often], len(col), start[often], count[often])
-        out = []
-        single, at = ~often, by_bucket(name[~often], n_buckets)
-        n1, t1, s1, c1 = name[single], text[single], start[single], count[single]
-        many = name[often & new]
-        at_many = by_bucket(many, n_buckets)
-        for k in range(n_buckets):
-            a, b = at[k], at[k + 1]
-            if b > a:
-                out.append({"bucket": k, "chunk": chunk, "kind": 0, "a": n1[a:b].tobytes(), "b": pack(t1[a:b], s1[a:b], c1[a:b])})
-            a, b = at_many[k], at_many[k + 1]
-            if b > a:
-                out.append({"bucket": k, "chunk": chunk, "kind": 1, "a": many[a:b].tobytes()})
-        n_words = np.diff(offsets)
-        for i, (id_, th, t) in enumerate(zip(table.column("id").to_pylist(), table.column("th").to_pylist(), col, strict=True)):
-            sha = hashlib.sha256(b" ".join((t.as_py() or "").encode("utf-8", "surrogatepass").split())).hexdigest()
-            out.append({"bucket": (chunk + i) % n_buckets, "chunk": chunk, "kind": 2, "idx": i, "id": id_, "th": th, "n_words": int(n_words[i]), "sha": sha, "a": known[i]})
-        yield _rows(out)
-
-
-def _answers(answers: list[dict], rows: pd.DataFrame) -> pd.DataFrame:
-    """Answers to chunks, and the documents as they came."""
-    # Objects, as joined columns of Arrow strings come in several pieces, which Spark doesn't take.
-    docs = rows.loc[rows["kind"] == 2, _NAMES[1:]].astype({"sha": object})
-    if not answers:
-        return docs
-    back = pd.DataFrame(answers, columns=_NAMES[1:]).astype({"sha": object})
-    return pd.concat([docs, back]) if len(docs) else back
-
-
-def _answer(chunk: int, packed: bytes) -> dict:
-    return {"chunk": chunk, "kind": 3, "idx": 0, "id": 0, "th": 0, "n_words": 0, "a": packed}
-
-
-def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pass 2, a bucket of names: the records whose names occur elsewhere too go back to their chunks."""
-    asked = rows[rows["kind"] < 2]
-    out = []
-    if len(asked):
-        names = [np.frombuffer(x, np.uint64) for x in asked["a"]]
-        owner = np.repeat(np.arange(len(names)), [len(x) for x in names])
-        inner = np.concatenate([np.arange(len(x)) for x in names])
-        everything = np.concatenate(names)
-        order = np.argsort(everything, kind="stable")
-        ordered = everything[order]
-        group = np.cumsum(np.append(True, ordered[1:] != ordered[:-1])) - 1
-        often = (asked["kind"].to_numpy() == 1)[owner[order]]
-        shared = (np.bincount(group)[group] > 1) | (np.bincount(group, often)[group] > 0)
-        hit = order[shared & ~often]
-        hit = hit[np.argsort(owner[hit], kind="stable")]
-        at = np.searchsorted(owner[hit], np.arange(len(names) + 1))
-        for k, (chunk, refs) in enumerate(zip(asked["chunk"], asked["b"], strict=True)):
-            if at[k + 1] > at[k]:
-                mine = inner[hit[at[k] : at[k + 1]]]
-                out.append(_answer(chunk, pack(*(x[mine] for x in unpack(refs, 3)))))
-    return _answers(out, rows)
-
-
-def _candidates(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pass 3, a chunk: the ranges of windows of each document that may repeat."""
-    docs = rows[rows["kind"] == 2].sort_values("idx")
-    got = [unpack(x, 3) for x in rows.loc[rows["kind"] == 3, "a"]]
-    text, start, count = (np.concatenate([g[k] for g in got]) for k in range(3)) if got else (np.empty(0, np.int64),) * 3
-    found = ranges_by(text, len(docs), start, count)
-    own = []
-    for known, more in zip(docs["a"], found, strict=True):
-        s, c = (np.concatenate(x) for x in zip(unpack(known, 2), unpack(more, 2), strict=True))
-        order = np.argsort(s, kind="stable")
-        own.append(pack(s[order], c[order]) if len(s) else None)
-    return docs[["id", "th", "n_words", "sha"]].astype({"sha": object}).assign(ranges=pd.Series(own, docs.index, object))
-
-
-def _ordered(docs: pa.Table) -> pa.Table:
-    """A chunk's documents in the order of (id, th), the same each time; rows alike in both are interchangeable."""
-    return docs.take(pa.array(np.lexsort((docs.column("th").to_numpy(), docs.column("id").to_numpy())))).combine_chunks()
-
-
-def _windows(docs: pa.Table, asked: pa.Table, n_buckets: int) -> pa.Table:
-    """Pass 4, a chunk: the hashes of candidate windows, each once a chunk, and the repeats that the chunk itself shows."""
-    ranges = dict(zip(zip(asked.column("id").to_pylist(), asked.column("th").to_pylist(), strict=True), asked.column("ranges").to_pylist(), strict=True))
-    if not ranges or not len(docs):
-        return _ARROW.empty_table()
-    docs = _ordered(docs)
-    chunk, ids = docs.column("chunk")[0].as_py(), docs.column("id").to_numpy()
-    found = [(i, raw) for i, key in enumerate(zip(ids.tolist(), docs.column("th").to_pylist(), strict=True)) if (raw := ranges.get(key)) is not None]
-    if not found:
-        return _ARROW.empty_table()
-    rows = np.array([i for i, _ in found], np.int64)
-    words, offsets = word_hashes(_texts(docs, "text").take(pa.array(rows)))
-    starts = [np.unique(spread(*unpack(raw, 2))) for _, raw in found]
-    text, start = np.repeat(np.arange(len(rows)), [len(s) for s in starts]), np.concatenate(starts)
-    at = offsets[:-1][text] + start
-    name, ids = SpanHash(mix(words))(at, at + WINDOW), ids[rows]
-    order = np.argsort(name, kind="stable")
-    ordered = name[order]
-    new = np.append(True, ordered[1:] != ordered[:-1])
-    lead = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    # The order of windows is that of (id, start): one at its leader's own place, in a row that repeats the id, isn't later.
-    later = np.zeros(len(name), bool)
-    later[order] = (ids[text[order]] > ids[text[lead]]) | (start[order] > start[lead])
-    known_text, first, count = as_ranges(text[later], start[later])
-    known = ranges_by(known_text, len(rows), first, count)
-    out = [{"bucket": chunk % n_buckets, "chunk": chunk, "kind": 2, "idx": int(rows[i]), "a": raw} for i, raw in enumerate(known) if raw]
-    # By bucket, then in the order of texts and starts, so that steps between starts are small.
-    sent = np.flatnonzero(~later)
-    bucket = np.searchsorted(_edges(n_buckets), name[sent], "right")
+        yield from _rows(_chunk(base + seq, held, n)).to_batches()
+
+
+def _chunk(number: int, docs: list[tuple[int | None, str | None]], n: int) -> list[dict]:
+    index: dict[bytes, int] = defaultdict(count().__next__)
+    out, own = [], {}
+    for idx, (id_, text) in enumerate(docs):
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        whole = b" ".join(words)
+        out.append({"kind": DOCUMENT, "chunk": number, "idx": idx, "id": id_, "n_words": len(words), "sha": hashlib.sha256(whole).hexdigest()})
+        if len(words) >= WINDOW:
+            # Rows that repeat id and words are one document here.
+            key = (id_ is None, id_ or 0, whole)
+            if key in own:
+                own[key][1].append(idx)
+            else:
+                own[key] = (np.fromiter(map(index.__getitem__, words), np.int64, len(words)), [idx])
+    if own:
+        order = sorted(own)
+        words = [own[k][0] for k in order]
+        offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+        live = np.ones(offsets[-1], bool)
+        for k in range(1, WINDOW):
+            live[offsets[1:] - k] = False
+        made = Chunk(number, list(index), np.concatenate(words), offsets, np.array([k[1] for k in order], np.int64), np.array([k[0] for k in order], bool), [np.array(own[k][1]) for k in order], live)
+        out += [made.dump(), *_names_asked(made, ROUNDS[0], n)]
+    return out
+
+
+def _named(chunk: Chunk, which: tuple[int, ...]) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray]:
+    """The levels, which symbols they ask for, and the sorted names asked for that the chunk has once, and more often."""
+    levels = chunk.levels(which)
+    asked = [x.asked() for x in levels]
+    names, times = np.unique(np.concatenate([x.names[a] for x, a in zip(levels, asked, strict=True)]), return_counts=True)
+    return levels, asked, names[times == 1], names[times > 1]
+
+
+def _names_asked(chunk: Chunk, which: tuple[int, ...], n: int) -> list[dict]:
+    _, _, once, often = _named(chunk, which)
+    x, y = by_bucket(once, n), by_bucket(often, n)
+    some = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0)).tolist()
+    return [{"kind": QUESTION, "chunk": chunk.number, "bucket": k, "a": once[x[k] : x[k + 1]].tobytes(), "b": often[y[k] : y[k + 1]].tobytes()} for k in some]
+
+
+_SHARED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
+
+
+def _shared(asked: pa.Table) -> pa.Table:
+    """A bucket of a round's dictionary: for each chunk, which of the names that it has once are met elsewhere too. Chunks without any get no answer."""
+    once, often = ([np.frombuffer(x, np.uint64) for x in asked.column(c).to_pylist()] for c in "ab")
+    everything = np.concatenate(once)
+    order = np.argsort(everything, kind="stable")
+    ordered = everything[order]
+    shared = np.zeros(len(ordered), bool)
+    same = ordered[1:] == ordered[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    many = np.unique(np.concatenate(often))
+    if len(many):
+        at = np.minimum(np.searchsorted(many, ordered), len(many) - 1)
+        shared |= many[at] == ordered
+    mine = np.empty(len(ordered), bool)
+    mine[order] = shared
+    parts = np.split(mine, np.cumsum([len(x) for x in once])[:-1])
+    chunks, bucket = asked.column("chunk").to_pylist(), asked.column("bucket")[0].as_py()
+    return _rows([{"chunk": c, "bucket": bucket, "bits": np.packbits(p).tobytes()} for c, p in zip(chunks, parts, strict=True) if p.any()], _SHARED)
+
+
+def _answered(state: pa.Table, answers: pa.Table, which: tuple[int, ...], n: int) -> Chunk | None:
+    """A chunk without the windows that hold a name met nowhere else."""
+    chunk = Chunk.load(state)
+    levels, asked, once, _ = _named(chunk, which)
+    shared, at = np.zeros(len(once), bool), by_bucket(once, n)
+    for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+        shared[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[k + 1] - at[k])
+    alone, start = once[~shared], chunk.starts()[0]
+    gone = np.zeros(len(start), bool)
+    if len(alone):
+        for x, a in zip(levels, asked, strict=True):
+            mine = np.flatnonzero(a)
+            place = np.minimum(np.searchsorted(alone, x.names[mine]), len(alone) - 1)
+            dead = np.zeros(len(x.names) + 1, np.int64)
+            dead[mine + 1] = alone[place] == x.names[mine]
+            total = np.cumsum(dead)
+            gone |= total[x.high] > total[x.low]
+        chunk.live[start[gone]] = False
+    return chunk.compact()
+
+
+def _next(n: int, k: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = _answered(state, answers, ROUNDS[k], n) if len(state) else None
+        if chunk is None:
+            return _ARROW.empty_table()
+        return _rows([chunk.dump(), *(_names_asked(chunk, ROUNDS[k + 1], n) if k + 1 < len(ROUNDS) else _windows_asked(chunk, n, bits))])
+
+    return run
+
+
+class Windows:
+    """A chunk's live windows: first word, document, place in the document, hash; and of those that equal an earlier one of the chunk, that they do."""
+
+    def __init__(self, chunk: Chunk, bits: int) -> None:
+        self.at, self.doc = chunk.starts()
+        self.start = self.at - chunk.offsets[:-1][self.doc]
+        self.hash = SpanHash(mix(chunk.names()))(self.at, self.at + WINDOW) >> np.uint64(64 - bits)
+        order = np.argsort(self.hash, kind="stable")
+        of = groups(self.hash[order])
+        lead = order[np.flatnonzero(np.append(True, of[1:] != of[:-1]))][of] if len(order) else order
+        rest = order != lead
+        own, lead = order[rest], lead[rest]
+        same = np.ones(len(own), bool)
+        for k in range(WINDOW):
+            same &= chunk.words[self.at[own] + k] == chunk.words[self.at[lead] + k]
+        # Documents are in the order of their ids; those of one id (of other texts) have no order among them.
+        rank = np.cumsum(np.append(False, (chunk.ids[1:] != chunk.ids[:-1]) | (chunk.none[1:] != chunk.none[:-1])))
+        d, e = rank[self.doc[own]], rank[self.doc[lead]]
+        self.known = np.zeros(len(self.at), bool)
+        self.known[own[same & ((d > e) | (self.start[own] > self.start[lead]))]] = True
+
+
+def _windows_asked(chunk: Chunk, n: int, bits: int) -> list[dict]:
+    """Each distinct window's hash and place, by bucket, then in the order of documents and starts, so that steps between starts are small."""
+    w = Windows(chunk, bits)
+    sent = np.flatnonzero(~w.known)
+    bucket = np.searchsorted(_edges(n), w.hash[sent] << np.uint64(64 - bits), "right")
     order = np.argsort(bucket, kind="stable")
-    sent, at = sent[order], np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-    for k in range(n_buckets):
-        mine = sent[at[k] : at[k + 1]]
-        if len(mine):
-            t, s = text[mine], start[mine]
-            begin = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-            step = np.diff(s, prepend=0)
-            step[begin] = s[begin]
-            who = t[begin]
-            out.append({"bucket": k, "chunk": chunk, "kind": 0, "a": name[mine].tobytes(), "b": pack_small(step), "c": ids[who].astype("<i8").tobytes(), "d": pack(rows[who], np.diff(np.append(begin, len(mine))))})
-    return pa.Table.from_batches([_rows(out)], _ARROW)
-
-
-def _places(steps: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, start, number of the text in the packet) of the windows that a packet holds."""
-    step, (rows, count) = unpack_small(steps), unpack(which, 2)
-    total = np.cumsum(step)
-    begin = np.cumsum(count) - count
-    base = total[begin] - step[begin]
-    number = np.repeat(np.arange(len(rows)), count)
-    return rows[number], total - base[number], number
-
-
-def _repeats(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pass 5, a bucket of window hashes: all but the earliest of equal ones go back to their chunks."""
-    asked = rows[rows["kind"] == 0]
+    sent, at = sent[order], np.searchsorted(bucket[order], np.arange(n + 1))
     out = []
-    if len(asked):
-        names = [np.frombuffer(x, np.uint64) for x in asked["a"]]
-        owner = np.repeat(np.arange(len(names)), [len(x) for x in names])
-        refs = [_places(b, d) for b, d in zip(asked["b"], asked["d"], strict=True)]
-        text, start = (np.concatenate([r[k] for r in refs]) for k in (0, 1))
-        ids = np.concatenate([np.frombuffer(c, "<i8")[r[2]] for c, r in zip(asked["c"], refs, strict=True)])
-        everything = np.concatenate(names)
-        order = np.argsort(everything, kind="stable")
-        ordered = everything[order]
-        new = np.append(True, ordered[1:] != ordered[:-1])
-        more = ~new | np.append(~new[1:], False)
-        order, new = order[more], new[more]
-        group = np.cumsum(new)
-        again = np.lexsort((start[order], ids[order], group))
-        order, group = order[again], group[again]
-        lead = order[np.flatnonzero(np.append(True, group[1:] != group[:-1]))][group - 1] if len(order) else order
-        hit = order[(ids[order] > ids[lead]) | (start[order] > start[lead])]
-        hit = np.sort(hit)
-        at = np.searchsorted(owner[hit], np.arange(len(names) + 1))
-        for k, chunk in enumerate(asked["chunk"]):
-            mine = hit[at[k] : at[k + 1]]
-            if len(mine):
-                out.append(_answer(chunk, pack(text[mine], start[mine])))
-    return _answers(out, rows)
-
-
-_KEPT = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
-
-
-def _kept(docs: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
-    """Pass 6, a chunk: what its documents keep, where that isn't all."""
-    if not len(answers) or not len(docs):
-        return _KEPT.empty_table()
-    docs = _ordered(docs)
-    kinds, packed = answers.column("kind").to_pylist(), answers.column("a").to_pylist()
-    got = [unpack(x, 2) for k, x in zip(kinds, packed, strict=True) if k == 3]
-    got = [(t, s, np.ones(len(s), np.int64)) for t, s in got]
-    for k, idx, x in zip(kinds, answers.column("idx").to_pylist(), packed, strict=True):
-        if k == 2:
-            first, count = unpack(x, 2)
-            got.append((np.full(len(first), idx), first, count))
-    text, first, count = (np.concatenate([g[k] for g in got]) for k in range(3))
-    order = np.argsort(text, kind="stable")
-    text, first, count = text[order], first[order], count[order]
-    own = np.unique(text)
-    at = np.append(np.searchsorted(text, own), len(text))
-    ids, ths, texts = docs.column("id"), docs.column("th"), docs.column("text")
+    for k in np.flatnonzero(np.diff(at)).tolist():
+        mine = sent[at[k] : at[k + 1]]
+        doc, start = w.doc[mine], w.start[mine]
+        begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        step = np.diff(start, prepend=0)
+        step[begin] = start[begin]
+        who = doc[begin]
+        out.append({"kind": QUESTION, "chunk": chunk.number, "bucket": k, "a": w.hash[mine].tobytes(), "b": pack_small(step), "c": chunk.ids[who].astype("<i8").tobytes(), "d": chunk.none[who].astype("u1").tobytes(), "e": pack(who, np.diff(np.append(begin, len(mine))))})
+    return out
+
+
+class Met:
+    """A bucket's windows, ordered by hash, id (null last) and start."""
+
+    def __init__(self, asked: pa.Table) -> None:
+        parts = []
+        for chunk, a, b, c, d, e in zip(*(asked.column(x).to_pylist() for x in ("chunk", *"abcde")), strict=True):
+            (who, times), step = unpack(e, 2), unpack_small(b)
+            total, begin = np.cumsum(step), np.cumsum(times) - times
+            number = np.repeat(np.arange(len(who)), times)
+            start = total - (total[begin] - step[begin])[number]
+            parts.append((np.frombuffer(a, np.uint64), np.frombuffer(d, "u1")[number], np.frombuffer(c, "<i8")[number], start, np.full(len(step), chunk), who[number]))
+        self.hash, self.none, self.id, self.start, self.chunk, self.doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # Windows alone with their hash go before the rest is sorted.
+        order = np.argsort(self.hash, kind="stable")
+        same = self.hash[order][1:] == self.hash[order][:-1]
+        order = order[np.append(False, same) | np.append(same, False)]
+        self.take(order[np.lexsort((self.start[order], self.id[order], self.none[order], self.hash[order]))])
+
+    def take(self, at: np.ndarray) -> None:
+        for c in ("hash", "none", "id", "start", "chunk", "doc"):
+            setattr(self, c, getattr(self, c)[at])
+
+
+_MET = pa.schema([("chunk", pa.int64()), ("own", pa.binary()), ("places", pa.binary())])
+
+
+def _met(asked: pa.Table) -> pa.Table:
+    """A bucket of windows: to the chunk of each parent, its children's chunks and places. A parent starts earlier than its children."""
+    m = Met(asked)
+    if not len(m.hash):
+        return _MET.empty_table()
+    group = groups(m.hash)
+    new = np.append(True, (group[1:] != group[:-1]) | (m.none[1:] != m.none[:-1]) | (m.id[1:] != m.id[:-1]) | (m.start[1:] != m.start[:-1]))
+    # Of windows with one hash, id and start (rows that repeat an id) the first stands for all.
+    key, stands = np.cumsum(new) - 1, np.flatnonzero(new)
+    lead = key[np.flatnonzero(np.append(True, group[1:] != group[:-1]))][group]
+    child = np.flatnonzero(key > lead)
+    parent = stands[lead[child] + (key[child] - lead[child] - 1) // FAN]
+    order = np.argsort(m.chunk[parent], kind="stable")
+    child, parent = child[order], parent[order]
+    at = np.append(np.flatnonzero(np.append(True, np.diff(m.chunk[parent]) != 0)), len(child)) if len(child) else [0]
     out = []
-    for k, i in enumerate(own.tolist()):
-        words = texts[i].as_py().encode("utf-8", "surrogatepass").split()
-        edge = np.zeros(len(words) + 1, np.int64)
-        mine = slice(at[k], at[k + 1])
-        np.add.at(edge, first[mine], 1)
-        np.subtract.at(edge, first[mine] + count[mine] + WINDOW - 1, 1)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        c, p = child[a:b], parent[a:b]
+        out.append({"chunk": int(m.chunk[p[0]]), "own": m.chunk[c].astype("<i8").tobytes(), "places": pack(m.doc[c], m.start[c], m.doc[p], m.start[p])})
+    return _rows(out, _MET)
+
+
+#: A stretch of windows, and the words of its parents; null: the windows are repeats, without a look.
+_STRETCH = pa.schema([("chunk", pa.int64()), ("doc", pa.int64()), ("start", pa.int64()), ("times", pa.int64()), ("words", pa.binary())])
+_STRETCHES = "chunk bigint, doc bigint, start bigint, times bigint, words binary"
+
+
+def _replies(state: pa.Table, asked: pa.Table) -> pa.Table:
+    """A chunk of parents: their words to their children, a stretch of windows at once."""
+    if not len(state) or not len(asked):
+        return _STRETCH.empty_table()
+    chunk = Chunk.load(state)
+    to = np.concatenate([np.frombuffer(x, "<i8") for x in asked.column("own").to_pylist()])
+    doc, start, own, place = (np.concatenate(x) for x in zip(*(unpack(x, 4) for x in asked.column("places").to_pylist()), strict=True))
+    order = np.lexsort((start, place - start, own, doc, to))
+    to, doc, start, own, place = (x[order] for x in (to, doc, start, own, place))
+    new = np.append(True, (to[1:] != to[:-1]) | (doc[1:] != doc[:-1]) | (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1) | (place[1:] != place[:-1] + 1))
+    begin = np.flatnonzero(new)
+    times = np.diff(np.append(begin, len(new)))
+    first = chunk.offsets[:-1][own[begin]] + place[begin]
+    words = [chunk.text(a, a + n + WINDOW - 1) for a, n in zip(first.tolist(), times.tolist(), strict=True)]
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (to[begin], doc[begin], start[begin], times)] + [pa.array(words, pa.binary())], schema=_STRETCH)
+
+
+_CUT = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("idx", pa.int32()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("kept_sha256", pa.string()), ("hash", pa.int64())])
+
+
+def _cut(bits: int, keep_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(state: pa.Table, stretches: pa.Table) -> pa.Table:
+        """What a chunk's documents keep, where that isn't all; and hashes of windows whose words aren't their parents'."""
+        if not len(state):
+            return _CUT.empty_table()
+        chunk, clashed = Chunk.load(state), []
+        w = Windows(chunk, bits)
+        repeat = np.zeros(len(chunk.words), bool)
+        repeat[w.at[w.known]] = True
+        for doc, start, times, words in zip(*(stretches.column(c).to_pylist() for c in ("doc", "start", "times", "words")), strict=True):
+            first = int(chunk.offsets[doc]) + start
+            if words is None or words == chunk.text(first, first + times + WINDOW - 1):
+                repeat[first : first + times] = True
+                continue
+            other = np.append(0, np.cumsum([chunk.vocabulary[a] != b for a, b in zip(chunk.words[first : first + times + WINDOW - 1].tolist(), words.split(b" "), strict=True)]))
+            same = other[WINDOW:] == other[:-WINDOW]
+            repeat[first : first + times] |= same
+            clashed.append(first + np.flatnonzero(~same))
+        out = []
+        if clashed:
+            found = np.unique(w.hash[np.searchsorted(w.at, np.concatenate(clashed))])
+            out = [{"kind": CLASH, "chunk": chunk.number, "hash": h} for h in found.view(np.int64).tolist()]
+        edge = np.zeros(len(repeat) + 1, np.int64)
+        at = np.flatnonzero(repeat)
+        np.add.at(edge, at, 1)
+        np.subtract.at(edge, at + WINDOW, 1)
         gone = np.cumsum(edge)[:-1] > 0
-        kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-        out.append({"id": ids[i].as_py(), "th": ths[i].as_py(), "n_removed": int(gone.sum()), "kept_text": kept.decode("utf-8", "surrogatepass") if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest()})
-    return pa.Table.from_pylist(out, _KEPT)
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id_col, n_words, n_removed, kept_sha256) a row of docs. keep_text: the column kept_text too, null where nothing was removed."""
-    n = buckets(docs.sparkSession)
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
-    sent = keyed.mapInArrow(lambda batches: _records(batches, n), _WAY)
-    back = sent.groupBy("bucket").applyInPandas(_shared, _BACK)
-    base = written(back.groupBy("chunk").applyInPandas(_candidates, "id bigint, th bigint, n_words bigint, sha string, ranges binary"), "substring-candidates")
-    # Chunks for the second look: a hash of the row, as many as keep them small and every task busy. Both passes that need texts read one shuffle of them.
+        n = np.add.reduceat(gone, chunk.offsets[:-1], dtype=np.int64)
+        for doc in np.flatnonzero(n).tolist():
+            a, b = chunk.offsets[doc : doc + 2]
+            kept = b" ".join([chunk.vocabulary[x] for x in chunk.words[a:b][~gone[a:b]].tolist()])
+            row = {"kind": DOCUMENT, "chunk": chunk.number, "n_removed": int(n[doc]), "kept_text": kept.decode("utf-8", "surrogatepass") if keep_text else None, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+            out += [{**row, "idx": int(i)} for i in chunk.rows[doc]]
+        return _rows(out, _CUT)
+
+    return run
+
+
+_SUSPECT = pa.schema([("chunk", pa.int64()), ("doc", pa.int64()), ("start", pa.int64())])
+_WHOLE = pa.schema([("words", pa.binary()), ("none", pa.bool_()), ("id", pa.int64()), ("start", pa.int64()), ("chunk", pa.int64()), ("doc", pa.int64())])
+
+
+def _suspects(asked: pa.Table, clashes: pa.Table) -> pa.Table:
+    """A bucket of windows: those whose hash clashes."""
+    if not len(asked) or not len(clashes):
+        return _SUSPECT.empty_table()
+    m = Met(asked)
+    m.take(np.flatnonzero(np.isin(m.hash, clashes.column("hash").to_numpy().view(np.uint64))))
+    return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (m.chunk, m.doc, m.start)], schema=_SUSPECT)
+
+
+def _whole(state: pa.Table, suspects: pa.Table) -> pa.Table:
+    """A chunk's windows of such hashes, with all their words."""
+    if not len(state) or not len(suspects):
+        return _WHOLE.empty_table()
+    chunk, doc, start = Chunk.load(state), suspects.column("doc").to_numpy(), suspects.column("start").to_numpy()
+    first = chunk.offsets[:-1][doc] + start
+    words = [chunk.text(a, a + WINDOW) for a in first.tolist()]
+    return pa.table([pa.array(words, pa.binary()), pa.array(chunk.none[doc]), pa.array(chunk.ids[doc]), pa.array(start), pa.array(np.full(len(doc), chunk.number)), pa.array(doc)], schema=_WHOLE)
+
+
+def _settled(questions: DataFrame, state: DataFrame, clashes: DataFrame, n: int, bits: int) -> DataFrame:
+    """Stretches of the windows of clashing hashes that equal an earlier one, by their words themselves."""
+    # A hash's bucket is the range of values that its first bits are in; hashes travel as signed numbers.
+    top = F.shiftleft("hash", 64 - bits) if bits < 64 else F.col("hash")
+    edges = F.array(*(F.lit(int(x)) for x in (_edges(n) ^ np.uint64(1 << 63)).view(np.int64))) if n > 1 else F.array().cast("array<bigint>")
+    bucket = F.size(F.filter(edges, lambda x: x <= top.bitwiseXOR(F.lit(-(1 << 63))))).alias("bucket")
+    found = questions.groupBy("bucket").cogroup(clashes.select("hash", bucket).groupBy("bucket")).applyInArrow(_suspects, "chunk bigint, doc bigint, start bigint")
+    whole = state.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_whole, "words binary, none boolean, id bigint, start bigint, chunk bigint, doc bigint")
+    whole = written(whole, "substring-clashes")
+    least = whole.groupBy("words").agg(F.min(F.struct("none", "id", "start")).alias("lead"))
+    later = whole.join(least, "words").where(F.struct("none", "id", "start") > F.col("lead"))
+    return later.select("chunk", "doc", "start", F.lit(1).cast("long").alias("times"), F.lit(None).cast("binary").alias("words"))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, bits: int = 64) -> DataFrame:
+    """(id_col, n_words, n_removed, kept_sha256) a row of docs. keep_text: the column kept_text too, null where nothing was removed. bits: those of a window's hash."""
+    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    chunks = max(n, -(-size // (CHUNK_WORDS * 6)))
-    chunk = F.pmod(F.xxhash64("id", "th"), F.lit(chunks)).cast("long").alias("chunk")
-    texts = keyed.select("id", "th", "text", chunk)
-    asked = base.where("ranges is not null").select("id", "th", "ranges", chunk)
-    sent = texts.groupBy("chunk").cogroup(asked.groupBy("chunk")).applyInArrow(lambda own, ask: _windows(own, ask, n), _WAY)
-    back = sent.groupBy("bucket").applyInPandas(_repeats, _BACK)
-    fields = "id bigint, th bigint, n_removed bigint, kept_text string, kept_sha256 string"
-    cut = texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda own, answers: _kept(own, answers, keep_text), fields)
-    if not keep_text:
-        cut = cut.drop("kept_text")
-    cut = written(cut, "substring-cut").dropDuplicates(["id", "th"]).withColumnsRenamed({"id": "i", "th": "h"})
-    out = base.join(cut, (F.col("id") == F.col("i")) & (F.col("th") == F.col("h")), "left")
+    n = buckets(spark, size // 6, BUCKET_WORDS)
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    made = written(keyed.mapInArrow(lambda batches: _chunks(batches, n), _WAY), "substring-chunks")
+    base = made.where(F.col("kind") == DOCUMENT).select("chunk", "idx", "id", "n_words", "sha")
+    last = made
+    for k in range(len(ROUNDS)):
+        state, questions = _parts(last, n)
+        answers = questions.groupBy("bucket").applyInArrow(_shared, "chunk bigint, bucket int, bits binary")
+        found = written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next(n, k, bits), _WAY), f"substring-round-{k}")
+        if last is not made:
+            discard(last)
+        last = found
+    state, questions = _parts(last, n)
+    met = questions.groupBy("bucket").applyInArrow(_met, "chunk bigint, own binary, places binary")
+    stretches = state.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_replies, _STRETCHES)
+    fields = "kind int, chunk bigint, idx int, n_removed bigint, kept_text string, kept_sha256 string, hash bigint"
+    cut = written(state.groupBy("chunk").cogroup(stretches.groupBy("chunk")).applyInArrow(_cut(bits, keep_text), fields), "substring-cut")
+    clashes = cut.where(F.col("kind") == CLASH).select("hash").distinct()
+    if not clashes.isEmpty():
+        stretches = stretches.unionByName(_settled(questions, state, clashes, n, bits))
+        cut = written(state.groupBy("chunk").cogroup(stretches.groupBy("chunk")).applyInArrow(_cut(bits, keep_text), fields), "substring-cut")
+    discard(last)
+    cut = cut.where(F.col("kind") == DOCUMENT).select("chunk", "idx", "n_removed", "kept_sha256", *(["kept_text"] if keep_text else []))
+    out = base.join(cut, ["chunk", "idx"], "left")
     return out.select(
-        F.nullif("id", F.lit(LAST_ID)).alias(id_col),
+        F.col("id").alias(id_col),
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         *(["kept_text"] if keep_text else []),
     )
+
+
+def _parts(made: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """A pass's chunks, and its questions by bucket."""
+    state = made.where(F.col("kind") == STATE).select("chunk", *"abcdef")
+    return state, made.where(F.col("kind") == QUESTION).select("bucket", "chunk", *"abcde").repartition(n, "bucket")
