@@ -119,7 +119,7 @@ _SPANS = "array<struct<start:bigint,end:bigint>>"
 def _scan(rows: DataFrame, block: list[tuple[object, str | None]], window: int) -> DataFrame:
     """rows (id, text, n_words, spans, items) with one more block's spans and items."""
     sent = rows.sparkSession.sparkContext.broadcast(block)
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    spans_type, names = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search = machines(sent.value, window)
@@ -132,7 +132,7 @@ def _scan(rows: DataFrame, block: list[tuple[object, str | None]], window: int)
                 n.append(len(ws))
                 spans.append([{"start": a, "end": b} for a, b in hit])
                 items.append(sorted({str(x) for x in found if x is not None}.union(had)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=rows.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.string()))], names=names)
 
     return rows.mapInArrow(run, rows.schema)
 
