@@ -36,12 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that written() made and that nothing reads any more."""
+    """Deletes tables that written() made and that nothing reads any more, and lets Spark's cleaner find the shuffle files of the jobs that did."""
     for df in tables:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
+        jvm.System.gc()
 
 
 def buckets(spark: SparkSession, size: int, most: int) -> int:

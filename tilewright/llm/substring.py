@@ -25,12 +25,13 @@ import hashlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ ROUNDS = ((0, 1), (2, 3), (4, 5))
 CHUNK_BYTES = 6 << 20
 #: Words of the corpus for each bucket of names or windows.
 BUCKET_WORDS = 1 << 20
+#: The bits of a name: 48, so that questions are short. Names that clash only add windows to be compared.
+KEPT = ~np.uint64(0xFFFF)
 #: Windows that one window's words are sent to at most, for each chunk that repeats a row.
 FAN = 8
 
@@ -66,6 +69,34 @@ def unpack_small(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u" + chr(raw[0]), offset=1).astype(np.int64)
 
 
+def squeeze(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(raw)
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(raw)
+
+
+def squeeze_numbers(values: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed by place of their bytes."""
+    return squeeze(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze_numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unsqueeze(raw), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def pack_names(names: np.ndarray) -> bytes:
+    """The first 48 bits of names."""
+    return (names >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack_names(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() << np.uint64(16)
+
+
 @lru_cache
 def _edges(n: int) -> np.ndarray:
     """The least names of buckets 1 to n - 1: equal ranges of values."""
@@ -84,12 +115,13 @@ def groups(ordered: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """The symbols of one level: names, whether the level made them, and each window's interior [low, high)."""
+    """The symbols of one level: names, whether the level made them, each window's interior [low, high), and of words their numbers."""
 
     names: np.ndarray
     fresh: np.ndarray
     low: np.ndarray
     high: np.ndarray
+    of: np.ndarray | None = None
 
     def asked(self) -> np.ndarray:
         """Whether the level made the symbol and it is in some window's interior."""
@@ -100,32 +132,33 @@ class Level:
 
 def recompress(names: np.ndarray, first: np.ndarray, starts: np.ndarray, last: int, window: int = WINDOW) -> Iterator[Level]:
     """Levels 0 to last over words. first: whether a word is its text's first; starts: the windows' first words."""
-    low, high = starts, starts + window
+    low, high = starts.astype(np.int32), (starts + window).astype(np.int32)
     yield Level(names, np.ones(len(names), bool), low, high)
     for level in range(1, last + 1):
         if level == 1:
             new = first.copy()
             new[1:] |= names[1:] != names[:-1]
-            at, begin = np.cumsum(new) - 1, np.flatnonzero(new)
+            at, begin = np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new)
             length = np.diff(np.append(begin, len(names)))
             fresh = length > 1
             low, high = at[low] + 1, at[high - 1]
-            names = np.where(fresh, mix(names[begin] ^ mix(length.astype(np.uint64))), names[begin])
+            names, some = names[begin], np.flatnonzero(fresh)
+            names[some] = mix(names[some] ^ mix(length[some].astype(np.uint64))) & KEPT
             first = first[begin]
         else:
             coin = mix(names ^ np.uint64(level * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(63) == 1
             left = np.append(~coin[:-1] & coin[1:] & ~first[1:], False)
             keep = np.ones(len(names), bool)
             keep[1:] = ~left[:-1]
-            at, pair = np.cumsum(keep) - 1, np.flatnonzero(left)
+            at, pair = np.cumsum(keep, dtype=np.int32) - 1, np.flatnonzero(left)
             low, high = low + coin[low], high - ~coin[np.maximum(high - 1, 0)]
             some = low < high
-            low, high = np.where(some, at[np.where(some, low, 0)], 0), np.where(some, at[np.where(some, high - 1, 0)] + 1, 0)
+            low, high = at[np.where(some, low, 0)] * some, (at[np.where(some, high - 1, 0)] + 1) * some
             names = names.copy()
-            names[pair] = mix(names[pair] * np.uint64(3) ^ mix(names[pair + 1] + np.uint64(level)))
+            names[pair] = mix(names[pair] * np.uint64(3) ^ mix(names[pair + 1] + np.uint64(level))) & KEPT
             names, first, fresh = names[keep], first[keep], left[keep]
         some = low < high
-        low, high = np.where(some, low, 0), np.where(some, high, 0)
+        low, high = low * some, high * some
         yield Level(names, fresh, low, high)
 
 
@@ -142,19 +175,24 @@ class Chunk:
     rows: list[np.ndarray]
     live: np.ndarray
 
+    @cached_property
+    def own(self) -> np.ndarray:
+        """The vocabulary's names."""
+        return np.array([xxhash.xxh64_intdigest(w) for w in self.vocabulary], np.uint64) & KEPT
+
     def dump(self) -> dict:
         n = np.array([len(r) for r in self.rows])
         packed = [np.concatenate(self.rows) if self.rows else n, n, np.diff(self.offsets)]
-        return {"kind": STATE, "chunk": self.number, "a": b" ".join(self.vocabulary), "b": pack_small(self.words), "c": self.ids.astype("<i8").tobytes(), "d": self.none.astype("u1").tobytes(), "e": b"".join(map(pack, packed)), "f": np.packbits(self.live).tobytes()}
+        return {"kind": STATE, "chunk": self.number, "a": squeeze(b" ".join(self.vocabulary)), "b": squeeze_numbers(self.words), "c": self.ids.astype("<i8").tobytes(), "d": self.none.astype("u1").tobytes(), "e": b"".join(map(pack, packed)), "f": np.packbits(self.live).tobytes()}
 
     @classmethod
     def load(cls, table: pa.Table) -> Chunk:
         r = table.to_pylist()[0]
-        words, ids, none = unpack_small(r["b"]), np.frombuffer(r["c"], "<i8"), np.frombuffer(r["d"], "u1").astype(bool)
+        words, ids, none = unsqueeze_numbers(r["b"]), np.frombuffer(r["c"], "<i8"), np.frombuffer(r["d"], "u1").astype(bool)
         e = unpack(r["e"], 1)[0]
         n, lengths = e[-2 * len(ids) : len(e) - len(ids)], e[len(e) - len(ids) :]
         rows = np.split(e[: -2 * len(ids)], np.cumsum(n)[:-1])
-        return cls(r["chunk"], r["a"].split(b" "), words, np.concatenate([[0], np.cumsum(lengths)]), ids, none, rows, np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(words)).astype(bool))
+        return cls(r["chunk"], unsqueeze(r["a"]).split(b" "), words, np.concatenate([[0], np.cumsum(lengths)]), ids, none, rows, np.unpackbits(np.frombuffer(r["f"], np.uint8), count=len(words)).astype(bool))
 
     def starts(self) -> tuple[np.ndarray, np.ndarray]:
         """The first word and the document of each live window."""
@@ -162,7 +200,7 @@ class Chunk:
         return at, np.searchsorted(self.offsets, at, "right") - 1
 
     def names(self) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(w) for w in self.vocabulary], np.uint64)[self.words]
+        return self.own[self.words]
 
     def first(self) -> np.ndarray:
         out = np.zeros(len(self.words), bool)
@@ -170,7 +208,10 @@ class Chunk:
         return out
 
     def levels(self, which: tuple[int, ...]) -> list[Level]:
-        return [x for k, x in enumerate(recompress(self.names(), self.first(), self.starts()[0], max(which))) if k in which]
+        out = [x for k, x in enumerate(recompress(self.names(), self.first(), self.starts()[0], max(which))) if k in which]
+        if 0 in which:
+            out[0].of = self.words
+        return out
 
     def text(self, first: int, last: int) -> bytes:
         return b" ".join([self.vocabulary[w] for w in self.words[first:last].tolist()])
@@ -184,9 +225,15 @@ class Chunk:
         if keep.all():
             return self
         inner = np.repeat(keep, np.diff(self.offsets))
-        used, words = np.unique(self.words[inner], return_inverse=True)
+        words = self.words[inner]
+        used = np.flatnonzero(np.bincount(words, minlength=len(self.vocabulary)))
+        renamed = np.zeros(len(self.vocabulary), np.int64)
+        renamed[used] = np.arange(len(used))
+        words = renamed[words]
         offsets = np.concatenate([[0], np.cumsum(np.diff(self.offsets)[keep])])
-        return Chunk(self.number, [self.vocabulary[w] for w in used.tolist()], words, offsets, self.ids[keep], self.none[keep], [r for r, k in zip(self.rows, keep.tolist(), strict=True) if k], self.live[inner])
+        out = Chunk(self.number, [self.vocabulary[w] for w in used.tolist()], words, offsets, self.ids[keep], self.none[keep], [r for r, k in zip(self.rows, keep.tolist(), strict=True) if k], self.live[inner])
+        out.own = self.own[used]
+        return out
 
 
 #: Kinds of rows between passes: a document, a chunk, a chunk's question to a bucket of names or of windows, a hash that clashes.
@@ -244,7 +291,11 @@ def _named(chunk: Chunk, which: tuple[int, ...]) -> tuple[list[Level], list[np.n
     """The levels, which symbols they ask for, and the sorted names asked for that the chunk has once, and more often."""
     levels = chunk.levels(which)
     asked = [x.asked() for x in levels]
-    names, times = np.unique(np.concatenate([x.names[a] for x, a in zip(levels, asked, strict=True)]), return_counts=True)
+    found = [x.names[a] for x, a in zip(levels, asked, strict=True)]
+    if 0 in which:  # words are counted by their numbers
+        times = np.bincount(chunk.words[asked[0]], minlength=len(chunk.own))
+        found[0] = np.concatenate([chunk.own[times > 0], chunk.own[times > 1]])
+    names, times = np.unique(np.concatenate(found), return_counts=True)
     return levels, asked, names[times == 1], names[times > 1]
 
 
@@ -252,7 +303,7 @@ def _names_asked(chunk: Chunk, which: tuple[int, ...], n: int) -> list[dict]:
     _, _, once, often = _named(chunk, which)
     x, y = by_bucket(once, n), by_bucket(often, n)
     some = np.flatnonzero((np.diff(x) > 0) | (np.diff(y) > 0)).tolist()
-    return [{"kind": QUESTION, "chunk": chunk.number, "bucket": k, "a": once[x[k] : x[k + 1]].tobytes(), "b": often[y[k] : y[k + 1]].tobytes()} for k in some]
+    return [{"kind": QUESTION, "chunk": chunk.number, "bucket": k, "a": pack_names(once[x[k] : x[k + 1]]), "b": pack_names(often[y[k] : y[k + 1]])} for k in some]
 
 
 _SHARED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())])
@@ -260,7 +311,7 @@ _SHARED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("bits", pa.
 
 def _shared(asked: pa.Table) -> pa.Table:
     """A bucket of a round's dictionary: for each chunk, which of the names that it has once are met elsewhere too. Chunks without any get no answer."""
-    once, often = ([np.frombuffer(x, np.uint64) for x in asked.column(c).to_pylist()] for c in "ab")
+    once, often = ([unpack_names(x) for x in asked.column(c).to_pylist()] for c in "ab")
     everything = np.concatenate(once)
     order = np.argsort(everything, kind="stable")
     ordered = everything[order]
@@ -279,6 +330,10 @@ def _shared(asked: pa.Table) -> pa.Table:
     return _rows([{"chunk": c, "bucket": bucket, "bits": np.packbits(p).tobytes()} for c, p in zip(chunks, parts, strict=True) if p.any()], _SHARED)
 
 
+def _in(names: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.minimum(np.searchsorted(ordered, names), len(ordered) - 1)] == names
+
+
 def _answered(state: pa.Table, answers: pa.Table, which: tuple[int, ...], n: int) -> Chunk | None:
     """A chunk without the windows that hold a name met nowhere else."""
     chunk = Chunk.load(state)
@@ -290,11 +345,13 @@ def _answered(state: pa.Table, answers: pa.Table, which: tuple[int, ...], n: int
     gone = np.zeros(len(start), bool)
     if len(alone):
         for x, a in zip(levels, asked, strict=True):
-            mine = np.flatnonzero(a)
-            place = np.minimum(np.searchsorted(alone, x.names[mine]), len(alone) - 1)
-            dead = np.zeros(len(x.names) + 1, np.int64)
-            dead[mine + 1] = alone[place] == x.names[mine]
-            total = np.cumsum(dead)
+            dead = np.zeros(len(x.names) + 1, np.int32)
+            if x.of is not None:
+                dead[1:] = _in(chunk.own, alone)[x.of] & a
+            else:
+                mine = np.flatnonzero(a)
+                dead[mine + 1] = _in(x.names[mine], alone)
+            total = np.cumsum(dead, dtype=np.int32)
             gone |= total[x.high] > total[x.low]
         chunk.live[start[gone]] = False
     return chunk.compact()
@@ -505,15 +562,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = buckets(spark, size // 6, BUCKET_WORDS)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = written(keyed.mapInArrow(lambda batches: _chunks(batches, n), _WAY), "substring-chunks")
-    base = made.where(F.col("kind") == DOCUMENT).select("chunk", "idx", "id", "n_words", "sha")
-    last = made
+    last = written(keyed.mapInArrow(lambda batches: _chunks(batches, n), _WAY), "substring-chunks")
+    base = written(last.where(F.col("kind") == DOCUMENT).select("chunk", "idx", "id", "n_words", "sha"), "substring-documents")
     for k in range(len(ROUNDS)):
         state, questions = _parts(last, n)
         answers = questions.groupBy("bucket").applyInArrow(_shared, "chunk bigint, bucket int, bits binary")
         found = written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next(n, k, bits), _WAY), f"substring-round-{k}")
-        if last is not made:
-            discard(last)
+        discard(last)
         last = found
     state, questions = _parts(last, n)
     met = questions.groupBy("bucket").applyInArrow(_met, "chunk bigint, own binary, places binary")
