@@ -181,14 +181,24 @@ class Chunk:
         return np.array([xxhash.xxh64_intdigest(w) for w in self.vocabulary], np.uint64) & KEPT
 
     def dump(self) -> dict:
+        # Words are numbered as they first occur, and a first occurrence travels as zero.
+        first = np.zeros(len(self.vocabulary), np.int64)
+        first[self.words[::-1]] = np.arange(len(self.words))[::-1]
+        order = np.argsort(first)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        words = number[self.words] + 1
+        words[first] = 0
         n = np.array([len(r) for r in self.rows])
         packed = [np.concatenate(self.rows) if self.rows else n, n, np.diff(self.offsets)]
-        return {"kind": STATE, "chunk": self.number, "a": squeeze(b" ".join(self.vocabulary)), "b": squeeze_numbers(self.words), "c": self.ids.astype("<i8").tobytes(), "d": self.none.astype("u1").tobytes(), "e": b"".join(map(pack, packed)), "f": np.packbits(self.live).tobytes()}
+        return {"kind": STATE, "chunk": self.number, "a": squeeze(b" ".join([self.vocabulary[k] for k in order.tolist()])), "b": squeeze_numbers(words), "c": self.ids.astype("<i8").tobytes(), "d": self.none.astype("u1").tobytes(), "e": b"".join(map(pack, packed)), "f": np.packbits(self.live).tobytes()}
 
     @classmethod
     def load(cls, table: pa.Table) -> Chunk:
         r = table.to_pylist()[0]
-        words, ids, none = unsqueeze_numbers(r["b"]), np.frombuffer(r["c"], "<i8"), np.frombuffer(r["d"], "u1").astype(bool)
+        words = unsqueeze_numbers(r["b"])
+        words[words == 0] = np.arange(1, np.count_nonzero(words == 0) + 1)
+        words, ids, none = words - 1, np.frombuffer(r["c"], "<i8"), np.frombuffer(r["d"], "u1").astype(bool)
         e = unpack(r["e"], 1)[0]
         n, lengths = e[-2 * len(ids) : len(e) - len(ids)], e[len(e) - len(ids) :]
         rows = np.split(e[: -2 * len(ids)], np.cumsum(n)[:-1])
@@ -216,15 +226,18 @@ class Chunk:
     def text(self, first: int, last: int) -> bytes:
         return b" ".join([self.vocabulary[w] for w in self.words[first:last].tolist()])
 
+    def needed(self) -> np.ndarray:
+        """Whether a word is of a document that has a live window."""
+        return np.repeat(np.add.reduceat(self.live, self.offsets[:-1]) > 0, np.diff(self.offsets))
+
     def compact(self) -> Chunk | None:
         """Without documents that have no live window."""
-        n = np.add.reduceat(self.live, self.offsets[:-1]) if len(self.ids) else np.empty(0, np.int64)
-        keep = n > 0
+        inner = self.needed()
+        keep = inner[self.offsets[:-1]]
         if not keep.any():
             return None
         if keep.all():
             return self
-        inner = np.repeat(keep, np.diff(self.offsets))
         words = self.words[inner]
         used = np.flatnonzero(np.bincount(words, minlength=len(self.vocabulary)))
         renamed = np.zeros(len(self.vocabulary), np.int64)
@@ -236,8 +249,8 @@ class Chunk:
         return out
 
 
-#: Kinds of rows between passes: a document, a chunk, a chunk's question to a bucket of names or of windows, a hash that clashes.
-DOCUMENT, STATE, QUESTION, CLASH = range(4)
+#: Kinds of rows between passes: a document, a chunk, a chunk's question to a bucket of names or of windows, a hash that clashes, the windows of a chunk that may repeat.
+DOCUMENT, STATE, QUESTION, CLASH, LIVE = range(5)
 _WAY = "kind int, chunk bigint, bucket int, idx int, id bigint, n_words bigint, sha string, a binary, b binary, c binary, d binary, e binary, f binary"
 _ARROW = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("idx", pa.int32()), ("id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), *((c, pa.binary()) for c in "abcdef")])
 
@@ -334,12 +347,34 @@ def _in(names: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[np.minimum(np.searchsorted(ordered, names), len(ordered) - 1)] == names
 
 
-def _answered(state: pa.Table, answers: pa.Table, which: tuple[int, ...], n: int) -> Chunk | None:
-    """A chunk without the windows that hold a name met nowhere else."""
-    chunk = Chunk.load(state)
+def _next(n: int, k: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
+        """After a round's answers, the windows of a chunk that may repeat and its next questions; after the last round what is needed of the chunk, and its windows."""
+        of_bucket = dict(zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True))
+        live = of_bucket.pop(-1, None)
+        if not len(state) or (k and live is None):
+            return _ARROW.empty_table()
+        whole = Chunk.load(state)
+        if live is not None:
+            whole.live = np.unpackbits(np.frombuffer(live, np.uint8), count=len(whole.words)).astype(bool)
+        inner, chunk = whole.needed(), whole.compact()
+        _answered(chunk, of_bucket, ROUNDS[k], n)
+        whole.live[inner] = chunk.live
+        chunk = chunk.compact()
+        if chunk is None:
+            return _ARROW.empty_table()
+        if k + 1 == len(ROUNDS):
+            return _rows([chunk.dump(), *_windows_asked(chunk, n, bits)])
+        return _rows([{"kind": LIVE, "chunk": chunk.number, "f": np.packbits(whole.live).tobytes()}, *_names_asked(chunk, ROUNDS[k + 1], n)])
+
+    return run
+
+
+def _answered(chunk: Chunk, answers: dict[int, bytes], which: tuple[int, ...], n: int) -> None:
+    """Takes from a chunk the windows that hold a name met nowhere else."""
     levels, asked, once, _ = _named(chunk, which)
     shared, at = np.zeros(len(once), bool), by_bucket(once, n)
-    for k, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+    for k, bits in answers.items():
         shared[at[k] : at[k + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[k + 1] - at[k])
     alone, start = once[~shared], chunk.starts()[0]
     gone = np.zeros(len(start), bool)
@@ -354,17 +389,6 @@ def _answered(state: pa.Table, answers: pa.Table, which: tuple[int, ...], n: int
             total = np.cumsum(dead, dtype=np.int32)
             gone |= total[x.high] > total[x.low]
         chunk.live[start[gone]] = False
-    return chunk.compact()
-
-
-def _next(n: int, k: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    def run(state: pa.Table, answers: pa.Table) -> pa.Table:
-        chunk = _answered(state, answers, ROUNDS[k], n) if len(state) else None
-        if chunk is None:
-            return _ARROW.empty_table()
-        return _rows([chunk.dump(), *(_names_asked(chunk, ROUNDS[k + 1], n) if k + 1 < len(ROUNDS) else _windows_asked(chunk, n, bits))])
-
-    return run
 
 
 class Windows:
@@ -562,15 +586,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = buckets(spark, size // 6, BUCKET_WORDS)
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    last = written(keyed.mapInArrow(lambda batches: _chunks(batches, n), _WAY), "substring-chunks")
-    base = written(last.where(F.col("kind") == DOCUMENT).select("chunk", "idx", "id", "n_words", "sha"), "substring-documents")
+    made = written(keyed.mapInArrow(lambda batches: _chunks(batches, n), _WAY), "substring-chunks")
+    base = written(made.where(F.col("kind") == DOCUMENT).select("chunk", "idx", "id", "n_words", "sha"), "substring-documents")
+    last = made
     for k in range(len(ROUNDS)):
-        state, questions = _parts(last, n)
-        answers = questions.groupBy("bucket").applyInArrow(_shared, "chunk bigint, bucket int, bits binary")
-        found = written(state.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_next(n, k, bits), _WAY), f"substring-round-{k}")
-        discard(last)
+        answers = _questions(last, n).groupBy("bucket").applyInArrow(_shared, "chunk bigint, bucket int, bits binary")
+        live = last.where(F.col("kind") == LIVE).select("chunk", F.lit(-1).alias("bucket"), F.col("f").alias("bits"))
+        found = written(_state(made).groupBy("chunk").cogroup(answers.unionByName(live).groupBy("chunk")).applyInArrow(_next(n, k, bits), _WAY), f"substring-round-{k}")
+        if last is not made:
+            discard(last)
         last = found
-    state, questions = _parts(last, n)
+    discard(made)
+    state, questions = _state(last), _questions(last, n)
     met = questions.groupBy("bucket").applyInArrow(_met, "chunk bigint, own binary, places binary")
     stretches = state.groupBy("chunk").cogroup(met.groupBy("chunk")).applyInArrow(_replies, _STRETCHES)
     fields = "kind int, chunk bigint, idx int, n_removed bigint, kept_text string, kept_sha256 string, hash bigint"
@@ -591,7 +618,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def _parts(made: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
-    """A pass's chunks, and its questions by bucket."""
-    state = made.where(F.col("kind") == STATE).select("chunk", *"abcdef")
-    return state, made.where(F.col("kind") == QUESTION).select("bucket", "chunk", *"abcde").repartition(n, "bucket")
+def _state(made: DataFrame) -> DataFrame:
+    return made.where(F.col("kind") == STATE).select("chunk", *"abcdef")
+
+
+def _questions(made: DataFrame, n: int) -> DataFrame:
+    """A pass's questions, by bucket."""
+    return made.where(F.col("kind") == QUESTION).select("bucket", "chunk", *"abcde").repartition(n, "bucket")
