@@ -115,8 +115,9 @@ def test_forest_and_components(spark):
     edges = list({(a, b): (a, b, w) for a, b, w in edges}.values())
     df = spark.createDataFrame(edges, "a bigint, b bigint, w double")
     forest, roots = brute_forest(edges)
-    assert {tuple(r) for r in graph.spanning_forest(df).collect()} == forest
-    assert {r.node: r.root for r in graph.components(df).collect()} == roots
+    for one_task in (graph.ONE_TASK, 0):
+        assert {tuple(r) for r in graph.spanning_forest(df, one_task).collect()} == forest
+        assert {r.node: r.root for r in graph.components(df, one_task).collect()} == roots
 
 
 def test_concept_tree(spark):
@@ -159,7 +160,7 @@ def test_knn_in_blocks(spark):
     d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     want = {(min(i, j), max(i, j)) for i in range(37) for j in np.argsort(d[i])[:4].tolist()}
-    assert {(r.a, r.b) for r in graph.knn_edges(df, block=10).collect()} == want
+    assert {(r.a, r.b) for r in graph.knn_edges(df, cell=10).collect()} == want
 
 
 def test_spacing(spark):
@@ -183,6 +184,12 @@ def test_models(spark, sf_dir):
     found, centres = models.clustered(rows, 4)
     again = cluster.nearest(rows, centres, 1).select("slide", "n", "c1").join(found.select("slide", "n", "label"), ["slide", "n"])
     assert again.where("c1 <> label").count() == 0
+    vectors_ = np.array([r.features for r in rows.select("features").collect()])
+    values, axes = np.linalg.eigh(np.cov(vectors_.T, bias=True))
+    model = sorted(models.fit_reduction(rows, components=50).collect())
+    assert len(model) == 50 and np.allclose([m.scale**2 for m in model], values[::-1][:50]) and all(abs(abs(np.dot(m.weights, axes[:, -1 - i])) - 1) < 1e-6 for i, m in enumerate(model[:5]))
+    inertia = lambda c: sum(r.d1**2 for r in cluster.nearest(rows, c, 1).select("d1").collect())
+    assert inertia(centres) < inertia(centres.where("id < 2"))
     runs = models.runs(rows, ["slide", "n"], [2, 3], 2)
     assert {r.k: r.pairs for r in compare.stability(runs, ["slide", "n"], ["k"]).collect()} == {2: 1, 3: 1}
 
@@ -244,3 +251,72 @@ def test_visual_words_from_all_windows(spark, monkeypatch):
     monkeypatch.setattr(models, "clustered", lambda rows, *given: seen.append(rows.count()) or fit(rows, *given))
     images = spark.createDataFrame([(i, 23, 23, [(i * 90 + k * k) % 256 for k in range(529)]) for i in range(2)], "id int, height int, width int, pixels array<int>")
     assert models.visual_words(images, 2, every=1).count() == 2 and seen == [512]
+
+
+def test_saved_models(spark, sf_dir, tmp_path):
+    """A reduction and centroids that were written score other rows as the ones they came from."""
+    rows = fx.patches(spark, sf_dir).where("positive = 1").drop("label")
+    model, (_, centres) = models.fit_reduction(rows, 0.5), models.clustered(rows, 3)
+    writers.write_table(model, str(tmp_path / "pca"))
+    writers.write_table(centres, str(tmp_path / "centres"))
+    own = lambda df: {(r.slide, r.n): r[2] for r in df.collect()}
+    assert own(models.apply_reduction(rows, spark.read.parquet(str(tmp_path / "pca"))).select("slide", "n", "reduced")) == own(models.apply_reduction(rows, model).select("slide", "n", "reduced"))
+    few = rows.where("n < 10")
+    assert own(cluster.nearest(few, spark.read.parquet(str(tmp_path / "centres")), 1).select("slide", "n", "c1")) == own(cluster.nearest(few, centres, 1).select("slide", "n", "c1"))
+
+
+def test_consensus_clustering(spark):
+    """Two clouds: every run that may, splits them; two is the best number, and prediction gives them back."""
+    from tilewright.operators import consensus
+
+    random = np.random.default_rng(0)
+    points = [(i, (random.normal(size=2) * 0.01 + (i % 2) * 5).tolist()) for i in range(24)]
+    rows = spark.createDataFrame(points, "id bigint, features array<double>")
+    runs, matrix, changes = consensus.fit(rows, "id", [2, 3], 2, 0.8, models.kmeans)
+    assert runs.groupBy("k", "run").count().where("count <> 19").isEmpty()
+    found = {(r.i, r.j): r.m for r in matrix.where("k = 2").collect()}
+    assert set(found.values()) == {1.0} and all(i % 2 == j % 2 for i, j in found)
+    assert [r.k for r in changes.collect()] == [2]
+    for got in (consensus.predict(matrix, rows.select("id"), 2, models.kmeans), consensus.predict_data(rows, "id", changes, models.kmeans)):
+        labels = {r.id: r.label for r in got.collect()}
+        assert len(labels) == 24 and len({labels[i] for i in range(0, 24, 2)}) == 1 and labels[0] != labels[1]
+    three = spark.createDataFrame([(0, r, i, i // 2) for r in range(2) for i in range(6)], "k int, run int, id bigint, label int")
+    assert {r.id: r.label for r in consensus.ensemble(three, 0.5, most=2).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 2, 5: 2}
+
+
+def test_extension_points(spark):
+    images = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [4.0, 5.0, 6.0])], "id int, pixels array<double>")
+    got = models.features(images, "encoder", encoder=lambda: lambda batch: np.stack([batch.sum(1), batch.max(1)], 1), shape=[3])
+    assert {r.id: r.features for r in got.collect()} == {1: [6.0, 3.0], 2: [15.0, 6.0]}
+    with pytest.raises(ValueError):
+        models.features(images, "other")
+
+
+def test_typed_readers(spark, tmp_path):
+    import struct
+    import zlib
+
+    def chunk(kind, data):
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    red, blue = b"\xff\x00\x00", b"\x00\x00\xff"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 2, 1, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\x00" + red + blue)) + chunk(b"IEND", b"")
+    (tmp_path / "images" / "a").mkdir(parents=True)
+    (tmp_path / "images" / "a" / "s_3_4.png").write_bytes(png)
+    (tmp_path / "images" / "a" / "note.txt").write_text("x")
+    got = readers.pixels(spark, str(tmp_path / "images" / "a")).first()
+    assert (got.height, got.width, got.channels, got.pixels) == (1, 2, 3, [255, 0, 0, 0, 0, 255])
+    assert tuple(readers.level_images(spark, str(tmp_path / "images" / "a")).select("x", "y").first()) == (3, 4)
+    found = readers.classes(spark, str(tmp_path / "images"))
+    assert found.select("class").first()[0] == "a" and readers.largest_class(found).first().most == 1
+    with pytest.raises(ValueError):
+        samples.check_classes(found)
+    labels = spark.createDataFrame([("s", 0, 5)], "slide string, n int, label int")
+    tiles_ = spark.createDataFrame([("s", 0, 1, 2, [0.5, 1.5]), ("s", 1, 1, 3, [0.0, 0.0])], "slide string, n int, x int, y int, features array<double>")
+    writers.write_csv(writers.segmentation_table(tiles_, labels, 2, "net").drop("slide"), str(tmp_path / "seg.csv"))
+    assert [tuple(r) for r in readers.segmentation(spark, str(tmp_path / "seg.csv")).collect()] == [(5, 1, 2)]
+    stack = spark.createDataFrame([("s", 5, 0, 0.5, 1.5)], "Slidename string, InSlideId int, GlobalId int, net_feature_0 double, net_feature_1 double")
+    writers.write_csv(stack, str(tmp_path / "stack.csv"))
+    assert tuple(readers.segments(spark, str(tmp_path / "stack.csv")).first()) == ("s", 5, 0, "net", [0.5, 1.5])
+    assert spark.range(1).select(samples.one_hot(F.lit(1), 3).alias("h")).first().h == [0, 1, 0]
+    assert spark.range(1).select(vectors.weighted_mean(F.array(F.lit(1.0)), F.lit(1), F.array(F.lit(4.0)), F.lit(2)).alias("m")).first().m == [3.0]

@@ -49,5 +49,7 @@ def word_histograms(words: DataFrame, key: str, word: str = "word", n_words: int
         down = guess.selectExpr("*", "i - if(w < i * step + lo, 1, 0) as j")
         counts = down.selectExpr(key, f"j + if(j < {bins - 1} and w >= (j + 1) * step + lo, 1, 0) as w", "n")
         counts = counts.groupBy(key, "w").agg(F.sum("n").alias("n"))
-    by_bin = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("w", "n"))).alias("m"))
-    return by_bin.select(key, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0))).alias("histogram"))
+    # A bin that no word is in has a row of its own, so that a key's counts, in order, are its histogram.
+    every = counts.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("w"), F.lit(0).cast("long").alias("n"))
+    full = counts.select(key, F.col("w").cast("int").alias("w"), "n").unionByName(every).groupBy(key, "w").agg(F.sum("n").alias("n"))
+    return full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("m")).select(key, F.transform("m", lambda x: x["n"]).alias("histogram"))

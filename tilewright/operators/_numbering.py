@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that the driver samples to cut the order into parts.
-SAMPLE = 2048
+from tilewright.operators._tables import written
 
+#: Bits of a generated id that hold the place in its partition.
+PLACE = 33
 
-def numbered(rows: DataFrame, order: list[str], name: str = "row", parts: int = 64) -> DataFrame:
-    """rows with a gapless number from 0 in the order of the (non-null) columns. Bounds from a bounded sample of keys cut the order into parts, each numbered by its own task behind the counts of those before it."""
-    keys = [tuple(r) for r in rows.select(*order).orderBy(F.xxhash64(*order)).limit(SAMPLE).collect()]
-    keys = sorted(set(keys))
-    bounds = keys[:: max(1, len(keys) // parts)][1:]
-    types = dict(rows.dtypes)
-    key = F.struct(*(F.col(c) for c in order))
-    # The part is the number of bounds at or below the key.
-    steps = [F.struct(*(F.lit(v).cast(types[c]).alias(c) for v, c in zip(b, order, strict=True))) for b in bounds]
-    part = F.size(F.filter(F.array(*steps), lambda b: b <= key)) if steps else F.lit(0)
-    cut = rows.withColumn("_part", part)
-    counts = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+
+def numbered(rows: DataFrame, order: list[str], name: str = "row") -> DataFrame:
+    """rows with a gapless number from 0 in the order of the columns. Partitions are ranges of the order, each sorted by its own task; a row's number is its place in its partition behind the counts of those before it."""
+    kept = rows.columns
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    # Written, as bounds of ranges come from a sample that another run might draw otherwise.
+    placed = written(parts, "numbered")
+    part = F.shiftright("_at", PLACE)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    # A row a partition.
     before = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return cut.withColumn("_number", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_number")).drop("_part", "_number", "_before")
+    met = placed.join(before, part == F.col("_part"))
+    return met.select(*kept, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << PLACE) - 1))).alias(name))

@@ -22,18 +22,23 @@ def contingency(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def overlap(pairs: DataFrame) -> DataFrame:
-    """(a, b, n, of_union, of_a, of_b): shared tiles of each two clusters, and their percentages; null where a cluster is empty. Every pair of labels up to the largest is there."""
-    cells = contingency(pairs)
-    size_a, size_b = (cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
-    top = cells.agg(F.greatest(F.max("a"), F.max("b")).alias("m")).where("m is not null")
-    every = top.select(F.explode(F.expr("sequence(0, m)")).alias("a"), "m").select("a", F.explode(F.expr("sequence(0, m)")).alias("b"))
-    full = every.join(cells, ["a", "b"], "left").join(size_a, "a", "left").join(size_b, "b", "left").fillna(0, ["n", "n_a", "n_b"])
+def overlap(pairs: DataFrame, dense: bool = True) -> DataFrame:
+    """(a, b, n, of_union, of_a, of_b): shared tiles of each two clusters, and their percentages; null where a cluster is empty. dense: every pair of labels up to the largest is there, which is a grid of labels; else those that share tiles."""
+    by = lambda c: F.sum("n").over(Window.partitionBy(c))
+    cells = contingency(pairs).select("a", "b", "n", by("a").alias("n_a"), by("b").alias("n_b"))
+    if dense:
+        # The table of clusters is small, and stays in one row: the tiles are counted once.
+        size = lambda c: F.expr(f"map_from_entries(array_distinct(transform(cells, x -> struct(x.{c} as k, x.n_{c} as v))))").alias(f"of_{c}")
+        one = cells.agg(F.collect_list(F.struct("a", "b", "n", "n_a", "n_b")).alias("cells")).where("size(cells) > 0")
+        one = one.select("cells", F.expr("array_max(transform(cells, x -> greatest(x.a, x.b)))").alias("top"))
+        one = one.select("top", size("a"), size("b"), F.expr("map_from_entries(transform(cells, x -> struct(struct(x.a as a, x.b as b) as k, x.n as v)))").alias("of"))
+        grid = one.select("*", F.explode(F.expr("sequence(0, top)")).alias("a")).select("*", F.explode(F.expr("sequence(0, top)")).alias("b"))
+        cells = grid.selectExpr("a", "b", "coalesce(try_element_at(of, struct(a, b)), 0L) as n", "coalesce(try_element_at(of_a, a), 0L) as n_a", "coalesce(try_element_at(of_b, b), 0L) as n_b")
 
     def percent(of: object) -> object:
         return F.try_divide(F.lit(100.0) * F.col("n"), of)
 
-    return full.select("a", "b", "n", percent(F.col("n_a") + F.col("n_b") - F.col("n")).alias("of_union"), percent(F.col("n_a")).alias("of_a"), percent(F.col("n_b")).alias("of_b"))
+    return cells.select("a", "b", "n", percent(F.col("n_a") + F.col("n_b") - F.col("n")).alias("of_union"), percent(F.col("n_a")).alias("of_a"), percent(F.col("n_b")).alias("of_b"))
 
 
 def best_matches(overlaps: DataFrame, by: str = "of_union", cluster: str = "a", other: str = "b") -> DataFrame:
@@ -45,17 +50,21 @@ def best_matches(overlaps: DataFrame, by: str = "of_union", cluster: str = "a",
 def rand_index(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, ari): the adjusted Rand index from the contingency table; 1 where both clusterings are trivial alike."""
     keys = keys or []
+    # The tiles are counted once; marginals are sums over the small table of clusters, each put on the first of its cells.
     cells = pairs.groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    whole = keys or [F.lit(0)]
+
+    def side(c: str, other: str) -> tuple[object, object]:
+        return F.sum("n").over(Window.partitionBy(*whole, c)), F.row_number().over(Window.partitionBy(*whole, c).orderBy(other)) == 1
+
+    (m_a, first_a), (m_b, first_b) = side("a", "b"), side("b", "a")
+    cells = cells.select(*keys, "n", F.when(first_a, m_a).alias("m_a"), F.when(first_b, m_b).alias("m_b"))
 
     def pairs_of(n: str) -> object:
         return F.sum(F.col(n) * (F.col(n) - 1) / 2)
 
-    side = lambda c: cells.groupBy(*keys, c).agg(F.sum("n").alias("m")).groupBy(*keys).agg(pairs_of("m").alias(f"p_{c}"))
-    both = cells.groupBy(*keys).agg(pairs_of("n").alias("p"), F.sum("n").alias("total"))
-    if keys:
-        full = both.join(side("a"), keys).join(side("b"), keys)
-    else:
-        full = both.crossJoin(F.broadcast(side("a"))).crossJoin(F.broadcast(side("b")))
+    full = cells.groupBy(*keys).agg(pairs_of("n").alias("p"), F.sum("n").alias("total"), pairs_of("m_a").alias("p_a"), pairs_of("m_b").alias("p_b"))
+    full = full.where("total is not null")
     chance = F.try_divide(F.col("p_a") * F.col("p_b"), F.col("total") * (F.col("total") - 1) / 2)
     top = (F.col("p_a") + F.col("p_b")) / 2
     return full.select(*keys, F.when(top == chance, 1.0).otherwise((F.col("p") - chance) / (top - chance)).alias("ari"))

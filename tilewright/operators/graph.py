@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,15 +11,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions.vectors import distance, mean_vectors
 from tilewright.operators._numbering import numbered
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder that driver and executors share."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{top.rstrip('/')}/graph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tilewright.operators._tables import written
 
 
 def grid_spacing(tiles: DataFrame) -> DataFrame:
@@ -39,77 +30,80 @@ def neighbour_edges(tiles: DataFrame, spacing: DataFrame | None = None) -> DataF
     return met.select("slide", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), distance(F.col("f"), F.col("g")).alias("w"))
 
 
-def knn_edges(points: DataFrame, k: int = 4, block: int = 4096) -> DataFrame:
-    """(a, b, w), a < b: each point (id, features) and its k nearest others, exactly; the lower id wins a tie. Points are asked in blocks of bounded size against all points, and a block keeps k candidates for each of its points in each task."""
-    spark = points.sparkSession
-    rows = _written(numbered(points.select("id", "features"), ["id"], "_row"), "points")
-    n = rows.count()
-    parts = []
-
-    for start in range(0, n, block):
-        asked = rows.where((F.col("_row") >= start) & (F.col("_row") < start + block)).select("id", "features").toPandas()
-        if not len(asked):
-            continue
-        sent = spark.sparkContext.broadcast((asked["id"].to_numpy(np.int64), np.array(asked["features"].tolist(), float)))
-
-        def nearest(batches: Iterator[pd.DataFrame], sent: object = sent) -> Iterator[pd.DataFrame]:
-            own, vectors = sent.value
-            best_d, best_i = np.full((len(own), k), np.inf), np.full((len(own), k), np.iinfo(np.int64).max)
-            for batch in batches:
-                for a in range(0, len(batch), 1024):
-                    ids = batch["id"].to_numpy(np.int64)[a : a + 1024]
-                    other = np.array(batch["features"].tolist()[a : a + 1024], float)
-                    d = np.stack([np.sqrt(((v - other) ** 2).sum(1)) for v in vectors])
-                    d[own[:, None] == ids[None]] = np.inf
-                    every_d, every_i = np.hstack([best_d, d]), np.hstack([best_i, np.broadcast_to(ids, d.shape)])
-                    order = np.lexsort((every_i, every_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(every_d, order, 1), np.take_along_axis(every_i, order, 1)
-            ok = np.isfinite(best_d)
-            yield pd.DataFrame({"id": np.repeat(own, k)[ok.ravel()], "other": best_i[ok], "w": best_d[ok]})
-
-        found = rows.select("id", "features").mapInPandas(nearest, "id bigint, other bigint, w double")
-        at = F.row_number().over(Window.partitionBy("id").orderBy("w", "other"))
-        parts.append(found.withColumn("_r", at).where(F.col("_r") <= k))
-    if not parts:
-        return spark.createDataFrame([], "a bigint, b bigint, w double")
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    return every.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("w").alias("w"))
+#: Points that choose a cell's place, at most; points of a cell, about, below that; and distances that a task works out at once.
+CELLS, CELL, AT_ONCE = 1024, 2048, 1 << 17
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): root is the least node reachable. Nodes point at the least they have heard of, and follow its pointer in turn, until nothing moves."""
-    both = _written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    roots = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
-    while True:
-        heard = both.join(roots, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("heard"))
-        low = roots.join(heard, F.col("node") == F.col("a")).select("node", F.least("root", "heard").alias("root"), F.col("root").alias("was"))
-        up = roots.select(F.col("node").alias("at"), F.col("root").alias("up"))
-        moved = _written(low.join(up, F.col("root") == F.col("at"), "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "was"), "roots")
-        roots = moved.select("node", "root")
-        if moved.where("root <> was").isEmpty():
-            return roots
+def _nearest_in(own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of others to each vector, itself left out: distances (infinite where there are fewer) and ids, the lower of equals first."""
+    best_d, best_i = np.full((len(own), k), np.inf), np.full((len(own), k), np.iinfo(np.int64).max)
+    step = max(1, AT_ONCE // max(1, len(ids)))
+    for at in range(0, len(own), step):
+        d = np.sqrt(((vectors[at : at + step, None] - others[None]) ** 2).sum(2))
+        d[own[at : at + step, None] == ids[None]] = np.inf
+        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
+        n = order.shape[1]
+        best_d[at : at + step, :n], best_i[at : at + step, :n] = np.take_along_axis(d, order, 1), ids[order]
+    return best_d, best_i
 
 
-def spanning_forest(edges: DataFrame) -> DataFrame:
-    """(a, b, w): the minimum spanning forest of edges (a, b, w), by Boruvka's rounds; ties go by (w, a, b), so it is unique. In each round every tree takes its least outgoing edge, and trees halve at least."""
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    label = _written(nodes.select("node", F.col("node").alias("root")), "trees")
-    left = _written(edges.select("a", "b", "w").groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
-    taken = None
-    while True:
-        a, b = (label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-        left = _written(left.select("a", "b", "w").join(a, "a").join(b, "b").where("ra <> rb"), "outgoing")
-        if left.isEmpty():
-            break
-        key = F.struct("w", "a", "b")
-        ends = left.select("ra", key.alias("e")).unionByName(left.select(F.col("rb").alias("ra"), key.alias("e")))
-        least = ends.groupBy("ra").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.w").distinct()
-        taken = _written(least if taken is None else taken.unionByName(least), "forest")
-        joined = components(taken.select("a", "b"))
-        label = _written(nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "trees")
-    return taken if taken is not None else left.select("a", "b", "w")
+def knn_edges(points: DataFrame, k: int = 4, cell: int = CELL) -> DataFrame:
+    """(a, b, w), a < b: each point (id, features) and its k nearest others, exactly; the lower id wins a tie.
+
+    Points fall into cells around a bounded sample of them. The k nearest in a point's own cell bound how far its neighbours may be, and by the triangle inequality it is sent only to the
+    cells that reach so near; there it meets the cell's points. Nothing but the sample and the cells' radii, one number each, comes to the driver."""
+    spark = points.sparkSession
+    rows = written(points.select(F.col("id").cast("long").alias("id"), "features"), "points")
+    many = min(CELLS, -(-rows.count() // cell))
+    centres = [r.features for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()]
+    if not centres:
+        return spark.createDataFrame([], "a bigint, b bigint, w double")
+    sent = spark.sparkContext.broadcast(np.array(centres, float))
+
+    def far(batch: pd.DataFrame) -> np.ndarray:
+        """Each point's distance to each centre."""
+        vectors = np.array(batch["features"].tolist(), float)
+        return np.concatenate([np.sqrt(((vectors[a : a + 64, None] - sent.value[None]) ** 2).sum(2)) for a in range(0, len(vectors), 64)])
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                d = far(batch)
+                yield batch.assign(cell=d.argmin(1), d=d.min(1))
+
+    placed = written(rows.mapInPandas(place, "id bigint, features array<double>, cell bigint, d double"), "placed")
+    radii = np.zeros(len(centres))
+    for r in placed.groupBy("cell").agg(F.max("d").alias("r")).collect():
+        radii[r.cell] = r.r
+
+    def inside(own: pd.DataFrame) -> pd.DataFrame:
+        ids, vectors = own["id"].to_numpy(np.int64), np.array(own["features"].tolist(), float)
+        d, i = _nearest_in(ids, vectors, ids, vectors, k)
+        return own.drop(columns="d").assign(near=list(i), near_d=list(d), reach=d[:, -1])
+
+    local = written(placed.groupBy("cell").applyInPandas(inside, "id bigint, features array<double>, cell bigint, near array<bigint>, near_d array<double>, reach double"), "local")
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                # A little slack, as distances are rounded.
+                ask = far(batch) - radii[None] <= batch["reach"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
+                ask[np.arange(len(batch)), batch["cell"].to_numpy()] = False
+                row, to = np.nonzero(ask)
+                yield pd.DataFrame({"cell": to, "id": batch["id"].to_numpy()[row], "features": batch["features"].to_numpy()[row]})
+
+    def meet(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(own):
+            return pd.DataFrame({"id": [], "near": [], "near_d": []}).astype({"id": np.int64, "near": object, "near_d": object})
+        d, i = _nearest_in(asked["id"].to_numpy(np.int64), np.array(asked["features"].tolist(), float), own["id"].to_numpy(np.int64), np.array(own["features"].tolist(), float), k)
+        return pd.DataFrame({"id": asked["id"].to_numpy(), "near": list(i), "near_d": list(d)})
+
+    asked = local.select("id", "features", "cell", "reach").mapInPandas(send, "cell bigint, id bigint, features array<double>")
+    met = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(meet, "id bigint, near array<bigint>, near_d array<double>")
+    every = local.select("id", "near", "near_d").unionByName(met).select("id", F.explode(F.arrays_zip("near", "near_d")).alias("z")).where(F.col("z.near_d") < float("inf"))
+    best = every.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("z.near_d").alias("w"), F.col("z.near").alias("other")))), 1, k).alias("best"))
+    found = best.select("id", F.explode("best").alias("e")).select("id", "e.other", "e.w")
+    return found.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("w").alias("w"))
 
 
 class DisjointSets:
@@ -135,6 +129,75 @@ class DisjointSets:
         return a
 
 
+#: Edges that one task takes alone; a larger graph is worked on in rounds of joins, with the same result.
+ONE_TASK = 1 << 20
+
+
+def _kruskal(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of edges (a, b, w), the least node that each is connected to, and whether an edge is of the minimum spanning forest; ties go by (w, a, b)."""
+    a, b, w = rows["a"].to_numpy(np.int64), rows["b"].to_numpy(np.int64), rows["w"].to_numpy(float)
+    ids, ends = np.unique(np.stack([a, b]), return_inverse=True)
+    u, v = ends.reshape(2, -1)
+    sets, taken = DisjointSets(len(ids)), np.zeros(len(a), bool)
+    for i in np.lexsort((b, a, w)).tolist():
+        p, q = sets.root(int(u[i])), sets.root(int(v[i]))
+        if p != q:
+            sets.union(p, q)
+            taken[i] = True
+    roots = np.array([sets.root(k) for k in range(len(ids))], np.int64)
+    first = np.unique(roots, return_index=True)
+    return ids, ids[first[1]][np.searchsorted(first[0], roots)], taken
+
+
+def _alone(edges: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    return edges.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(run, schema)
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, root) for the nodes of edges (a, b): root is the least node reachable. Alternating large and small stars (Kiveris et al. 2014): every node links its larger neighbours, then its smaller ones, to the least around it, until nothing moves; rounds grow with the logarithm of a component."""
+    edges = written(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
+    if edges.count() <= one_task:
+        alone = lambda rows: pd.DataFrame(dict(zip(("node", "root"), _kruskal(rows.assign(w=0.0)), strict=False)))
+        return written(_alone(edges, alone, "node bigint, root bigint"), "components")
+    nodes = written(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct(), "nodes")
+    edges = edges.where("a <> b")
+    state = None
+    while True:
+        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = written(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        edges = written(small.where("a <> b").distinct(), "small-star")
+        was, state = state, edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if state == was:
+            return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def spanning_forest(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
+    """(a, b, w): the minimum spanning forest of edges (a, b, w), by Boruvka's rounds; ties go by (w, a, b), so it is unique. In each round every tree takes its least outgoing edge, and trees halve at least."""
+    edges = written(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "w"), "edges")
+    if edges.count() <= one_task:
+        alone = lambda rows: rows.assign(taken=_kruskal(rows)[2]).query("taken")[["a", "b", "w"]]
+        return _alone(edges, alone, "a bigint, b bigint, w double")
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    label = written(nodes.select("node", F.col("node").alias("root")), "trees")
+    left = written(edges.select("a", "b", "w").groupBy("a", "b").agg(F.min("w").alias("w")), "edges")
+    taken = None
+    while True:
+        a, b = (label.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+        left = written(left.select("a", "b", "w").join(a, "a").join(b, "b").where("ra <> rb"), "outgoing")
+        if left.isEmpty():
+            break
+        key = F.struct("w", "a", "b")
+        ends = left.select("ra", key.alias("e")).unionByName(left.select(F.col("rb").alias("ra"), key.alias("e")))
+        least = ends.groupBy("ra").agg(F.min("e").alias("e")).select("e.a", "e.b", "e.w").distinct()
+        taken = written(least if taken is None else taken.unionByName(least), "forest")
+        joined = components(taken.select("a", "b"), one_task)
+        label = written(nodes.join(joined, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "trees")
+    return taken if taken is not None else left.select("a", "b", "w")
+
+
 def segment(a: np.ndarray, b: np.ndarray, w: np.ndarray, coeff: float = 10.0, keep_singletons: bool = False) -> dict[int, int]:
     """Felzenszwalb's segmentation of one graph: node to the least node of its segment. Nodes without an edge taken are left out, or, with keep_singletons, segments of their own."""
     ids = np.unique(np.concatenate([a, b]))
@@ -170,3 +233,16 @@ def segment_stack(members: DataFrame) -> DataFrame:
     """(slide, in_slide_id, global_id, population, features): the mean vector of each segment (slide, label), numbered over all slides from 0."""
     means = mean_vectors(members, ["slide", "label"]).withColumnRenamed("label", "in_slide_id")
     return numbered(means, ["slide", "in_slide_id"], "global_id").select("slide", "in_slide_id", "global_id", "population", "features")
+
+
+def by_size(edges: DataFrame) -> DataFrame:
+    """(slide, n, label, size) of the tiles of edges (slide, a, b): their components, the largest 0, then by the least tile."""
+    key = lambda c: F.struct("slide", F.col(c).cast("long").alias("n"))
+    ends = edges.select(key("a").alias("s"), key("b").alias("t"))
+    ids = numbered(ends.select(F.col("s").alias("k")).unionByName(ends.select(F.col("t").alias("k"))).distinct().select("k.slide", "k.n"), ["slide", "n"], "id")
+    a, b = (ids.select("slide", F.col("n").alias(c), F.col("id").alias(f"i{c}")) for c in "ab")
+    found = components(edges.select("slide", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).join(a, ["slide", "a"]).join(b, ["slide", "b"]).select(F.col("ia").alias("a"), F.col("ib").alias("b")))
+    placed = ids.join(found, F.col("id") == F.col("node")).select("slide", "n", "root")
+    sizes = placed.groupBy("slide", "root").agg(F.count(F.lit(1)).alias("size"))
+    ranked = sizes.withColumn("label", F.row_number().over(Window.partitionBy("slide").orderBy(F.col("size").desc(), "root")) - 1)
+    return placed.join(ranked, ["slide", "root"]).select("slide", "n", F.col("label").cast("long").alias("label"), "size")

@@ -2,30 +2,74 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, predict_batch_udf
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from tilewright.functions.pixels import word_histograms
+from tilewright.functions.vectors import dot
 
 
-def reduced(rows: DataFrame, variance: float = 0.9, vector: str = "features") -> DataFrame:
-    """rows with reduced: principal components up to the least number that explains so much variance, each to mean 0 and population variance 1."""
-    have = rows.withColumn("_v", array_to_vector(vector))
-    size = len(have.select(vector).first()[0])
+def fit_reduction(rows: DataFrame, variance: float = 0.9, components: int | None = None, vector: str = "features") -> DataFrame:
+    """(component, weights, shift, scale): principal components up to the least number that explains so much variance, or so many of them, with the mean and population deviation of rows along each. A table, to be saved and applied to other rows; it has a row a dimension at most."""
+    have = rows.select(array_to_vector(vector).alias("_v"))
+    stats = have.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v")).alias("s")).first().s
+    size = len(stats["mean"])
     model = PCA(k=size, inputCol="_v", outputCol="_p").fit(have)
-    k = min(size, int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), variance - 1e-12)) + 1)
-    short = model.transform(have).withColumn("_p", array_to_vector(F.slice(vector_to_array("_p"), 1, k)))
-    n = rows.count()
-    out = StandardScaler(withMean=True, inputCol="_p", outputCol="_s").fit(short).transform(short)
-    grow = float(np.sqrt(n / max(1, n - 1)))
-    return out.withColumn("reduced", F.transform(vector_to_array("_s"), lambda x: x * grow)).drop("_v", "_p", "_s")
+    share, axes, mean = model.explainedVariance.toArray(), model.pc.toArray(), stats["mean"].toArray()
+    k = min(size, components or int(np.searchsorted(np.cumsum(share), variance - 1e-12)) + 1)
+    n = stats["count"]
+    spread = np.sqrt(np.maximum(share, 0) * stats["variance"].toArray().sum() * (n - 1) / max(1, n))
+    made = [(i, axes[:, i].tolist(), float(mean @ axes[:, i]), float(spread[i])) for i in range(k)]
+    return rows.sparkSession.createDataFrame(made, "component int, weights array<double>, shift double, scale double")
+
+
+def apply_reduction(rows: DataFrame, model: DataFrame, vector: str = "features") -> DataFrame:
+    """rows with reduced: their place along each component, standardised as the model's own rows were. The model is one row, which each task gets."""
+    one = model.agg(F.array_sort(F.collect_list(F.struct("component", "weights", "shift", "scale"))).alias("_m"))
+    place = F.element_at(F.transform(F.array(vector), lambda f: F.transform("_m", lambda m: F.coalesce(F.try_divide(dot(f, m["weights"]) - m["shift"], m["scale"]), F.lit(0.0)))), 1)
+    return rows.crossJoin(F.broadcast(one)).withColumn("reduced", place).drop("_m")
+
+
+def reduced(rows: DataFrame, variance: float = 0.9, vector: str = "features", components: int | None = None) -> DataFrame:
+    """rows with reduced: principal components up to the least number that explains so much variance (or so many), each to mean 0 and population variance 1."""
+    return apply_reduction(rows, fit_reduction(rows, variance, components, vector), vector)
+
+
+#: A clusterer: rows (with features), a number of clusters and a seed, to the rows with label.
+Clusterer = Callable[[DataFrame, int, int], DataFrame]
+
+
+def kmeans(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    return clustered(rows, k, seed)[0]
+
+
+def best_k(stability: DataFrame) -> DataFrame:
+    """stability (k, mean_ari) with best: the k whose runs agree most, the least of equals."""
+    top = stability.agg(F.max_by("k", F.struct("mean_ari", -F.col("k"))).alias("_best"))
+    return stability.crossJoin(F.broadcast(top)).withColumn("best", F.col("k") == F.col("_best")).drop("_best")
+
+
+def encoded(images: DataFrame, encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], shape: list[int], pixels: str = "pixels", batch: int = 1000) -> DataFrame:
+    """images with features, by an encoder made once a worker, which takes batches of pixel arrays of that shape."""
+    ask = predict_batch_udf(encoder, return_type=ArrayType(DoubleType()), batch_size=batch, input_tensor_shapes=[shape])
+    return images.withColumn("features", ask(F.col(pixels)))
+
+
+def features(images: DataFrame, method: str, **given: object) -> DataFrame:
+    """images with their features, by the method's name: words (a histogram of visual words; words=, size=, compat=) or encoder (encoder=, shape=)."""
+    methods = {"words": word_counts, "encoder": encoded}
+    if method not in methods:
+        raise ValueError(f"unknown method {method}; there are {', '.join(methods)}")
+    return methods[method](images, **given)
 
 
 def clustered(rows: DataFrame, k: int, seed: int = 7, vector: str = "features", bisecting: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -37,12 +81,12 @@ def clustered(rows: DataFrame, k: int, seed: int = 7, vector: str = "features",
     return model.transform(have).drop("_v"), centres
 
 
-def runs(rows: DataFrame, keys: list[str], counts: list[int], times: int = 5) -> DataFrame:
-    """(k, run, keys, label): k-means of each number of clusters, with a seed of its own each time."""
+def runs(rows: DataFrame, keys: list[str], counts: list[int], times: int = 5, clusterer: Clusterer = kmeans) -> DataFrame:
+    """(k, run, keys, label): a clustering for each number of clusters, with a seed of its own each time."""
     out = None
     for k in counts:
         for run in range(times):
-            own = clustered(rows, k, seed=1000 * k + run)[0].select(F.lit(k).alias("k"), F.lit(run).alias("run"), *keys, "label")
+            own = clusterer(rows, k, 1000 * k + run).select(F.lit(k).alias("k"), F.lit(run).alias("run"), *keys, "label")
             out = own if out is None else out.unionByName(own)
     return out
 

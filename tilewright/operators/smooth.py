@@ -70,6 +70,11 @@ def coloured(cells: DataFrame) -> DataFrame:
     return cells.join(F.broadcast(table), "code", "left")
 
 
+def legend(labels: DataFrame) -> DataFrame:
+    """(name, r, g, b) of labelled tiles, each once."""
+    return labels.select("name", "r", "g", "b").distinct()
+
+
 def neighbourhoods(cells: DataFrame, value: str) -> DataFrame:
     """(slide, x, y, around): for each cell whose eight neighbours exist, the nine values of its 3 x 3 block, by x, then y. One shuffle: each cell sends its value to the nine blocks it is in."""
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
@@ -89,3 +94,12 @@ def smoothed(tiles: DataFrame, grid: DataFrame) -> DataFrame:
     clear = F.col("_code").isin(0, 1) & (F.col("_k") >= CLEAR)
     chosen = F.when(clear | (new == F.col("c2")) | (new == F.col("c3")), new).otherwise(F.col("c1"))
     return tiles.join(winner, ["slide", "x", "y"], "left").withColumn("c1", F.coalesce(chosen, F.col("c1"))).drop("_code", "_k")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (tiles, to_background, to_negative, to_cluster): how many tiles (slide, n, c1) a pass changed, and to what."""
+    old = before.select("slide", "n", F.col("c1").alias("_was"))
+    met = after.select("slide", "n", "c1").join(old, ["slide", "n"])
+    moved = F.col("c1") != F.col("_was")
+    count = lambda to, name: F.count_if(moved & to).alias(name)
+    return met.agg(F.count(F.lit(1)).alias("tiles"), count(F.col("c1") == -2, "to_background"), count(F.col("c1") == -1, "to_negative"), count(F.col("c1") >= 0, "to_cluster"))

@@ -21,6 +21,12 @@ def with_tissue(tiles: DataFrame, ratio: float = 0.25, area: str = "area", tissu
     return tiles.where(F.col(tissue) > ratio * F.col(area))
 
 
+def of_shape(images: DataFrame, height: int, width: int | None = None, channels: int | None = None) -> DataFrame:
+    """Images (height, width, channels) of that shape; without a width square ones."""
+    same = (F.col("height") == height) & (F.col("width") == (height if width is None else width))
+    return images.where(same if channels is None else same & (F.col("channels") == channels))
+
+
 def number_tiles(tiles: DataFrame) -> DataFrame:
     """tiles with n: gapless from 0 in each slide, by x, then y."""
     return tiles.withColumn("n", F.row_number().over(Window.partitionBy("slide").orderBy("x", "y")) - 1)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.vectors import dot
-from tilewright.operators.graph import _written, components
+from tilewright.operators._tables import written
+from tilewright.operators.graph import components
 
 TREE = "tree bigint, node bigint, parent bigint, left bigint, right bigint, weight double, population bigint, descriptor array<double>, slides array<string>"
 
@@ -69,7 +70,7 @@ def leaves_under(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     front = nodes.select("node", F.col("node").alias("at"))
     done = None
     while True:
-        stepped = _written(front.join(kids, "at"), "frontier")
+        stepped = written(front.join(kids, "at"), "frontier")
         leaves = stepped.where("left is null").select("node", F.col("at").alias("leaf"))
         done = leaves if done is None else done.unionByName(leaves)
         front = stepped.where("left is not null").select("node", F.explode(F.array("left", "right")).alias("at"))
@@ -115,7 +116,7 @@ def similarity(a: DataFrame, b: DataFrame, root_a: int, root_b: int) -> DataFram
     pairs = spark.createDataFrame([(root_a, root_b, 1.0)], "a_node bigint, b_node bigint, share double")
     scores = None
     while True:
-        met = _written(pairs.join(left, "a_node").join(right, "b_node"), "pairs")
+        met = written(pairs.join(left, "a_node").join(right, "b_node"), "pairs")
         ends = F.col("a_left").isNull() | F.col("b_left").isNull()
         got = met.where(ends).select((F.col("share") * dot(F.col("a_v"), F.col("b_v"))).alias("s"))
         scores = got if scores is None else scores.unionByName(got)

@@ -11,6 +11,7 @@ from tilewright.functions import names, pixels
 from tilewright.functions.vectors import mean_vectors, softmax
 from tilewright.operators import cluster, compare, consensus, graph, models, samples, smooth, tiles
 from tilewright.operators import tree as trees
+from tilewright.operators._tables import written
 from tilewright.plans import fixtures as fx
 from tilewright.sources import writers
 
@@ -199,6 +200,30 @@ def semi_supervised_clusters(spark: SparkSession, d: str) -> DataFrame:
     return cluster.labelled_preference(found, seeds.count()).select("slide", "n", "c1", "c2", "c3")
 
 
+@query(
+    f"""with {fx.ASSIGNED}, a as (select slide, n, case when dist is null then null else list_transform(dist, lambda v: exp(d1 - v)) end as e from assigned), t as (select p.slide, p.x, p.y, case when p.positive = 1
+      then list_concat([0.0::double], list_transform(a.e, lambda v: v / list_sum(a.e))) else [1.0::double, 0, 0, 0, 0, 0, 0, 0, 0] end as p from patch p left join a using (slide, n)),
+    s as (select unnest([-1, 0, 1]) as i), w as (select a.slide, a.x, a.y, i.i, j.i as j, b.p from t a, s i, s j, t b where b.slide = a.slide and b.x = a.x + i.i and b.y = a.y + j.i)
+    select slide, x, y, {_sql_text("flatten(list(p order by i, j))", 4)} as features from w group by 1, 2, 3 having count(*) = 9"""
+)
+def hierarchical_features(spark: SparkSession, d: str) -> DataFrame:
+    seen = cluster.nearest(fx.patches(spark, d), fx.centroids(spark, d))
+    return cluster.hierarchical_features(seen).select("slide", "x", "y", _text("features", 4).alias("features"))
+
+
+@query(
+    f"""with {fx.ASSIGNED}, f1 as (select a.c1 as id, unnest(p.features) as v, generate_subscripts(p.features, 1) as pos from assigned a join patch p using (slide, n)),
+    m1 as (select id, list(m order by pos) as features from (select id, pos, avg(v) as m from f1 group by 1, 2) group by 1),
+    r2 as (select p.slide, p.n, m.id, row_number() over (partition by p.slide, p.n order by list_distance(p.features, m.features), m.id) as r from patch p, m1 m where p.positive = 1),
+    f2 as (select r2.id, unnest(p.features) as v, generate_subscripts(p.features, 1) as pos from r2 join patch p using (slide, n) where r = 1),
+    m2 as (select id, list(m order by pos) as features from (select id, pos, avg(v) as m from f2 group by 1, 2) group by 1),
+    r3 as (select p.slide, p.n, m.id, row_number() over (partition by p.slide, p.n order by list_distance(p.features, m.features), m.id) as r from patch p, m2 m where p.positive = 1)
+    select slide, n, id as label from r3 where r = 1"""
+)
+def lloyd_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.lloyd(fx.patches(spark, d).where("positive = 1"), fx.centroids(spark, d), 3, ["slide", "n"])
+
+
 @query(f"with {fx.ASSIGNED}, e as (select slide, n, list_transform(dist, lambda v: exp(d1 - v)) as e from assigned) select slide, n, {_sql_text('list_transform(e, lambda v: v / list_sum(e))')} as p from e")
 def softmax_distances(spark: SparkSession, d: str) -> DataFrame:
     return fx.assigned(spark, d).select("slide", "n", _text(softmax(F.transform("dist", lambda v: -v))).alias("p"))
@@ -269,6 +294,20 @@ def smoothing(spark: SparkSession, d: str) -> DataFrame:
     return smooth.smoothed(t, fx.grid_cells(t)).select("slide", "n", "x", "y", "positive", "c1", "c2", "c3")
 
 
+@query(
+    f"""with {fx.GRID_TILES}, p as (select g.slide, g.x, g.y, case when t.slide is null then 0 when positive = 0 then 1 else c1 + 2 end as code from grid g left join tile t using (slide, x, y)),
+    s as (select unnest([-1, 0, 1]) as i), w as (select a.slide, a.x, a.y, a.code as mine, b.code from p a, s i, s j, p b where b.slide = a.slide and b.x = a.x + i.i and b.y = a.y + j.i and a.x between 1 and 18 and a.y between 1 and 18),
+    lonely as (select slide, x, y, mine from w group by 1, 2, 3, 4 having mine <> 0 and count(*) filter (code = mine) = 1),
+    counted as (select slide, x, y, code, count(*) as k from w semi join lonely using (slide, x, y) group by 1, 2, 3, 4),
+    best as (select * from (select *, row_number() over (partition by slide, x, y order by k desc, code) as r from counted) where r = 1 and k >= 5),
+    after as (select t.c1 as was, case when (b.code in (0, 1) and b.k >= 7) or b.code - 2 = t.c2 or b.code - 2 = t.c3 then b.code - 2 else t.c1 end as c1 from tile t left join best b using (slide, x, y))
+    select count(*) as tiles, count(*) filter (c1 <> was and c1 = -2) as to_background, count(*) filter (c1 <> was and c1 = -1) as to_negative, count(*) filter (c1 <> was and c1 >= 0) as to_cluster from after"""
+)
+def smoothing_changes(spark: SparkSession, d: str) -> DataFrame:
+    t = fx.grid_tiles(spark, d)
+    return smooth.changes(t, smooth.smoothed(t, fx.grid_cells(t)))
+
+
 # Comparison
 
 
@@ -352,10 +391,60 @@ def reliable_samples(spark: SparkSession, d: str) -> DataFrame:
     return samples.reliable(fx.patches(spark, d), fx.centroids(spark, d), "vec_id")
 
 
-@query(f"with {fx.ASSIGNED}, c as (select c1 as cluster, count(*) as n from assigned group by 1) select cluster, least(n, 32) as drawn, least(n, 32) as draws from c")
+_DRAWN = """c as (select c1, count(*) <= 32 as few from assigned group by 1), d as (select unnest(range(0, 32))::int as draw),
+    drawn as (select c1 as cluster, slide, n, (row_number() over (partition by c1 order by slide, n) - 1)::int as draw from assigned join c using (c1) where few
+      union all select c1, slide, n, draw from (select *, row_number() over (partition by c1, draw order by md5(concat_ws('-', slide, n, draw, '7')), slide, n) as r from assigned join c using (c1), d where not few) where r = 1)"""
+
+
+def _drawn(spark: SparkSession, d: str) -> DataFrame:
+    return samples.with_replacement(fx.assigned(spark, d).select("slide", "n", "c1"), "c1", ["slide", "n"])
+
+
+@query(f"with {fx.ASSIGNED}, {_DRAWN} select cluster, slide, n, draw from drawn")
 def random_per_cluster(spark: SparkSession, d: str) -> DataFrame:
-    drawn = samples.with_replacement(fx.assigned(spark, d).select("slide", "n", "c1"), "c1", ["slide", "n"])
-    return drawn.groupBy(F.col("c1").alias("cluster")).agg(F.count(F.lit(1)).alias("drawn"), F.countDistinct("draw").alias("draws"))
+    return _drawn(spark, d).select(F.col("c1").alias("cluster"), "slide", "n", "draw")
+
+
+@query(f"with {fx.ASSIGNED}, {_DRAWN} select cluster, slide, n, draw // 8 as row, draw % 8 as col from drawn")
+def contact_sheets(spark: SparkSession, d: str) -> DataFrame:
+    return samples.contact_sheet(_drawn(spark, d), 8).select(F.col("c1").alias("cluster"), "slide", "n", "row", "col")
+
+
+@query("select o_orderkey from orders order by md5(concat_ws('-', o_orderkey, '7')), o_orderkey limit 100")
+def capped_random(spark: SparkSession, d: str) -> DataFrame:
+    return samples.capped_images(fx.read(spark, d, "orders").select("o_orderkey"), 100, ["o_orderkey"])
+
+
+@query("select o_custkey, o_orderkey from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by md5(concat_ws('-', o_orderkey, '7')), o_orderkey) as r from orders) where r <= 2")
+def random_of_each(spark: SparkSession, d: str) -> DataFrame:
+    return samples.random_of_each(fx.read(spark, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], 2)
+
+
+@query("with s as (select s_suppkey, row_number() over (order by md5(concat_ws('-', s_suppkey, '7')), s_suppkey) - 1 as i, count(*) over () as n from supplier), p as (select unnest(range(0, 7 * 16)) as q) select (q // 16)::int as batch, (q % 16)::int as place, s_suppkey from p join s on s.i = p.q % s.n")
+def cyclic_batches(spark: SparkSession, d: str) -> DataFrame:
+    return samples.cyclic(fx.read(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"], 16, 7).select("batch", "place", "s_suppkey")
+
+
+@query("select p_brand as class, count(*) as n, (select count(distinct p_brand) from part) >= 2 and (select max(c) from (select count(*) as c from part group by p_brand)) >= 50 as fit from part group by 1")
+def class_guards(spark: SparkSession, d: str) -> DataFrame:
+    return samples.class_sizes(fx.read(spark, d, "part").select(F.col("p_brand").alias("class")), 2, 50)
+
+
+@query("select p_partkey as id, 200 + p_size as height, 224 as width, 3 as channels from part where p_size = 24")
+def image_shape(spark: SparkSession, d: str) -> DataFrame:
+    images = fx.read(spark, d, "part").select(F.col("p_partkey").alias("id"), (200 + F.col("p_size")).cast("int").alias("height"), F.lit(224).alias("width"), F.lit(3).alias("channels"))
+    return tiles.of_shape(images, 224, 224, 3)
+
+
+@query("select distinct p_brand as name, (p_size % 5) / 10.0::double as r, (p_size % 7) / 10.0::double as g, 0.5::double as b from part")
+def legend(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.read(spark, d, "part").select(F.col("p_brand").alias("name"), (F.col("p_size") % 5 / F.lit(10.0)).alias("r"), (F.col("p_size") % 7 / F.lit(10.0)).alias("g"), F.lit(0.5).alias("b"))
+    return smooth.legend(rows)
+
+
+@query(f"with {fx.CENTROIDS}, u as (select id, list_transform(features, lambda v: v / sqrt(list_dot_product(features, features))) as f from centroid) select p.slide, p.n, {_sql_text('list(16 * list_dot_product(p.features, u.f) order by u.id)')} as out from patch p, u group by 1, 2")
+def cosine_layer(spark: SparkSession, d: str) -> DataFrame:
+    return cluster.cosine_layer(fx.patches(spark, d), fx.centroids(spark, d), 16.0).select("slide", "n", _text("out").alias("out"))
 
 
 # Graphs
@@ -385,13 +474,38 @@ def segment_stack(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d).select("slide", "in_slide_id", F.col("global_id").cast("long").alias("global_id"), "population", _text("features").alias("features"))
 
 
+@query(f"with {fx.PATCHES} select x as XPosition, y as YPosition, label as Label, slide, " + ", ".join(f"round(features[{k + 1}], 5) as xception_feature_{k}" for k in range(64)) + " from patch")
+def segmentation_export(spark: SparkSession, d: str) -> DataFrame:
+    made = writers.segmentation_table(fx.patches(spark, d), fx.patches(spark, d).select("slide", "n", "label"), 64, "xception")
+    return made.select("XPosition", "YPosition", "Label", "slide", *(_round(f"xception_feature_{k}", 5).alias(f"xception_feature_{k}") for k in range(64)))
+
+
+@query(f"with {fx.PATCHES} select slide as Slidename, x as XPosition, y as YPosition, " + ", ".join(f"round(features[{k + 1}], 5) as vgg16_feature_{k}" for k in range(64)) + " from patch")
+def description_export(spark: SparkSession, d: str) -> DataFrame:
+    made = writers.description_table(fx.patches(spark, d), 64, "vgg16")
+    return made.select("Slidename", "XPosition", "YPosition", *(_round(f"vgg16_feature_{k}", 5).alias(f"vgg16_feature_{k}") for k in range(64)))
+
+
+@query(
+    f"""with recursive {fx.PATCHES}, e as (select a.slide, a.n as a, b.n as b from patch a join patch b on a.slide = b.slide and a.n <> b.n and a.label = b.label and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+    reach(slide, n, m) as (select slide, n, n from patch where (slide, n) in (select slide, a from e) union select reach.slide, reach.n, e.b from reach join e on e.slide = reach.slide and e.a = reach.m),
+    c as (select slide, n, min(m) as root from reach group by 1, 2), k as (select slide, root, count(*) as size from c group by 1, 2)
+    select slide, n, (row_number() over (partition by slide order by size desc, root) - 1) as label, size from (select * from k) join c using (slide, root) where false
+    union all select c.slide, c.n, r.label, r.size from c join (select slide, root, size, row_number() over (partition by slide order by size desc, root) - 1 as label from k) r using (slide, root)"""
+)
+def components_by_size(spark: SparkSession, d: str) -> DataFrame:
+    p = fx.patches(spark, d)
+    same = graph.neighbour_edges(p).join(p.select("slide", F.col("n").alias("a"), F.col("label").alias("la")), ["slide", "a"]).join(p.select("slide", F.col("n").alias("b"), F.col("label").alias("lb")), ["slide", "b"]).where("la = lb")
+    return graph.by_size(same.select("slide", "a", "b"))
+
+
 _KNN = _SEGMENTS + """, near as (select a.global_id as i, b.global_id as j, list_distance(a.features, b.features) as w, row_number() over (partition by a.global_id order by list_distance(a.features, b.features), b.global_id) as r
   from seg a join seg b on a.global_id <> b.global_id), edge as (select least(i, j) as a, greatest(i, j) as b, min(w) as w from near where r <= 4 group by 1, 2)"""
 
 
 def _knn(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     stack = _segments(spark, d).select(F.col("global_id").cast("long").alias("id"), "slide", "features")
-    return graph._written(stack, "stack"), graph._written(graph.knn_edges(stack), "knn")
+    return written(stack, "stack"), written(graph.knn_edges(stack), "knn")
 
 
 @query(f"with {_KNN} select a, b, round(w, 6) as w from edge")
@@ -399,12 +513,42 @@ def knn_edges(spark: SparkSession, d: str) -> DataFrame:
     return _knn(spark, d)[1].select("a", "b", _round("w").alias("w"))
 
 
-@query()
+#: The forest: edges whose ends lesser edges don't connect. The tree: a node for each of its edges, over what that edge and lesser ones connect.
+_FOREST = _KNN + """, e as (select row_number() over (order by w, a, b) as r, a, b, w from edge), adj as (select r, a as u, b as v from e union all select r, b, a from e),
+  reach(r, node) as (select r, a from e union select reach.r, adj.v from reach join adj on adj.u = reach.node and adj.r < reach.r),
+  forest as (select * from e where not exists (select 1 from reach where reach.r = e.r and reach.node = e.b))"""
+_TREE = _FOREST + """, fadj as (select r, a as u, b as v from forest union all select r, b, a from forest),
+  upto(r, node) as (select r, a from forest union select upto.r, fadj.v from upto join fadj on fadj.u = upto.node and fadj.r <= upto.r),
+  whole(a, b) as (select u, u from fadj union select whole.a, fadj.v from whole join fadj on fadj.u = whole.b), home as (select a as id, min(b) as tree from whole group by 1),
+  ids as (select tree, id, row_number() over (partition by tree order by id) as k from home), nth as (select r, a, b, w, tree, row_number() over (partition by tree order by w, a, b) as k from forest join home on home.id = a),
+  named as (select r, a, b, w, n.tree, i.id + 1 + (select max(global_id) from seg) as node from nth n join ids i on i.tree = n.tree and i.k = n.k),
+  ends as (select r, 0 as side, a as leaf from named union all select r, 1, b from named),
+  last as (select e.r, e.side, e.leaf, max(u.r) as q from ends e left join upto u on u.node = e.leaf and u.r < e.r group by 1, 2, 3),
+  kid as (select l.r, l.side, coalesce(n.node, l.leaf) as node from last l left join named n on n.r = l.q),
+  flatd as (select u.r, s.global_id as id, s.slide, unnest(s.features) as v, generate_subscripts(s.features, 1) as pos from upto u join seg s on s.global_id = u.node),
+  means as (select r, list(m order by pos) as descriptor from (select r, pos, avg(v) as m from flatd group by 1, 2) group by 1),
+  sets as (select u.r, count(*) as population, string_agg(distinct s.slide, ',' order by s.slide) as slides from upto u join seg s on s.global_id = u.node group by 1),
+  raw as (select tree, node, (select node from kid where kid.r = named.r and side = 0) as l, (select node from kid where kid.r = named.r and side = 1) as rr, w, population, descriptor, slides from named join means using (r) join sets using (r)
+    union all select tree, id, null, null, null, 1, s.features, s.slide from home join seg s on s.global_id = id),
+  tree as (select raw.tree, raw.node, up.node as parent, raw.l, raw.rr as r, raw.w, raw.population, raw.descriptor, raw.slides from raw left join (select node, unnest([l, rr]) as child from raw where l is not null) up on up.child = raw.node)"""
+
+
+@query(f"with recursive {_FOREST} select a, b, round(w, 6) as w from forest")
 def spanning_forest(spark: SparkSession, d: str) -> DataFrame:
     return graph.spanning_forest(_knn(spark, d)[1]).select("a", "b", _round("w").alias("w"))
 
 
-@query()
+@query(
+    f"""with recursive {fx.PATCHES}, e as (select slide, a, b, w, row_number() over (partition by slide order by w, a, b) as i from (
+      select a.slide, least(a.n, b.n) as a, greatest(a.n, b.n) as b, list_distance(a.features, b.features) as w from patch a join patch b on a.slide = b.slide and a.n < b.n and abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1)),
+    step(slide, i, comp, energy, used) as (select slide, 0::bigint, range(0, 100), list_transform(range(0, 100), lambda v: 0.0::double), list_transform(range(0, 100), lambda v: false) from (select distinct slide from e)
+      union all select slide, i + 1, case when ok then list_transform(comp, lambda v: case when v = hi then lo else v end) else comp end, case when ok then list_transform(energy, lambda v, k: case when k = lo + 1 then w else v end) else energy end,
+        case when ok then list_transform(used, lambda v, k: v or k = a + 1 or k = b + 1) else used end
+      from (select *, least(ca, cb) as lo, greatest(ca, cb) as hi, ca <> cb and w <= least(energy[ca + 1] + 400.0::double / len(list_filter(comp, lambda v: v = ca)), energy[cb + 1] + 400.0::double / len(list_filter(comp, lambda v: v = cb))) as ok
+        from (select s.*, e.a, e.b, e.w, s.comp[e.a + 1] as ca, s.comp[e.b + 1] as cb from step s join e on e.slide = s.slide and e.i = s.i + 1))),
+    done as (select slide, arg_max(comp, i) as comp, arg_max(used, i) as used from step group by 1), flat as (select slide, unnest(comp) as root, unnest(used) as used, unnest(range(0, 100)) as n from done)
+    select slide, n::bigint as n, (dense_rank() over (partition by slide order by root) - 1)::bigint as label from flat where used"""
+)
 def segments_felzenszwalb(spark: SparkSession, d: str) -> DataFrame:
     return graph.felzenszwalb(graph.neighbour_edges(fx.patches(spark, d)), coeff=400.0)
 
@@ -414,56 +558,68 @@ def segments_felzenszwalb(spark: SparkSession, d: str) -> DataFrame:
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
     stack, edges = _knn(spark, d)
-    return graph._written(trees.concept_tree(graph.spanning_forest(edges), stack), "tree")
+    return written(trees.concept_tree(graph.spanning_forest(edges), stack), "tree")
 
 
-@query()
+@query(f"with recursive {_TREE} select tree, node, parent, l as left, r as right, round(w, 6) as weight, population, {_sql_text('descriptor')} as descriptor, slides from tree")
 def concept_tree(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d).select("tree", "node", "parent", "left", "right", _round("weight").alias("weight"), "population", _text("descriptor").alias("descriptor"), F.array_join("slides", ",").alias("slides"))
 
 
-@query()
+@query(
+    f"""with recursive {_TREE}, kids as (select t.node, case when (x.population, x.node) < (y.population, y.node) then x.node else y.node end as small, case when (x.population, x.node) < (y.population, y.node) then y.node else x.node end as big,
+      least(x.population, y.population) as pop from tree t join tree x on x.node = t.l join tree y on y.node = t.r),
+    walk(start, cur, depth) as (select node, node, 0 from tree union all select start, big, depth + 1 from walk join kids on kids.node = walk.cur),
+    best as (select * from (select start, small, big, row_number() over (partition by start order by pop desc, depth desc) as nth from walk join kids on kids.node = walk.cur) where nth = 1),
+    sig(tree, node, parent) as (select tree, max(node), null::bigint from tree group by 1 union all select sig.tree, unnest([small, big]), sig.node from sig join best on best.start = sig.node)
+    select sig.tree, sig.node, sig.parent, small as left, big as right, population from sig join tree using (node) left join best on best.start = sig.node"""
+)
 def significant_tree(spark: SparkSession, d: str) -> DataFrame:
     return trees.significant_tree(_tree(spark, d))
 
 
 @query(
-    f"with {fx.TREE_SQL} select t.node::bigint as node, t.population::bigint as population from tree t join tree a on a.node = t.l join tree b on b.node = t.r where t.population >= 3 and a.population < 3 and b.population < 3"
-    " union all select node, population from tree where l is null and population >= 3"
+    f"with recursive {_TREE} select t.node, t.population from tree t join tree a on a.node = t.l join tree b on b.node = t.r where t.population >= 3 and a.population < 3 and b.population < 3 union all select node, population from tree where l is null and population >= 3"
 )
 def truncated_leaves(spark: SparkSession, d: str) -> DataFrame:
-    return trees.truncated_leaves(fx.tree(spark), 3)
+    return trees.truncated_leaves(_tree(spark, d), 3)
+
+
+_DOWN = "down(node, cur) as (select node, node from tree where population between 3 and 12 union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null), under as (select d.node, d.cur as leaf from down d join tree t on t.node = d.cur where t.l is null)"
 
 
-@query(f"with recursive {fx.TREE_SQL}, down(node, cur) as (select node, node from tree where population >= 3 union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null) select d.node::bigint as node, d.cur::bigint as leaf from down d join tree t on t.node = d.cur where t.l is null")
+@query(f"with recursive {_TREE}, {_DOWN} select node, leaf from under")
 def leaves_under(spark: SparkSession, d: str) -> DataFrame:
-    t = fx.tree(spark)
-    return trees.leaves_under(t, t.where("population >= 3").select("node"))
+    t = _tree(spark, d)
+    return trees.leaves_under(t, t.where("population between 3 and 12").select("node"))
 
 
 @query(
-    f"""with recursive {fx.TREE_SQL}, v as (select node, l, r, [node::double, 2.0::double, 0.5::double] as p, [node + 0.25::double, 2 - 0.25::double * node, 0.5::double] as q from tree),
+    f"""with recursive {_TREE}, v as (select node, l, r, descriptor as p, list_transform(descriptor, lambda x: 0.5::double * x + node) as q from tree),
     w as (select v.node, v.l, v.r, v.p, v.q, a.p as pl, b.p as pr, a.q as ql, b.q as qr from v left join v a on a.node = v.l left join v b on b.node = v.r),
-    down(a, b, share) as (select 14, 14, 1.0::double union all select unnest([x.l, x.r]), unnest(case when list_dot_product(x.pl, y.ql) + list_dot_product(x.pr, y.qr) >= list_dot_product(x.pl, y.qr) + list_dot_product(x.pr, y.ql)
-      then [y.l, y.r] else [y.r, y.l] end), share / 2 from down join w x on x.node = a join w y on y.node = b where x.l is not null and y.l is not null)
-    select round(sum(share * list_dot_product(x.p, y.q)), 6) as score from down join w x on x.node = a join w y on y.node = b where x.l is null or y.l is null"""
+    pairs(a, b, share) as (select max(node), max(node), 1.0::double from tree union all select unnest([x.l, x.r]), unnest(case when list_dot_product(x.pl, y.ql) + list_dot_product(x.pr, y.qr) >= list_dot_product(x.pl, y.qr) + list_dot_product(x.pr, y.ql)
+      then [y.l, y.r] else [y.r, y.l] end), share / 2 from pairs join w x on x.node = a join w y on y.node = b where x.l is not null and y.l is not null)
+    select round(sum(share * list_dot_product(x.p, y.q)), 4) as score from pairs join w x on x.node = a join w y on y.node = b where x.l is null or y.l is null"""
 )
 def tree_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return trees.similarity(fx.tree(spark), fx.tree(spark, 0.25), 14, 14).select(_round("score").alias("score"))
+    t = _tree(spark, d)
+    other = t.withColumn("descriptor", F.transform("descriptor", lambda x: 0.5 * x + F.col("node")))
+    root = t.agg(F.max("node")).first()[0]
+    return trees.similarity(t, other, root, root).select(_round("score", 4).alias("score"))
 
 
 @query(
-    f"""with recursive {_SEGMENTS}, {fx.TREE_SQL}, down(node, cur) as (select node, node from tree where population >= 3 union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null),
-    lv as (select d.node, d.cur as leaf from down d join tree t on t.node = d.cur where t.l is null), q as (select node, floor(40 / count(*)) as quota from lv group by 1),
-    c as (select node, leaf, slide, in_slide_id, population from lv join seg on seg.global_id = lv.leaf)
-    select node::bigint as node, sum(least(population, quota))::bigint as n from c join q using (node) group by 1"""
+    f"""with recursive {_TREE}, {_DOWN}, q as (select node, floor(40 / count(*)) as quota from under group by 1),
+    c as (select under.node, leaf, p.slide, p.x, p.y, row_number() over (partition by under.node, leaf order by md5(concat_ws('-', p.slide, p.x, p.y, '7')), p.slide, p.x, p.y) as r
+      from under join seg on seg.global_id = under.leaf join patch p on p.slide = seg.slide and p.label = seg.in_slide_id)
+    select node, leaf, slide, x, y from c join q using (node) where r <= quota"""
 )
 def concept_export_plan(spark: SparkSession, d: str) -> DataFrame:
-    t = fx.tree(spark)
-    leaves = trees.leaves_under(t, t.where("population >= 3").select("node"))
+    t = _tree(spark, d)
+    leaves = trees.leaves_under(t, t.where("population between 3 and 12").select("node"))
     stack = _segments(spark, d).select("slide", F.col("in_slide_id").alias("label"), F.col("global_id").cast("long").alias("global_id"))
     members = fx.patches(spark, d).join(stack, ["slide", "label"]).select("global_id", "slide", "x", "y")
-    return samples.export_plan(leaves, members, 40).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    return samples.export_plan(leaves, members, 40).select("node", "leaf", "slide", "x", "y")
 
 
 # Consensus
@@ -479,7 +635,7 @@ def _consensus_runs(spark: SparkSession, d: str) -> DataFrame:
     return r.join(ids, ["slide", "n"]).select(F.when(F.col("run") < 3, 2).otherwise(3).alias("k"), "run", (F.col("id") + 1).cast("long").alias("id"), "label")
 
 
-@query(f"with {_CONSENSUS} select k, i, j, round(m, 6) as m from m")
+@query(f"with {_CONSENSUS} select k, i, j, round(m, 6) as m from m where m > 0")
 def consensus_matrix(spark: SparkSession, d: str) -> DataFrame:
     return consensus.consensus_matrix(_consensus_runs(spark, d)).select("k", "i", "j", _round("m").alias("m"))
 
@@ -513,9 +669,29 @@ def consensus_ensemble(spark: SparkSession, d: str) -> DataFrame:
     return consensus.ensemble(_consensus_runs(spark, d), 0.8)
 
 
+@query("with e as (select p_partkey, k, run from part, (select unnest([2, 3])::int as k) a, (select unnest([0, 1])::int as run) b), r as (select *, row_number() over (partition by k, run order by md5(concat_ws('-', p_partkey, k, run, '7')), p_partkey) as r from e) select k, run, p_partkey from r where r <= floor((select count(*) from part) * 0.75)")
+def consensus_resample(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.resampled(fx.read(spark, d, "part").select("p_partkey"), "p_partkey", [2, 3], 2, 0.75)
+
+
+@query(
+    f"""with {fx.RUNS}, pair as (select a.run as i, b.run as j, a.label as a, b.label as b from runs a join runs b using (slide, n) where a.run < b.run and (a.run < 3) = (b.run < 3)){_ARI},
+    s as (select case when i < 3 then 2 else 3 end as k, avg(ari) as mean_ari from ari group by 1) select k, round(mean_ari, 6) as mean_ari, k = (select k from s order by mean_ari desc, k limit 1) as best from s"""
+)
+def best_k_by_stability(spark: SparkSession, d: str) -> DataFrame:
+    found = compare.stability(_consensus_runs(spark, d), ["id"], ["k"])
+    return models.best_k(found).select("k", _round("mean_ari").alias("mean_ari"), "best")
+
+
 # Fitted models
 
 
+@query(f"with {fx.CENTROIDS} select p.slide, p.n, {_sql_text('list((list_dot_product(p.features, c.features) - 10 * c.id) / 100 order by c.id)')} as reduced from patch p, centroid c group by 1, 2")
+def reduction_applied(spark: SparkSession, d: str) -> DataFrame:
+    model = fx.centroids(spark, d).select(F.col("id").alias("component"), F.col("features").alias("weights"), (F.col("id") * 10.0).alias("shift"), F.lit(100.0).alias("scale"))
+    return models.apply_reduction(fx.patches(spark, d), model).select("slide", "n", _text("reduced").alias("reduced"))
+
+
 @query()
 def pca_scaled(spark: SparkSession, d: str) -> DataFrame:
     return models.reduced(fx.patches(spark, d).where("positive = 1")).select("slide", "n", F.size("reduced").alias("size"))
@@ -523,12 +699,12 @@ def pca_scaled(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def kmeans_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8)[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8)[0].select("slide", "n", "label")
 
 
 @query()
 def bisecting_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8, bisecting=True)[0].groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8, bisecting=True)[0].select("slide", "n", "label")
 
 
 # Sinks
@@ -539,10 +715,10 @@ def cluster_export(spark: SparkSession, d: str) -> DataFrame:
     return writers.cluster_table(fx.grid_tiles(spark, d))
 
 
-@query(f"with {fx.PATCHES} select slide as Slidename, n as Number, x as X, y as Y, round(features[1], 5) as feature_0, round(features[2], 5) as feature_1, round(features[64], 5) as feature_63 from patch")
+@query(f"with {fx.PATCHES} select slide as Slidename, n as Number, x as X, y as Y, " + ", ".join(f"round(features[{k + 1}], 5) as feature_{k}" for k in range(64)) + " from patch")
 def feature_export(spark: SparkSession, d: str) -> DataFrame:
     made = writers.feature_table(fx.patches(spark, d), 64)
-    return made.select("Slidename", "Number", "X", "Y", *(_round(c, 5).alias(c) for c in ("feature_0", "feature_1", "feature_63")))
+    return made.select("Slidename", "Number", "X", "Y", *(_round(f"feature_{k}", 5).alias(f"feature_{k}") for k in range(64)))
 
 
 @query(f"with {fx.GRID_TILES} select c1 as cluster, format('{{}}#{{}}-level16-{{}}-{{}}.jpg', slide, n, x, y) as path from tile where positive = 1 and c1 >= 0")

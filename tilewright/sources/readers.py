@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +68,28 @@ def vectors(rows: DataFrame) -> DataFrame:
 def described(spark: SparkSession, path: str) -> DataFrame:
     """Description, segmentation or segment-stack CSVs: all files, hidden ones left out, with features as an array."""
     return vectors(spark.read.option("pathGlobFilter", "*.csv").csv(path, header=True))
+
+
+def segmentation(spark: SparkSession, path: str) -> DataFrame:
+    """(label, x, y) of segmentation CSVs, as numbers."""
+    rows = spark.read.option("pathGlobFilter", "*.csv").csv(path, header=True)
+    return rows.select(*(F.col(c).cast("int").alias(to) for c, to in (("Label", "label"), ("XPosition", "x"), ("YPosition", "y"))))
+
+
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """(slide, in_slide_id, global_id, architecture, features) of a segment stack's CSVs."""
+    rows = described(spark, path)
+    return rows.select(F.col("Slidename").alias("slide"), F.col("InSlideId").cast("int").alias("in_slide_id"), F.col("GlobalId").cast("long").alias("global_id"), "architecture", "features")
+
+
+def pixels(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("png", "tif", "jpg")) -> DataFrame:
+    """(path, height, width, channels, pixels) of the images in a folder, hidden ones left out: red, green, blue by row, as numbers from 0 to 255."""
+    files = spark.read.format("image").option("pathGlobFilter", f"*.{{{','.join(extensions)}}}").option("dropInvalid", True).load(path)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            flat = [np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, r.channels)[:, :, ::-1].ravel().tolist() for r in batch.itertuples()]
+            yield batch.drop(columns="data").assign(pixels=flat)
+
+    found = files.select(F.col("image.origin").alias("path"), "image.height", "image.width", F.col("image.nChannels").alias("channels"), "image.data")
+    return found.mapInPandas(read, "path string, height int, width int, channels int, pixels array<int>")

@@ -18,6 +18,18 @@ def feature_table(rows: DataFrame, size: int) -> DataFrame:
     return spread_features(named, size)
 
 
+def description_table(rows: DataFrame, size: int, architecture: str) -> DataFrame:
+    """The description CSV's columns from (slide, x, y, features)."""
+    named = rows.select(F.col("slide").alias("Slidename"), F.col("x").alias("XPosition"), F.col("y").alias("YPosition"), "features")
+    return spread_features(named, size, f"{architecture}_feature")
+
+
+def segmentation_table(tiles: DataFrame, labels: DataFrame, size: int, architecture: str) -> DataFrame:
+    """The segmentation CSV's columns, and slide, from tiles (slide, n, x, y, features) and their segments (slide, n, label); tiles without a segment are left out."""
+    met = tiles.select("slide", "n", "x", "y", "features").join(labels.select("slide", "n", F.col("label").alias("Label")), ["slide", "n"])
+    return spread_features(met.select(F.col("x").alias("XPosition"), F.col("y").alias("YPosition"), "Label", "slide", "features"), size, f"{architecture}_feature")
+
+
 def cluster_table(rows: DataFrame) -> DataFrame:
     """The cluster CSV's columns from (slide, n, x, y, positive, c1), negatives included."""
     return rows.select("slide", F.col("n").alias("Patch_number"), F.col("x").alias("X"), F.col("y").alias("Y"), F.col("positive").alias("Positive"), F.col("c1").alias("Cluster"))
