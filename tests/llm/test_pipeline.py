@@ -6,7 +6,7 @@ import numpy as np
 import corpus_pipeline
 from test_queries import fingerprint, linked
 
-from tilewright.llm import decontaminate, quality, simhash
+from tilewright.llm import decontaminate, simhash
 from tilewright.llm._common import written
 
 
@@ -63,13 +63,13 @@ def test_near_copies_that_share_a_passage(spark, make):
 
 
 def test_near_copies_with_far_fingerprints(spark, make):
-    """Texts of similarity 0.8 whose five-word fingerprints differ in more than FAR bits: nine words, and the first eight of them."""
+    """Texts of similarity 0.8 whose five-word fingerprints differ in more than 24 bits: nine words, and the first eight of them."""
     random, rows = np.random.default_rng(2), {}
     while len(rows) < 6:
         texts = [" ".join(f"x{k}" for k in random.integers(0, 10**6, 9)) for _ in range(5000)]
         both = [np.array(simhash.shingle_hashes(t.encode(), 5), np.uint64) for t in texts]
         long, short = (simhash.majorities(np.concatenate(x), np.array(list(map(len, x)))) for x in (both, [b[:-1] for b in both]))
-        for k in np.flatnonzero(np.bitwise_count(long ^ short) > simhash.FAR)[:3]:
+        for k in np.flatnonzero(np.bitwise_count(long ^ short) > 24)[:3]:
             rows |= {len(rows): texts[k], len(rows) + 1: texts[k].rsplit(" ", 1)[0]}
     left = {r.doc_id for r in simhash.drop_near_copies(make(*rows.items())).collect()}
     assert left == set(alike(rows).values()) == set(range(0, len(rows), 2))
@@ -113,4 +113,3 @@ def test_stages_on_odd_rows(spark, make, odd, sf_dir):
         for docs in (make(*odd), make(*odd).limit(0)):
             out = stage(spark, docs, sf_dir).collect()
             assert docs.count() or not out, name
-    assert quality.SAMPLE > 0

@@ -7,7 +7,8 @@ Inside texts each ``<``, backslashes, ``|`` gets one more backslash, so that no
 The mask is a list of spans of code points, [start, end), one for each assistant text (control strings aren't under it).
 
 Defined results: turns are ordered by turn, then role, then text, nulls first; repeated rows are turns of their own; a null text or role is
-empty; null conv_ids are one conversation; an empty table gives no rows. Turns meet by partial aggregation into one array a conversation, whose
+empty; null conv_ids are one conversation; an empty table gives no rows. A text of any length is formatted whole; turns that tie in turn, role and text are alike. Other columns, whatever
+their names, don't matter and aren't returned. Turns meet by partial aggregation into one array a conversation, whose
 size is that of the row returned for it.
 """
 

@@ -7,7 +7,8 @@ score is a sparse dot product over the whole text.
 
 Defined results: null and empty texts, and those of white space alone, have no n-gram, and score by the intercept alone; rows that repeat a doc_id are
 each scored; labels other than 0 and 1 are left out, and a doc_id with several labels counts with each; with no label at all every score is
-0.5. An empty table gives no rows.
+0.5. An empty table gives no rows. A text of any length is read whole, in a batch of its own if it is long; scores have no ties to break (0.5 counts as 1). Other columns, whatever
+their names, don't matter and aren't returned.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ bits (2,080), the links are linear in the documents; connected components are fo
 
 Defined results: a text of fewer words than a shingle is one shingle; null texts and those without a word have fingerprint zero, linked like any other; the
 component's id is the smallest doc_id in it; rows that repeat a doc_id are each returned; a null doc_id is larger than any other. An empty table
-gives no rows.
+gives no rows. A text of any length is read whole; a bit that exactly half the hashes set is 0. Other columns of the input, whatever their names, don't matter; the filter keeps them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm._common import buckets, column, mix, raw_hash, without, written
@@ -31,8 +31,10 @@ SHINGLE = 3
 #: Segments of two bits: a grid of 32 dimensions with counts from 0 to 2. Finer segments meet fewer strangers and cost more steps.
 SEGMENTS = 32
 DISTANCE = 2
-#: What a filtering stage takes for near copies: shingles of so many words, and their Jaccard similarity; parts of a set whose least hashes are compared; bits that the fingerprints of such sets hardly ever differ in (15 and 3 are usual at 0.8).
-WORDS, SIMILARITY, SAMPLES, FAR = 5, 0.8, 8, 24
+#: What a filtering stage takes for near copies: shingles of so many words, and their Jaccard similarity; and parts of a set whose least hashes are compared.
+WORDS, SIMILARITY, SAMPLES = 5, 0.8, 8
+#: Shingles before one that a text carries along, so that two texts meet at the first that they share; what that misses meets twice.
+EARLIER = 64
 #: Bits of the table that tells shingles of one text from others (2**BITMAP bits, sent to all tasks), and of its pages.
 BITMAP, PAGE = 27, 19
 #: Shingles counted in one hash bucket, about.
@@ -172,11 +174,11 @@ def _differ(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float, far: int) -> DataFrame:
+def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
     """(a, b): fingerprints of texts whose sets of shingles have at least that Jaccard similarity. rows: sketches.
 
     A first round, that finds most; rest() finds the others. Texts as alike as that share the least hash of most parts of their sets. Of the texts that share one, the one whose wide fingerprint is nearest to the majority of all of them is their centre, and each is compared with the centre of
-    each of its parts: pairs are linear in the texts, however many share a hash. Sizes and wide fingerprints (differing in more bits than far means hardly as alike; rest() finds the rare pair that is) rule most out, and the sets decide."""
+    each of its parts: pairs are linear in the texts, however many share a hash. Sizes rule some out, and the sets decide."""
     each = rows.select("id", "th", "fp", "wide", "n", F.posexplode("mins").alias("t", "m")).where("m is not null")
     shared = written(each.groupBy("t", "m").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("t", "m"), "near-shared")
     members = written(each.join(shared, ["t", "m"]), "near-members")
@@ -188,8 +190,8 @@ def similar(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, words:
     middles = written(votes.select("t", "m", middle.alias("middle")), "near-middles")
     # Written between, so that Spark may split this join's heavy keys, and the aggregate below has a partial step.
     members = written(members.join(middles, ["t", "m"]).withColumn("d", _differ(F.col("wide"), F.col("middle"))).drop("middle"), "near-distances")
-    centres = written(members.groupBy("t", "m").agg(F.min(F.struct("d", "fp", "wide", "n", "id", "th")).alias("c")), "near-centres")
-    met = members.join(centres, ["t", "m"]).where((F.col("fp") != F.col("c.fp")) & (_differ(F.col("wide"), F.col("c.wide")) <= far))
+    centres = written(members.groupBy("t", "m").agg(F.min(F.struct("d", "fp", "n", "id", "th")).alias("c")), "near-centres")
+    met = members.join(centres, ["t", "m"]).where(F.col("fp") != F.col("c.fp"))
     met = met.where(F.least("n", "c.n") >= similarity * F.greatest("n", "c.n"))
     pairs = met.select("id", "th", F.col("fp").alias("a"), F.col("c.id").alias("other_id"), F.col("c.th").alias("other_th"), F.col("c.fp").alias("b"))
     pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
@@ -285,7 +287,8 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
 
     A prefix-filter join: each set of shingles is put in one order, rare ones first. Of two sets x and y of that similarity s, ceil(s / (1 + s) * (|x| + |y|)) shingles at least are common, so the first common one
     has that many behind it (itself included) in both: it is among the first |x| - ceil(s * |x|) + 1 of each, and among the first |x| - ceil(2s / (1 + s) * |x|) + 1 of the smaller. Shingles of one text alone come first and meet nothing, so a
-    text with enough of them is left out early, by a bitmap that may only err towards keeping it. Texts meet at a shingle only across groups: those outside the shingle's main group meet all that have it."""
+    text with enough of them is left out early, by a bitmap that may only err towards keeping it. Texts meet at a shingle only across groups: those outside the shingle's main group meet all that have it, and at the first shingle that
+    they share there: where the bounds hold at a later one they hold at the first, which has more behind it."""
     total = rows.agg(F.sum("n")).first()[0] or 0
     counts = written(counted(docs, text_col, words, total), "near-counts")
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(counts))
@@ -329,12 +332,14 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
     each = written(each.withColumn("low", F.col("before") < _prefix(F.col("n"), 2 * similarity / (1 + similarity))), "near-prefixes")
     mixed = each.groupBy("h", "root").agg(F.count(F.lit(1)).alias("many"), F.max("low").alias("low")).groupBy("h")
     mixed = mixed.agg(F.max(F.struct("many", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.max("low").alias("low")).where("roots > 1 and low").select("h", "main.root")
-    each = written(each.join(written(mixed.withColumnRenamed("root", "main"), "near-mixed"), "h"), "near-across")
+    each = each.join(written(mixed.withColumnRenamed("root", "main"), "near-mixed"), "h")
+    before = Window.partitionBy("id", "th").orderBy("before").rowsBetween(-EARLIER, -1)
+    each = written(each.withColumn("earlier", F.collect_list("h").over(before)), "near-across")
     x, y = each.where("root <> main").alias("x"), each.alias("y")
     across = (F.col("x.root") < F.col("y.root")) | ((F.col("y.root") == F.col("y.main")) & (F.col("x.root") != F.col("y.root")))
     sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
     behind = F.least(F.col("x.n") - F.col("x.before"), F.col("y.n") - F.col("y.before")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind)
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind & ~F.arrays_overlap("x.earlier", "y.earlier"))
     pairs = written(pairs.select("x.id", "x.th", F.col("x.fp").alias("a"), F.col("y.id").alias("other_id"), F.col("y.th").alias("other_th"), F.col("y.fp").alias("b")), "near-candidates")
     pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
     return _alike(docs, pairs, id_col, text_col, words, similarity)
@@ -357,16 +362,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(grouped(rows, distance, segments), "fp").select(F.col("id").alias(id_col), "fp", F.col("lead.id").alias("component"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, samples: int = SAMPLES, far: int = FAR) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs, all its columns, with one row of each group of near copies: that of the smallest id. Texts are linked if their fingerprints differ in at most two bits, or their sets of shingles of so many words are as similar as asked."""
-    rows = written(sketches(docs, id_col, text_col, words, samples), "sketches")
-    more = written(similar(docs, rows, id_col, text_col, words, similarity, far), "near-similar")
+    rows = written(sketches(docs, id_col, text_col, words, SAMPLES), "sketches")
+    more = written(similar(docs, rows, id_col, text_col, words, similarity), "near-similar")
     groups = written(components(links(rows.select("fp").distinct()).unionByName(more)), "near-groups")
-    last = written(rest(docs, rows, groups, id_col, text_col, words, similarity), "near-rest")
-    if not last.isEmpty():
-        groups = written(components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last)), "near-groups")
+    groups = _merged(groups, written(rest(docs, rows, groups, id_col, text_col, words, similarity), "near-rest"))
     found = rows.groupBy("id", "th", "fp").agg(F.count(F.lit(1)).alias("n")).join(grouped(rows, groups=groups), "fp")
     leads = F.col("id").eqNullSafe(F.col("lead.id")) & (F.col("th") == F.col("lead.th"))
     gone = written(found.where(~leads).select("id", "th"), "near-gone")
     again = written(found.where(leads & (F.col("n") > 1)).select("id", "th"), "near-again")
     return without(docs, gone, again, id_col, text_col)
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups (node, root) with what links (a, b) join; only the groups that they touch are worked on."""
+    root = lambda c: groups.select(F.col("node").alias(f"n{c}"), F.col("root").alias(f"r{c}"))
+    ends = links.join(root("a"), F.col("a") == F.col("na"), "left").join(root("b"), F.col("b") == F.col("nb"), "left")
+    ends = written(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).where("a <> b").distinct(), "near-joined")
+    if ends.isEmpty():
+        return groups
+    moved = written(components(ends), "near-moved").withColumnsRenamed({"node": "from", "root": "to"})
+    old = groups.join(moved, F.col("root") == F.col("from"), "left").select("node", F.coalesce("to", "root").alias("root"))
+    new = moved.join(groups, F.col("from") == F.col("node"), "left_anti").select(F.col("from").alias("node"), F.col("to").alias("root"))
+    return written(old.unionByName(new), "near-groups")

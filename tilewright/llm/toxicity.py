@@ -7,7 +7,8 @@ the executors get that table, of fixed size, and a score is its mean over the wh
 
 Defined results: null texts and those without a letter or digit have the mean zero and score by the intercepts alone; rows that repeat a doc_id are
 each scored; labels other than 0 and 1 are left out, and a doc_id with several labels counts with each; with no label at all every score is
-0.5. An empty table gives no rows.
+0.5, and with a handful of labels scores are near it. An empty table gives no rows. A text of any length is read whole; scores have no ties to break (0.5 counts as 1). Other columns, whatever
+their names, don't matter and aren't returned.
 """
 
 from __future__ import annotations
