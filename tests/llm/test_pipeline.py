@@ -75,6 +75,21 @@ def test_near_copies_with_far_fingerprints(spark, make):
     assert left == set(alike(rows).values()) == set(range(0, len(rows), 2))
 
 
+def test_parities_are_a_lower_bound(spark, make):
+    """Parities of two texts differ in at most as many bits as their sets of shingles have apart, and in an even number of bits fewer."""
+    random = np.random.default_rng(4)
+    base = random.choice([f"p{k}" for k in range(500)], 400).tolist()
+    texts = [" ".join(random.choice(base, 300).tolist() if k % 4 == 3 else base[: 400 - 9 * k] + base[:k]) for k in range(24)] + ["", "one two", " ".join(base * 40)]
+    rows = simhash.sketches(make(*enumerate(texts)), "doc_id", "text", simhash.WORDS, simhash.SAMPLES).collect()
+    odd = {r.id: np.array(r.odd, np.int64).view(np.uint8) for r in rows}
+    assert {len(x) for x in odd.values()} == {8 * simhash.PARITIES} and not odd[24].any()
+    sets = [shingles(t) for t in texts]
+    for a in odd:
+        for b in odd:
+            apart, bits = len(sets[a] ^ sets[b]), int(np.unpackbits(odd[a] ^ odd[b]).sum())
+            assert bits <= apart and (apart - bits) % 2 == 0
+
+
 def test_stages(spark, duck, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     columns = docs.columns

@@ -35,6 +35,8 @@ DISTANCE = 2
 WORDS, SIMILARITY, SAMPLES = 5, 0.8, 8
 #: Shingles before one that a text carries along, so that two texts meet at the first that they share; what that misses meets twice.
 EARLIER = 64
+#: Longs of a text's parities: each shingle turns one of their bits over, so that two texts' parities differ in no more bits than their sets have shingles apart.
+PARITIES = 16
 #: Bits of the table that tells shingles of one text from others (2**BITMAP bits, sent to all tasks), and of its pages.
 BITMAP, PAGE = 27, 19
 #: Shingles counted in one hash bucket, about.
@@ -133,16 +135,17 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, samples: int) -> DataFrame:
-    """(id, th, fp, wide, n, mins): the fingerprint over shingles of three words; for the set of shingles of so many words its fingerprint, size, and the least hash of each of so many parts of it (by hash; null where a part is empty)."""
+    """(id, th, fp, wide, n, mins, odd): the fingerprint over shingles of three words; for the set of shingles of so many words its fingerprint, size, the least hash of each of so many parts of it (by hash; null where a part is empty), and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            short, wide, sizes, mins = [], [], [], []
+            short, wide, sizes, mins, odd = [], [], [], [], []
             for text in column(batch, 2):
                 raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 short.append(np.array(shingle_hashes(raw), np.uint64))
                 own = np.unique(np.array(shingle_hashes(raw, words), np.uint64))
-                part = (mix(own) % np.uint64(samples)).astype(np.int64)
+                mixed = mix(own)
+                part = (mixed % np.uint64(samples)).astype(np.int64)
                 # own ascends, so the first of a part is its least.
                 found, first = np.unique(part, return_index=True)
                 least: list[int | None] = [None] * samples
@@ -151,11 +154,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, samples: i
                 wide.append(own)
                 sizes.append(len(own))
                 mins.append(least)
+                turned = np.bincount(((mixed >> np.uint64(32)) % np.uint64(64 * PARITIES)).astype(np.int64), minlength=64 * PARITIES) & 1
+                odd.append(np.packbits(turned.astype(np.uint8)).view(np.int64))
             prints = [pa.array(_in_runs(x).view(np.int64), pa.int64()) for x in (short, wide)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints, pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int64()))], names=["id", "th", "fp", "wide", "n", "mins"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *prints, pa.array(sizes, pa.int64()), pa.array(mins, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))], names=["id", "th", "fp", "wide", "n", "mins", "odd"])
 
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, th bigint, fp bigint, wide bigint, n bigint, mins array<bigint>"
+    schema = f"id {kind}, th bigint, fp bigint, wide bigint, n bigint, mins array<bigint>, odd array<bigint>"
     return docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -288,7 +293,8 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
     A prefix-filter join: each set of shingles is put in one order, rare ones first. Of two sets x and y of that similarity s, ceil(s / (1 + s) * (|x| + |y|)) shingles at least are common, so the first common one
     has that many behind it (itself included) in both: it is among the first |x| - ceil(s * |x|) + 1 of each, and among the first |x| - ceil(2s / (1 + s) * |x|) + 1 of the smaller. Shingles of one text alone come first and meet nothing, so a
     text with enough of them is left out early, by a bitmap that may only err towards keeping it. Texts meet at a shingle only across groups: those outside the shingle's main group meet all that have it, and at the first shingle that
-    they share there: where the bounds hold at a later one they hold at the first, which has more behind it."""
+    they share there: where the bounds hold at a later one they hold at the first, which has more behind it. Sets x and y as similar as that are at most (1 - s) / (1 + s) * (|x| + |y|) shingles apart, and their parities differ in no more bits:
+    most pairs that aren't links are told so without their texts."""
     total = rows.agg(F.sum("n")).first()[0] or 0
     counts = written(counted(docs, text_col, words, total), "near-counts")
     sent = docs.sparkSession.sparkContext.broadcast(_bitmap(counts))
@@ -334,12 +340,16 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
     mixed = mixed.agg(F.max(F.struct("many", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.max("low").alias("low")).where("roots > 1 and low").select("h", "main.root")
     each = each.join(written(mixed.withColumnRenamed("root", "main"), "near-mixed"), "h")
     before = Window.partitionBy("id", "th").orderBy("before").rowsBetween(-EARLIER, -1)
-    each = written(each.withColumn("earlier", F.collect_list("h").over(before)), "near-across")
+    odd = rows.select(F.col("id").alias("i"), F.col("th").alias("t"), "odd").distinct()
+    each = each.withColumn("earlier", F.collect_list("h").over(before)).join(odd, F.col("id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))).drop("i", "t")
+    each = written(each, "near-across")
     x, y = each.where("root <> main").alias("x"), each.alias("y")
     across = (F.col("x.root") < F.col("y.root")) | ((F.col("y.root") == F.col("y.main")) & (F.col("x.root") != F.col("y.root")))
     sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
     behind = F.least(F.col("x.n") - F.col("x.before"), F.col("y.n") - F.col("y.before")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    apart = sum((_differ(F.col("x.odd")[k], F.col("y.odd")[k]) for k in range(PARITIES)), F.lit(0))
+    few = apart <= (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-6
+    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind & few & ~F.arrays_overlap("x.earlier", "y.earlier"))
     pairs = written(pairs.select("x.id", "x.th", F.col("x.fp").alias("a"), F.col("y.id").alias("other_id"), F.col("y.th").alias("other_th"), F.col("y.fp").alias("b")), "near-candidates")
     pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
     return _alike(docs, pairs, id_col, text_col, words, similarity)
