@@ -20,7 +20,7 @@ def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints (word shingles of three, two bits), the document with the smallest id stays."""
+    """Of each group of near copies (fingerprints within two bits, or five-word shingle sets of similarity 0.8 or more), the document with the smallest id stays."""
     return simhash.drop_near_copies(docs)
 
 
