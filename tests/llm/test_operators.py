@@ -98,6 +98,14 @@ def test_links_are_all_found(spark, segments):
     assert {(r.a, r.b) for r in simhash.links(df, 2, segments).collect()} == want
 
 
+def test_points_are_not_sent_by_way_of_the_driver(spark, tmp_path):
+    """A table of prints under the broadcast threshold has 49 times as many points."""
+    spark.range(1000).selectExpr("xxhash64(id) as fp").write.parquet(f"{tmp_path}/prints")
+    found = simhash.links(spark.read.parquet(f"{tmp_path}/prints"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark):
     random = np.random.default_rng(3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(20, 60)] + [tuple(e) for e in random.integers(200, 260, (50, 2)).tolist()]

@@ -130,7 +130,8 @@ def links(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS)
         raise ValueError("grid points one step away serve distances of two at most")
     at = prints.select("fp", F.explode(grid_points(F.col("fp"), segments)).alias("point"))
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
-    met = at.alias("x").join(at.alias("y"), (F.col("x.point") == F.col("y.point")) & (F.col("x.fp") > F.col("y.fp")) & near)
+    # A merge join at every size: Spark estimates the rows of points as those of prints, and would send them to all tasks by way of the driver.
+    met = at.alias("x").hint("merge").join(at.alias("y"), (F.col("x.point") == F.col("y.point")) & (F.col("x.fp") > F.col("y.fp")) & near)
     return met.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
 
 
