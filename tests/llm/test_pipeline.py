@@ -75,6 +75,21 @@ def test_near_copies_with_far_fingerprints(spark, make):
     assert left == set(alike(rows).values()) == set(range(0, len(rows), 2))
 
 
+def test_wide_rows_are_not_sent_by_way_of_the_driver(spark, make, monkeypatch):
+    """Joins whose tables are far smaller than their rows stay merge joins under the broadcast threshold."""
+    plans, write = {}, simhash.written
+
+    def written(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(simhash, "written", written)
+    words = [f"v{k}" for k in range(60)]
+    assert simhash.drop_near_copies(make((1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "another text"))).count() == 2
+    for name in ("near-met", "near-candidates"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name]
+
+
 def test_parities_are_a_lower_bound(spark, make):
     """Parities of two texts differ in at most as many bits as their sets of shingles have apart, and in an even number of bits fewer."""
     random = np.random.default_rng(4)

@@ -328,7 +328,7 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
 
     kind = dict(docs.dtypes)[id_col]
     texts = docs.select(F.col(id_col).alias("id"), raw_hash(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    met = texts.mapInArrow(run, f"id {kind}, th bigint, n bigint, h bigint").join(counts.selectExpr("inline(arrays_zip(h, df))"), "h")
+    met = texts.mapInArrow(run, f"id {kind}, th bigint, n bigint, h bigint").join(counts.selectExpr("inline(arrays_zip(h, df))").hint("merge"), "h")
     # A set, as rows may repeat.
     each = written(met, "near-met").groupBy("id", "th", "n").agg(F.sort_array(F.collect_set(F.struct("df", "h"))).alias("at"))
     each = each.withColumn("alone", (F.col("n") - F.size("at")).cast("int")).withColumn("most", _prefix(F.col("n"), similarity) - F.col("alone")).where("most > 0")
@@ -350,7 +350,8 @@ def rest(docs: DataFrame, rows: DataFrame, groups: DataFrame, id_col: str, text_
     behind = F.least(F.col("x.n") - F.col("x.before"), F.col("y.n") - F.col("y.before")) >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-6
     apart = sum((_differ(F.col("x.odd")[k], F.col("y.odd")[k]) for k in range(PARITIES)), F.lit(0))
     few = apart <= (1 - similarity) / (1 + similarity) * (F.col("x.n") + F.col("y.n")) + 1e-6
-    pairs = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind & few & ~F.arrays_overlap("x.earlier", "y.earlier"))
+    # Rows of a text repeat its parities and most of its earlier shingles, so their table is far smaller than they are: a merge join at every size.
+    pairs = x.hint("merge").join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.low") | F.col("y.low")) & across & sizes & behind & few & ~F.arrays_overlap("x.earlier", "y.earlier"))
     pairs = written(pairs.select("x.id", "x.th", F.col("x.fp").alias("a"), F.col("y.id").alias("other_id"), F.col("y.th").alias("other_th"), F.col("y.fp").alias("b")), "near-candidates")
     pairs = written(pairs.dropDuplicates(["id", "th", "other_id", "other_th"]), "near-pairs")
     return _alike(docs, pairs, id_col, text_col, words, similarity)
