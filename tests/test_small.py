@@ -320,3 +320,50 @@ def test_typed_readers(spark, tmp_path):
     assert tuple(readers.segments(spark, str(tmp_path / "stack.csv")).first()) == ("s", 5, 0, "net", [0.5, 1.5])
     assert spark.range(1).select(samples.one_hot(F.lit(1), 3).alias("h")).first().h == [0, 1, 0]
     assert spark.range(1).select(vectors.weighted_mean(F.array(F.lit(1.0)), F.lit(1), F.array(F.lit(4.0)), F.lit(2)).alias("m")).first().m == [3.0]
+
+
+def _brute_matrix(runs):
+    """{(k, i, j): m} of (k, run, id, label), for those that are ever together."""
+    seen = {}
+    for k, run, i, label in runs:
+        seen.setdefault((k, i), {})[run] = label
+    out = {}
+    for (k, i), a in seen.items():
+        for (other, j), b in seen.items():
+            both = a.keys() & b.keys()
+            together = sum(a[r] is not None and a[r] == b[r] for r in both)
+            if k == other and i < j and together:
+                out[k, i, j] = together / len(both)
+    return out
+
+
+def _odd_runs():
+    """Runs that hold some of the ids, few labels, text and null among them."""
+    random = np.random.default_rng(6)
+    given = [(k, r, i, [None, "a", "b", "c"][random.integers(1 if i % 5 else 0, 4)]) for k in (2, 3) for r in range(3) for i in range(90) if random.random() < 0.7]
+    return given + [(2, 0, 200, None), (2, 1, 200, None), (2, 0, 201, None), (3, 0, 300, "alone")]
+
+
+@pytest.mark.parametrize("side", [7, 2048])
+def test_consensus_shares_of_odd_runs(spark, monkeypatch, side):
+    from collections import Counter
+
+    from tilewright.operators import consensus
+
+    monkeypatch.setattr(consensus, "SIDE", side, raising=False)
+    given = _odd_runs()
+    df = spark.createDataFrame(given, "k int, run int, id bigint, label string").repartition(3)
+    want = _brute_matrix(given)
+    shares = consensus.consensus_shares(df)
+    assert {(r.k, r.m): r.pairs for r in shares.collect()} == Counter((k, m) for (k, _, _), m in want.items())
+    matrix = spark.createDataFrame([(*x, m) for x, m in want.items()], "k int, i bigint, j bigint, m double")
+    area = lambda m: {r.k: round(r.area, 9) for r in consensus.consensus_area(m, 93).collect()}
+    assert area(shares) == area(matrix)
+
+
+def test_consensus_area_does_not_spell_pairs_out(spark, sf_dir, monkeypatch):
+    from tilewright.operators import consensus
+    from tilewright.plans import catalog
+
+    monkeypatch.delattr(consensus, "consensus_matrix")
+    assert catalog.consensus_area(spark, sf_dir).count() == 2
