@@ -367,3 +367,28 @@ def test_consensus_area_does_not_spell_pairs_out(spark, sf_dir, monkeypatch):
 
     monkeypatch.delattr(consensus, "consensus_matrix")
     assert catalog.consensus_area(spark, sf_dir).count() == 2
+
+
+@pytest.mark.parametrize("side", [7, 2048])
+@pytest.mark.parametrize("at_least", [0.3, 0.7, 1.0])
+def test_consensus_ensemble_of_odd_runs(spark, monkeypatch, side, at_least):
+    """Clusters of plain loops; links of ids with the same labels, or within what is already joined, don't go on."""
+    from tilewright.operators import consensus, graph
+
+    monkeypatch.setattr(consensus, "SIDE", side, raising=False)
+    sent, components = [], graph.components
+
+    def counted(edges):
+        sent.append(edges.count())
+        return components(edges)
+
+    monkeypatch.setattr(graph, "components", counted)
+    given = [(0, 10 * k + r, i, x) for k, r, i, x in _odd_runs()] + [(0, r, i, "many") for r in range(40, 43) for i in range(1000, 1200)]
+    tree = {i: i for _, _, i, _ in given}
+    for (_, i, j), m in _brute_matrix(given).items():
+        if m >= at_least:
+            a, b = sorted((tree[i], tree[j]))
+            tree = {x: a if root == b else root for x, root in tree.items()}
+    got = consensus.ensemble(spark.createDataFrame([g[1:] for g in given], "run int, id bigint, label string").repartition(3), at_least)
+    assert {r.id: r.label for r in got.collect()} == tree
+    assert sent[0] < 19_900
