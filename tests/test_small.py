@@ -344,6 +344,21 @@ def _odd_runs():
     return given + [(2, 0, 200, None), (2, 1, 200, None), (2, 0, 201, None), (3, 0, 300, "alone")]
 
 
+@pytest.mark.parametrize("side", [7, 2048])
+def test_consensus_of_odd_runs(spark, monkeypatch, side):
+    """Blocks of any size give the matrix of plain loops, and its pairs aren't shuffled."""
+    from tilewright.operators import consensus
+
+    monkeypatch.setattr(consensus, "SIDE", side, raising=False)
+    given = _odd_runs()
+    df = spark.createDataFrame(given, "k int, run int, id bigint, label string").repartition(3)
+    made = consensus.consensus_matrix(df)
+    rows = made.collect()
+    assert {(r.k, r.i, r.j): r.m for r in rows} == _brute_matrix(given) and len(rows) == len(_brute_matrix(given))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("MapInArrow")]
+
+
 @pytest.mark.parametrize("side", [7, 2048])
 def test_consensus_shares_of_odd_runs(spark, monkeypatch, side):
     from collections import Counter
