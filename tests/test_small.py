@@ -407,3 +407,29 @@ def test_consensus_ensemble_of_odd_runs(spark, monkeypatch, side, at_least):
     got = consensus.ensemble(spark.createDataFrame([g[1:] for g in given], "run int, id bigint, label string").repartition(3), at_least)
     assert {r.id: r.label for r in got.collect()} == tree
     assert sent[0] < 19_900
+
+
+@pytest.mark.parametrize("block", [4, 8192])
+def test_nearest_of_many(spark, monkeypatch, block):
+    """The same bits as nearest(), with copies among the centroids, blocks of any size and a null vector."""
+    from tilewright.operators import cluster
+
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    random = np.random.default_rng(8)
+    vectors = random.normal(0, 40, (30, 6)).tolist() + [[1.0] * 6] * 5
+    centres = spark.createDataFrame([(7 * i, v) for i, v in enumerate(vectors[::2] + [[1.0] * 6] * 9)], "id int, features array<double>").repartition(3)
+    rows = spark.createDataFrame(list(enumerate(vectors)), "n int, features array<double>").repartition(2)
+    columns = ["n", "c1", "c2", "c3", "d1", "d2", "d3"]
+    own = lambda df: sorted(map(tuple, df.select(columns).collect()))
+    got = cluster.nearest_of_many(rows, centres)
+    assert own(got) == own(cluster.nearest(rows, centres)) and dict(got.dtypes)["c1"] == "int"
+    none = spark.createDataFrame([(1, None)], "n int, features array<double>")
+    assert own(cluster.nearest_of_many(none, centres)) == [(1, *[None] * 6)]
+    assert own(cluster.nearest_of_many(rows, centres.limit(2), 3)) == own(cluster.nearest(rows, centres.limit(2)))
+
+
+def test_seeds_are_not_compared_in_lambdas(spark, sf_dir):
+    """Seeds grow with the rows: a vector an array of distances to all of them took most of the time."""
+    from tilewright.plans import catalog
+
+    assert "zip_with" not in catalog.semi_supervised_clusters(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -196,7 +196,7 @@ _SEEDED = """, seed as (select (row_number() over (order by slide, n) - 1)::int
 def semi_supervised_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = fx.patches(spark, d)
     seeds = tiles.numbered(p.where("label = 8").select("slide", "n", "features"), ["slide", "n"], "id")
-    found = cluster.nearest(p.where("positive = 1"), cluster.seeded(seeds, fx.centroids(spark, d)))
+    found = cluster.nearest_of_many(p.where("positive = 1"), cluster.seeded(seeds, fx.centroids(spark, d)))
     return cluster.labelled_preference(found, seeds.count()).select("slide", "n", "c1", "c2", "c3")
 
 
