@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontaminate, exact, language, packing, quality, sharding, simhash, substring, toxicity
+from tilewright.llm import chat, decontaminate, exact, language, packing, pieces, quality, sharding, simhash, substring, toxicity
 from tilewright.llm._common import fold, read
 
 
@@ -85,6 +85,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    n_tokens = (F.octet_length("ids") / 4).cast("long")
+    return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _hex(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -96,6 +102,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 ORACLES = {
