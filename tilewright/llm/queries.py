@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontaminate, exact, language, packing, pieces, quality, sharding, simhash, substring, toxicity
+from tilewright.llm import chat, decontaminate, exact, language, packing, pieces, quality, repair, sharding, simhash, substring, toxicity
 from tilewright.llm._common import fold, read
 
 
@@ -85,6 +85,26 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns with the contract's faults put in; dropped says which rows go. Nulls are one space."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    kind, role, text = (F.crc32(key.cast("binary")) % 20), F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, "user").otherwise(role).alias("role"),
+        F.when(kind == 1, "").when(kind == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (kind == 0).alias("dropped"),
+        F.explode(F.array_repeat(F.lit(0), F.when(kind == 3, 2).otherwise(1))).alias("copy"),
+    )
+
+
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = damaged(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    found = repair.digested(repair.repair(turns.filter("not dropped"), also=turns.filter("dropped").select("conv_id")))
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     n_tokens = (F.octet_length("ids") / 4).cast("long")
@@ -102,10 +122,72 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_repair": op11_repair,
     "op12_sentencepiece": op12_sentencepiece,
 }
 
+def _crc_sql(text: str) -> str:
+    """SQL for the CRC-32 of an ASCII text, bit by bit."""
+    bits = "list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, nth: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ord(ch)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {codes}), lambda crc, byte: {bits}), 4294967295)"
+
+
+def _repair_sql() -> str:
+    """SQL for op11. For each turn from the last on, the least (cost, audit) after each of four states, as text that sorts so: eight digits of cost, then the audit."""
+
+    def plus(x: str, cost: str, letters: str) -> str:
+        return f"case when {x} >= '9' then '9' else lpad((left({x}, 8)::int + {cost})::varchar, 8, '0') || '{letters}' || substr({x}, 9) end"
+
+    def turn(state: int, role: str, then: int) -> str:
+        keeps = f"case when lower(e[1]) = '{role}' then {plus(f'w[{then}]', extra, 'K')} else '9' end"
+        system = f"case when lower(e[1]) = 's' then {plus('w[2]', extra, 'K')} else '9' end" if state == 1 else "'9'"
+        rerole = f"case when e[1] <> 'x' then {plus(f'w[{then}]', f'1 + {extra}', 'R')} else '9' end"
+        return f"least({plus(f'w[{state}]', '2', 'D')}, {keeps}, {system}, {rerole})"
+
+    extra = "(case when e[1] in ('S', 'U', 'A', 'O') then 5 else 0 end)"
+    states = ", ".join([turn(1, "u", 3), turn(2, "u", 3), turn(3, "a", 4), turn(4, "u", 3)])
+    step = f"list_transform([[{states}]], lambda v: [least(v[1], {plus('v[3]', '5', 'I')}, {plus('v[4]', '10', 'II')}), least(v[2], {plus('v[3]', '5', 'I')}, {plus('v[4]', '10', 'II')}), least(v[3], {plus('v[4]', '5', 'I')}), least(v[4], {plus('v[3]', '5', 'I')})])[1]"
+    codes = "list_transform(list_reverse(string_split(signature, '')), lambda c: [c, '', '', ''])"
+    best = f"case when signature = '' then '00000000' else list_reduce(list_prepend(['00000000', '00000010II', '00000005I', '00000000'], {codes}), lambda w, e: {step})[1] end"
+    trimmed = "rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    key = "coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')"
+    return f"""
+        with k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc_sql(key)} % 20 as kind from conversations),
+        d as (
+          select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+            case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text, unnest(range(case when kind = 3 then 2 else 1 end)) as copy
+          from k where kind <> 0
+        ),
+        n as (select *, row_number() over w as nth, left(role, 1) as c, left(lag(role) over w, 1) as c0 from d window w as (partition by conv_id order by turn nulls first, role, text, copy)),
+        f as (
+          select *, case when {trimmed} = '' then 'blank' when row_number() over (partition by conv_id, role, text order by nth) > 1 then 'duplicate'
+            when right({trimmed}, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault from n
+        ),
+        s as (
+          select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+            count(*) filter (fault = 'truncated') as truncated, count(*) filter (c0 || c not in ('su', 'ua', 'au')) as illegal,
+            string_agg(case when fault in ('blank', 'duplicate') then 'x' when fault = 'truncated' then upper(case when c in ('s', 'u', 'a') then c else 'o' end) when c in ('s', 'u', 'a') then c else 'o' end, '' order by nth) as signature
+          from f group by conv_id
+        ),
+        b as (select *, {best} as best from s),
+        a as (select *, left(best, 8)::bigint as cost, substr(best, 9) as audit from b),
+        e as (select conv_id, audit, unnest(string_split(audit, '')) as edit, unnest(range(1, length(audit) + 1)) as i, length(replace(audit, 'D', '')) % 2 as odd from a where audit <> ''),
+        p as (
+          select *, count(*) filter (edit <> 'I') over (partition by conv_id order by i) as nth, count(*) filter (edit <> 'D') over (partition by conv_id order by i) as made from e
+        ),
+        r as (
+          select p.conv_id, string_agg((case when edit = 'K' then f.role when (made - odd) % 2 = 1 then 'user' else 'assistant' end) || ':' || (case when edit = 'I' then '' else f.text end), chr(10) order by i) as repaired
+          from p left join f on p.conv_id is not distinct from f.conv_id and p.nth = f.nth where edit <> 'D' group by p.conv_id
+        )
+        select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+          coalesce(illegal, 0)::bigint as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+        from (select distinct conv_id from conversations) o left join a on o.conv_id is not distinct from a.conv_id left join r on o.conv_id is not distinct from r.conv_id
+    """
+
+
 ORACLES = {
+    "op11_repair": _repair_sql(),
     "op2_substring_dedup": r"""
         with d as (select doc_id, case when w is null or w = [''] then []::varchar[] else w end as w
           from (select doc_id, string_split(trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' '), ' ') as w from documents)),
