@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import chat, decontaminate, exact, language, packing, pieces, quality, repair, sharding, simhash, substring, toxicity
-from tilewright.llm._common import fold, read
+from tilewright.llm import chat, decontaminate, exact, language, packing, pieces, quality, repair, sharding, simhash, substring, toxicity, trie
+from tilewright.llm._common import fold, read, written
 
 
 def _hex(text: object) -> object:
@@ -111,6 +111,21 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), _hex(F.col("decoded")).alias("decoded_sha256"))
 
 
+def rebuilt(own: DataFrame) -> DataFrame:
+    """Conversations as sequences() gives them, rebuilt by the contract: the first h turns are those of conversation c - c % 5, h = crc32(c) % 9; a null id has h = 0."""
+    heads = own.filter(F.col("conv") % 5 == 0).select(F.col("conv").alias("base"), F.slice("steps", 1, 8).alias("head"))
+    h = F.coalesce((F.crc32(F.col("conv").cast("string").cast("binary")) % 9).cast("int"), F.lit(0))
+    both = own.withColumn("h", h).withColumn("base", F.col("conv") - F.col("conv") % 5).join(heads, "base", "left")
+    begun = F.slice(F.coalesce("head", F.array().cast(trie.STEPS)), F.lit(1), F.col("h"))
+    rest = F.slice("steps", F.col("h") + 1, F.greatest(F.size("steps") - F.col("h"), F.lit(0)))
+    return both.select("conv", F.concat(begun, rest).alias("steps"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return trie.prefix_trie(rebuilt(written(trie.sequences(turns), "sequences")))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_substring_dedup": op2_substring_dedup,
@@ -124,6 +139,7 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_repair": op11_repair,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_trie": op13_trie,
 }
 
 def _crc_sql(text: str) -> str:
@@ -186,7 +202,35 @@ def _repair_sql() -> str:
     """
 
 
+def _trie_sql() -> str:
+    """SQL for op13: nodes are distinct prefixes, what they sum up comes from their members and from the nodes that begin with them."""
+    return f"""
+        with t as (
+          select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as k,
+            length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as s, strlen(coalesce(text, ''))::bigint as size from conversations
+        ),
+        h as (select c, c - c % 5 as base, {_crc_sql("c::varchar")} % 9 as h from (select distinct conv_id as c from conversations)),
+        r as (select h.c, t.k, t.s, t.size from h join t on t.c = h.base and t.k <= h.h union all select h.c, t.k, t.s, t.size from h join t on t.c = h.c and t.k > h.h),
+        n as (select c, row_number() over (partition by c order by k) as d, s, size from r),
+        p as (
+          select c, d, size, sha256(string_agg(sha256(s), '') over (partition by c order by d rows between unbounded preceding and current row)) as x from n
+        ),
+        m as (select c, d, size, x, lag(x, 1, 'root') over (partition by c order by d) as up from p union all select c, 0, 0, 'root', null from h),
+        e as (select *, d = max(d) over (partition by c) as ends from m),
+        v as (
+          select d, x, min(up) as up, min(c) as conv_id, count(*) as n_convs, (count(*) - 1) * min(size) as saved, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) as ends_sha256
+          from e group by d, x
+        ),
+        k as (select v.*, (select count(*) from v as w where w.up = v.x and w.d = v.d + 1) as n_children from v),
+        a as (select distinct a.d as d, a.x as x, b.d as e, b.x as y from m as a join m as b on a.c = b.c and b.d >= a.d),
+        s as (select a.d, a.x, sum(saved)::bigint as saved_tokens, count(*) filter (n_children = 0) as n_leaves from a join k on k.d = a.e and k.x = a.y group by a.d, a.x)
+        select k.conv_id, k.d as depth, u.conv_id as parent_conv_id, k.n_convs, k.n_children, s.n_leaves, s.saved_tokens, k.ends_sha256
+        from k join s on s.d = k.d and s.x = k.x left join v as u on u.x = k.up and u.d = k.d - 1
+    """
+
+
 ORACLES = {
+    "op13_trie": _trie_sql(),
     "op11_repair": _repair_sql(),
     "op2_substring_dedup": r"""
         with d as (select doc_id, case when w is null or w = [''] then []::varchar[] else w end as w
