@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,11 +41,10 @@ def softmax(a: Column) -> Column:
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "features") -> DataFrame:
-    """(keys, population, vector): the mean by key. Elements are averaged apart by partial aggregates, so that a group of any size costs a task one array."""
-    flat = rows.select(*keys, F.posexplode(vector).alias("pos", "value"))
-    means = flat.groupBy(*keys, "pos").agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("population"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda s: s["mean"])
-    return means.groupBy(*keys).agg(F.max("population").alias("population"), whole.alias(vector))
+    """(keys, population, vector): the mean by key, from partial aggregates of whole vectors, so that a row stays one row and a group of any size costs a task one array. Rows without a vector don't count. All vectors have one length."""
+    have = rows.where(F.size(vector) > 0).select(*keys, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
+    means = have.groupBy(*keys).agg(Summarizer.metrics("mean", "count").summary(F.col("_v")).alias("_s"))
+    return means.select(*keys, F.col("_s.count").alias("population"), vector_to_array("_s.mean").alias(vector))
 
 
 def weighted_mean(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:

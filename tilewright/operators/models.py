@@ -16,6 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tilewright.functions.pixels import word_histograms
 from tilewright.functions.vectors import dot
+from tilewright.operators import minibatch
 
 
 def fit_reduction(rows: DataFrame, variance: float = 0.9, components: int | None = None, vector: str = "features") -> DataFrame:
@@ -52,6 +53,13 @@ def kmeans(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return clustered(rows, k, seed)[0]
 
 
+def minibatch_kmeans(rows: DataFrame, k: int, seed: int, batches: int = 10, vector: str = "features") -> DataFrame:
+    """rows with label, by mini-batch k-means over so many batches, to which a hash of the vector deals the rows."""
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(batches)))
+    state = minibatch.fit(dealt, minibatch.initial(rows, k, seed, vector=vector), "_b", vector)
+    return minibatch.predict(rows, state, vector).withColumn("label", F.col("label").cast("int")).drop("d")
+
+
 def best_k(stability: DataFrame) -> DataFrame:
     """stability (k, mean_ari) with best: the k whose runs agree most, the least of equals."""
     top = stability.agg(F.max_by("k", F.struct("mean_ari", -F.col("k"))).alias("_best"))
@@ -97,19 +105,21 @@ def windows(image: np.ndarray, size: int = 8) -> np.ndarray:
     return np.moveaxis(view, 2, -1).reshape(-1, size * size * image.shape[2]) if image.ndim == 3 else view.reshape(-1, size * size)
 
 
-def visual_words(images: DataFrame, n_words: int, size: int = 8, seed: int = 7, every: int = 50) -> DataFrame:
-    """(id, features): words from all windows of every so many-th image (by a hash of id)."""
-    sampled = images.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(every)) == 0)
+def visual_words(images: DataFrame, n_words: int, size: int = 8, seed: int = 7, every: int = 50, batches: int | None = None) -> DataFrame:
+    """(id, features): words from all windows of every so many-th image (by a hash of id); with batches, by mini-batch k-means over so many batches of those images, the windows of an image all in one."""
+    sampled = images.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(every)) == 0).withColumn("batch", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(batches or 1)))
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
+    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples():
                 rows = windows(np.array(r.pixels, float).reshape(r.height, r.width), size) / 127.5 - 1
                 for at in range(0, len(rows), 4096):
-                    yield pd.DataFrame({"features": rows[at : at + 4096].tolist()})
+                    yield pd.DataFrame({"batch": r.batch, "features": rows[at : at + 4096].tolist()})
 
-    rows = sampled.select("height", "width", "pixels").mapInPandas(cut, "features array<double>")
-    return clustered(rows, n_words, seed)[1]
+    rows = sampled.select("batch", "height", "width", "pixels").mapInPandas(cut, "batch bigint, features array<double>")
+    if batches is None:
+        return clustered(rows.select("features"), n_words, seed)[1]
+    return minibatch.fit(rows, minibatch.initial(rows, n_words, seed), "batch").select(F.col("id").cast("int").alias("id"), "features")
 
 
 def word_counts(images: DataFrame, words: DataFrame, size: int = 8, compat: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import names, pixels
 from tilewright.functions.vectors import mean_vectors, softmax
-from tilewright.operators import cluster, compare, consensus, graph, models, samples, smooth, tiles
+from tilewright.operators import cluster, compare, consensus, graph, minibatch, models, samples, smooth, tiles
 from tilewright.operators import tree as trees
 from tilewright.operators._tables import written
 from tilewright.plans import fixtures as fx
@@ -708,6 +708,33 @@ def bisecting_clusters(spark: SparkSession, d: str) -> DataFrame:
     return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8, bisecting=True)[0].select("slide", "n", "label")
 
 
+#: Mini-batch k-means over slides, from the first tile of each label below 8: a state a batch, as lists.
+_MINI = fx.PATCHES + """, own as (select *, dense_rank() over (order by vec_id // 100) as b from patch where positive = 1), bat as (select b, list(features order by n) as rows from own group by 1),
+  mini(b, cs, ws) as (select 0::bigint, list(f order by label), list_transform(list(label), lambda v: 0.0::double) from (select label, arg_min(features, vec_id) as f from patch where label < 8 group by 1)
+    union all select b, list_transform(cs, lambda c, i: case when len(g[i]) = 0 then c else list_transform(c, lambda v, j: (v * ws[i] + list_sum(list_transform(g[i], lambda r: r[j]))) / (ws[i] + len(g[i]))) end), list_transform(ws, lambda w, i: w + len(g[i]))
+    from (select b, cs, ws, list_transform(ws, lambda w, i: list_filter(rows, lambda r, k: nearest[k] = i)) as g
+      from (select bat.b, m.cs, m.ws, bat.rows, list_transform(bat.rows, lambda r: list_position(list_transform(m.cs, lambda c: list_distance(r, c)), list_min(list_transform(m.cs, lambda c: list_distance(r, c))))) as nearest from mini m join bat on bat.b = m.b + 1))),
+  ids as (select list(distinct label order by label) as ids from patch where label < 8), state as (select cs, ws from mini order by b desc limit 1)"""
+
+
+def _minibatch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = fx.patches(spark, d)
+    first = p.where("label < 8").groupBy("label").agg(F.min_by("features", "vec_id").alias("features")).select(F.col("label").cast("long").alias("id"), "features", F.lit(0.0).alias("weight"))
+    own = p.where("positive = 1").withColumn("batch", F.expr("vec_id div 100"))
+    return own, minibatch.fit(own, written(first, "centres"), "batch")
+
+
+@query(f"with recursive {_MINI} select unnest(ids)::bigint as id, unnest(ws) as weight, unnest(list_transform(cs, lambda c: {_sql_text('c')})) as features from state, ids")
+def minibatch_centres(spark: SparkSession, d: str) -> DataFrame:
+    return _minibatch(spark, d)[1].select("id", "weight", _text("features").alias("features"))
+
+
+@query(f"with recursive {_MINI}, near as (select slide, n, list_transform(cs, lambda c: list_distance(features, c)) as far, ids from own, state, ids) select slide, n, ids[list_position(far, list_min(far))]::bigint as label, round(list_min(far), 6) as d from near")
+def minibatch_clusters(spark: SparkSession, d: str) -> DataFrame:
+    own, state = _minibatch(spark, d)
+    return minibatch.predict(own, state).select("slide", "n", "label", _round("d").alias("d"))
+
+
 # Sinks
 
 
