@@ -23,3 +23,17 @@ def numbered(rows: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     before = counts.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_n")).alias("_before"))
     met = placed.join(before, part == F.col("_part"))
     return met.select(*kept, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << PLACE) - 1))).alias(name))
+
+
+def running(rows: DataFrame, order: list[str], value: str, name: str, how: str = "sum") -> DataFrame:
+    """rows with the sum, or the max, of value over all rows up to each, itself included, in the order of the columns, which must be a total one. As numbered(): within ranges of the order, behind what the ranges before add."""
+    kept = rows.columns
+    over = {"sum": F.sum, "max": F.max}[how]
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "running").withColumn("_part", F.shiftright("_at", PLACE))
+    whole = placed.groupBy("_part").agg(over(value).alias("_own"))
+    # A row a partition.
+    before = whole.select("_part", over("_own").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = over(value).over(Window.partitionBy("_part").orderBy("_at"))
+    met = placed.withColumn("_upto", own).join(before, "_part")
+    both = F.col("_upto") + F.coalesce("_before", F.lit(0)) if how == "sum" else F.greatest("_upto", "_before")
+    return met.select(*kept, both.alias(name))

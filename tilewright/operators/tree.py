@@ -2,52 +2,42 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.vectors import dot
+from tilewright.operators._numbering import running
 from tilewright.operators._tables import written
-from tilewright.operators.graph import components
+from tilewright.operators.dendrogram import BLOCK, tree_of
 
 TREE = "tree bigint, node bigint, parent bigint, left bigint, right bigint, weight double, population bigint, descriptor array<double>, slides array<string>"
 
 
-def concept_tree(forest: DataFrame, segments: DataFrame) -> DataFrame:
-    """One binary tree for each component of a minimum spanning forest (a, b, w) over segments (id, slide, features). Its edges merge their ends' trees, the least first; a merge is a new node with the summed population, the mean of its descriptors by population, and the union of slides. Segments are nodes by their ids; a component's k-th merge gets its k-th smallest id plus the largest id of all plus 1, so that its root has its largest number. A component is one task: merging is sequential."""
-    roots = components(forest.select("a", "b"))
-    nodes = segments.join(roots, F.col("id") == F.col("node")).select("id", "slide", "features", F.col("root").alias("tree"))
-    top = segments.agg(F.max("id").alias("top"))
-    edges = forest.join(roots, F.col("a") == F.col("node")).select(F.col("root").alias("tree"), "a", "b", "w").crossJoin(F.broadcast(top))
-
-    def merge(own: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(int(i) for i in own["id"])
-        pop = dict.fromkeys(ids, 1)
-        vec = {int(i): np.array(f, float) for i, f in zip(own["id"], own["features"], strict=True)}
-        slides = {int(i): {s} for i, s in zip(own["id"], own["slide"], strict=True)}
-        up: dict[int, int] = {}
-        parts: dict[int, tuple[int, int, float]] = {}
-        short = {i: i for i in ids}
-
-        def root(x: int) -> int:
-            while short[x] != x:
-                short[x] = short[short[x]]
-                x = short[x]
-            return x
-
-        for k, r in enumerate(links.sort_values(["w", "a", "b"]).itertuples()):
-            p, q, new = root(int(r.a)), root(int(r.b)), int(r.top) + 1 + ids[k]
-            pop[new] = pop[p] + pop[q]
-            vec[new] = (pop[p] * vec[p] + pop[q] * vec[q]) / pop[new]
-            slides[new] = slides[p] | slides[q]
-            up[p] = up[q] = short[p] = short[q] = short[new] = new
-            parts[new] = (p, q, float(r.w))
-        tree = int(own["tree"].iloc[0])
-        out = [(tree, n, up.get(n), *(parts.get(n) or (None, None, None)), pop[n], vec[n].tolist(), sorted(slides[n])) for n in pop]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TREE.split(", ")]).astype({"parent": "Int64", "left": "Int64", "right": "Int64"})
-
-    return nodes.groupBy("tree").cogroup(edges.groupBy("tree")).applyInPandas(merge, TREE)
+def concept_tree(forest: DataFrame, segments: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One binary tree for each component of a minimum spanning forest (a, b, w) over segments (id, slide, features). Its edges merge their ends' trees, the least first; a merge is a new node with the summed population, the mean of its descriptors by population, and the union of slides. Segments are nodes by their ids; a component's k-th merge gets its k-th smallest id plus the largest id of all plus 1, so that its root has its largest number. enter is the place of a node's first leaf where leaves are laid out so that a node is an interval of them, its larger child first. No task holds a component: see dendrogram."""
+    return tree_of(forest, segments, block)
+
+
+def nested(tree: DataFrame) -> DataFrame:
+    """tree (node, left, right, population) with enter, where it has none: the place of each node's first leaf, the larger child first, trees one after the other. Each node looks twice as far up in each round, so rounds grow with the logarithm of the depth."""
+    if "enter" in tree.columns:
+        return tree
+    inner = _children(tree)
+    big = (F.col("pop_left") > F.col("pop_right")) | ((F.col("pop_left") == F.col("pop_right")) & (F.col("left") > F.col("right")))
+    first, second = F.when(big, F.col("left")).otherwise(F.col("right")), F.when(big, F.col("right")).otherwise(F.col("left"))
+    two = F.array(F.struct(first.alias("node"), F.lit(0).cast("long").alias("off")), F.struct(second.alias("node"), F.greatest("pop_left", "pop_right").cast("long").alias("off")))
+    state = written(inner.select(F.col("node").alias("up"), F.explode(two).alias("c")).select("c.node", "up", "c.off"), "above")
+    while True:
+        far = state.select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("off").alias("more"))
+        step = written(state.join(far, "up", "left").select("node", F.coalesce("next", "up").alias("up"), (F.col("off") + F.coalesce("more", F.lit(0))).alias("off"), F.col("next").isNotNull().alias("moved")), "above")
+        state = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    roots = tree.join(state, "node", "left_anti").select("node", F.col("population").cast("long").alias("population"))
+    starts = running(roots, ["node"], "population", "_end").select(F.col("node").alias("_root"), (F.col("_end") - F.col("population")).alias("_start"))
+    placed = state.select("node", F.col("up").alias("_root"), "off").unionByName(roots.select("node", F.col("node").alias("_root"), F.lit(0).cast("long").alias("off")))
+    enter = placed.join(starts, "_root").select("node", (F.col("_start") + F.col("off")).alias("enter"))
+    return written(tree.join(enter, "node").select(*tree.columns, "enter"), "nested")
 
 
 def _children(tree: DataFrame) -> DataFrame:
@@ -64,47 +54,54 @@ def truncated_leaves(tree: DataFrame, least: int) -> DataFrame:
     return inner.select("node", "population").unionByName(leaves.select("node", "population"))
 
 
+#: Places of an interval that are spelt out at once.
+SPAN = 4096
+
+
 def leaves_under(tree: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, leaf): the leaves below each of nodes. Frontiers go down level by level, by joins, until all are leaves."""
-    kids = tree.select(F.col("node").alias("at"), "left", "right")
-    front = nodes.select("node", F.col("node").alias("at"))
-    done = None
-    while True:
-        stepped = written(front.join(kids, "at"), "frontier")
-        leaves = stepped.where("left is null").select("node", F.col("at").alias("leaf"))
-        done = leaves if done is None else done.unionByName(leaves)
-        front = stepped.where("left is not null").select("node", F.explode(F.array("left", "right")).alias("at"))
-        if front.isEmpty():
-            return done
+    """(node, leaf): the leaves below each of nodes. A node is an interval of leaves, so its places, spelt out, meet the leaves by an equi-join: a row for each row of the result, and no loop over levels."""
+    own = nested(tree)
+    asked = own.join(nodes.select("node").distinct(), "node", "left_semi").select("node", "enter", "population")
+    # In two steps, so that no row holds a large interval's places.
+    parts = asked.select("node", F.explode(F.sequence(F.col("enter"), F.col("enter") + F.col("population") - 1, F.lit(SPAN).cast("long"))).alias("from"), (F.col("enter") + F.col("population")).alias("to"))
+    places = parts.select("node", F.explode(F.sequence("from", F.least(F.col("from") + SPAN, "to") - 1)).alias("enter"))
+    return places.join(own.where("left is null").select("enter", F.col("node").alias("leaf")), "enter").select("node", "leaf")
 
 
 def significant_tree(tree: DataFrame) -> DataFrame:
-    """(tree, node, parent, left, right, population): each tree reduced to its significant forks: from the root, a node's children are the two sides of the fork below it, down the larger children, whose smaller side is largest (the deepest of equals), and so on from both. A tree is one task; all nodes that remain keep their populations."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        pop = dict(zip(rows["node"], rows["population"], strict=True))
-        kids = {int(n): (int(a), int(b)) for n, a, b in zip(rows["node"], rows["left"], rows["right"], strict=True) if not pd.isna(a)}
-        out, todo = [], [(int(max(rows["node"])), None)]
-        while todo:
-            node, parent = todo.pop()
-            best, at = None, node
-            while at in kids:
-                small, big = sorted(kids[at], key=lambda n: (pop[n], n))
-                if best is None or pop[small] >= best[0]:
-                    best = (pop[small], small, big)
-                at = big
-            pair = best[1:] if best else (None, None)
-            out.append((int(rows["tree"].iloc[0]), node, parent, *pair, int(pop[node])))
-            todo += [(c, node) for c in pair if c is not None]
-        made = pd.DataFrame(out, columns=["tree", "node", "parent", "left", "right", "population"])
-        return made.astype({"parent": "Int64", "left": "Int64", "right": "Int64"})
-
-    rows = tree.select("tree", "node", "left", "right", "population")
-    return rows.groupBy("tree").applyInPandas(run, "tree bigint, node bigint, parent bigint, left bigint, right bigint, population bigint")
+    """(tree, node, parent, left, right, population): each tree reduced to its significant forks: from the root, a node's children are the two sides of the fork below it, down the larger children, whose smaller side is largest (the deepest of equals), and so on from both; all nodes that remain keep their populations.
+
+    Nodes that begin at one place are a heavy path. Walks down it take just the forks whose smaller side is larger than any below on the path, so these are told by a running maximum; what hangs at other forks goes, with all below it, which is what the running maximum of ends over places says."""
+    own = nested(tree).select("tree", "node", "left", "right", "population", "enter")
+    small = F.least(F.struct(F.col("pop_left").alias("p"), F.col("left").alias("n")), F.struct(F.col("pop_right").alias("p"), F.col("right").alias("n")))
+    big = F.greatest(F.struct(F.col("pop_left").alias("p"), F.col("left").alias("n")), F.struct(F.col("pop_right").alias("p"), F.col("right").alias("n")))
+    forks = _children(own).select("node", small.alias("small"), big.alias("big"))
+    rows = own.join(forks, "node", "left")
+    # In the order of places and sizes, the largest of all forks so far is one of the own path, if that has any yet; of equals the deepest.
+    fork = F.struct("enter", F.col("small.p").alias("p"), (-F.col("population")).alias("up"), F.col("small.n").alias("left"), F.col("big.n").alias("right"))
+    told = running(rows.withColumn("_value", F.when(F.col("small").isNotNull(), fork)), ["enter", "population"], "_value", "_fork", "max")
+    ends = F.when(F.col("_fork.enter") == F.col("enter"), F.col("_fork"))
+    rows = written(told.withColumn("_fork", ends).withColumn("fork", F.col("small").isNotNull() & F.coalesce(F.col("_fork.up") == -F.col("population"), F.lit(False))).drop("_value"), "forks")
+    # Walks start at the top of a path and at the larger side of each fork taken.
+    sides = rows.where("small is not null").select(F.col("small.n").alias("node")).unionByName(rows.where("fork").select(F.col("big.n").alias("node")))
+    roots = rows.join(rows.where("left is not null").select(F.explode(F.array("left", "right")).alias("node")), "node", "left_anti").select("node")
+    starts = rows.join(sides.unionByName(roots), "node", "left_semi").select("tree", "node", "population", "enter", F.col("_fork.left").alias("left"), F.col("_fork.right").alias("right"))
+    starts = written(starts, "walks")
+    gone = rows.where("small is not null and not fork").select(F.col("small.n").alias("node")).join(own.select("node", "enter", "population"), "node").select("enter", (F.col("enter") + F.col("population")).alias("end"))
+    # Ends of what goes, at each path's place: a path whose place lies before such an end goes too.
+    marks = starts.select("enter").distinct().withColumn("end", F.lit(None).cast("long")).unionByName(gone).groupBy("enter").agg(F.max("end").alias("end"))
+    lost = running(marks, ["enter"], "end", "_end", "max").where("_end > enter").select("enter")
+    kept = starts.join(lost, "enter", "left_anti")
+    parents = kept.where("left is not null").select(F.explode(F.array("left", "right")).alias("node"), F.col("node").alias("parent"))
+    return kept.join(parents, "node", "left").select("tree", "node", "parent", "left", "right", "population")
+
+
+#: Share of pairs that is under the rounding of their sum.
+LEFT = 2.0**-60
 
 
 def similarity(a: DataFrame, b: DataFrame, root_a: int, root_b: int) -> DataFrame:
-    """One row (score): where either node is a leaf, the product of the two descriptors; else half the sum over the pairing of the children with the larger summed product (the straight one of equals). Pairs of nodes go down level by level, each by joins."""
+    """One row (score): where either node is a leaf, the product of the two descriptors; else half the sum over the pairing of the children with the larger summed product (the straight one of equals). Pairs of nodes go down level by level, each by joins. A pair's share halves with each level, so after some 60 levels more than the logarithm of the leaves what is left, less than LEFT of the product of the largest lengths, is under the rounding of the sum, and the walk ends."""
     def side(tree: DataFrame, name: str) -> DataFrame:
         own = tree.select("node", "left", "right", F.col("descriptor").alias("v"))
         left, right = (tree.select(F.col("node").alias(c), F.col("descriptor").alias(f"v_{c}")) for c in ("left", "right"))
@@ -126,5 +123,5 @@ def similarity(a: DataFrame, b: DataFrame, root_a: int, root_b: int) -> DataFram
         second = F.when(straight >= crossed, F.col("b_right")).otherwise(F.col("b_left"))
         two = F.explode(F.array(F.struct(F.col("a_left").alias("a"), first.alias("b")), F.struct(F.col("a_right").alias("a"), second.alias("b"))))
         pairs = met.where(~ends).select(two.alias("p"), "share").select(F.col("p.a").alias("a_node"), F.col("p.b").alias("b_node"), (F.col("share") / 2).alias("share"))
-        if pairs.isEmpty():
+        if (pairs.agg(F.sum("share")).first()[0] or 0.0) <= LEFT:
             return scores.agg(F.sum("s").alias("score"))

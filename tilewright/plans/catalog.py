@@ -585,13 +585,13 @@ def truncated_leaves(spark: SparkSession, d: str) -> DataFrame:
     return trees.truncated_leaves(_tree(spark, d), 3)
 
 
-_DOWN = "down(node, cur) as (select node, node from tree where population between 3 and 12 union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null), under as (select d.node, d.cur as leaf from down d join tree t on t.node = d.cur where t.l is null)"
+_DOWN = "down(node, cur) as (select node, node from tree where l is not null union all select d.node, unnest([t.l, t.r]) from down d join tree t on t.node = d.cur where t.l is not null), under as (select d.node, d.cur as leaf from down d join tree t on t.node = d.cur where t.l is null)"
 
 
 @query(f"with recursive {_TREE}, {_DOWN} select node, leaf from under")
 def leaves_under(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
-    return trees.leaves_under(t, t.where("population between 3 and 12").select("node"))
+    return trees.leaves_under(t, t.where("left is not null").select("node"))
 
 
 @query(
@@ -616,7 +616,7 @@ def tree_similarity(spark: SparkSession, d: str) -> DataFrame:
 )
 def concept_export_plan(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
-    leaves = trees.leaves_under(t, t.where("population between 3 and 12").select("node"))
+    leaves = trees.leaves_under(t, t.where("left is not null").select("node"))
     stack = _segments(spark, d).select("slide", F.col("in_slide_id").alias("label"), F.col("global_id").cast("long").alias("global_id"))
     members = fx.patches(spark, d).join(stack, ["slide", "label"]).select("global_id", "slide", "x", "y")
     return samples.export_plan(leaves, members, 40).select("node", "leaf", "slide", "x", "y")
