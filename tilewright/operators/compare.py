@@ -24,16 +24,14 @@ def contingency(pairs: DataFrame) -> DataFrame:
 
 def overlap(pairs: DataFrame, dense: bool = True) -> DataFrame:
     """(a, b, n, of_union, of_a, of_b): shared tiles of each two clusters, and their percentages; null where a cluster is empty. dense: every pair of labels up to the largest is there, which is a grid of labels; else those that share tiles."""
-    by = lambda c: F.sum("n").over(Window.partitionBy(c))
-    cells = contingency(pairs).select("a", "b", "n", by("a").alias("n_a"), by("b").alias("n_b"))
+    # The tiles are counted once: all that follows reads the small table of clusters, whose exchange Spark shares.
+    cells = contingency(pairs)
+    n_a, n_b = (cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
     if dense:
-        # The table of clusters is small, and stays in one row: the tiles are counted once.
-        size = lambda c: F.expr(f"map_from_entries(array_distinct(transform(cells, x -> struct(x.{c} as k, x.n_{c} as v))))").alias(f"of_{c}")
-        one = cells.agg(F.collect_list(F.struct("a", "b", "n", "n_a", "n_b")).alias("cells")).where("size(cells) > 0")
-        one = one.select("cells", F.expr("array_max(transform(cells, x -> greatest(x.a, x.b)))").alias("top"))
-        one = one.select("top", size("a"), size("b"), F.expr("map_from_entries(transform(cells, x -> struct(struct(x.a as a, x.b as b) as k, x.n as v)))").alias("of"))
-        grid = one.select("*", F.explode(F.expr("sequence(0, top)")).alias("a")).select("*", F.explode(F.expr("sequence(0, top)")).alias("b"))
-        cells = grid.selectExpr("a", "b", "coalesce(try_element_at(of, struct(a, b)), 0L) as n", "coalesce(try_element_at(of_a, a), 0L) as n_a", "coalesce(try_element_at(of_b, b), 0L) as n_b")
+        top = cells.agg(F.max(F.greatest("a", "b")).alias("top")).where("top is not null")
+        grid = top.select("top", F.explode(F.expr("sequence(0, top)")).alias("a")).select("a", F.explode(F.expr("sequence(0, top)")).alias("b"))
+        cells = grid.join(cells, ["a", "b"], "left")
+    cells = cells.join(n_a, "a", "left").join(n_b, "b", "left").select("a", "b", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n", "n_a", "n_b")))
 
     def percent(of: object) -> object:
         return F.try_divide(F.lit(100.0) * F.col("n"), of)

@@ -53,6 +53,11 @@ def kmeans(rows: DataFrame, k: int, seed: int) -> DataFrame:
     return clustered(rows, k, seed)[0]
 
 
+def weighted_kmeans(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """As kmeans(), of rows that stand for as many as their column weight says."""
+    return clustered(rows, k, seed, weight="weight")[0]
+
+
 def minibatch_kmeans(rows: DataFrame, k: int, seed: int, batches: int = 10, vector: str = "features") -> DataFrame:
     """rows with label, by mini-batch k-means over so many batches, to which a hash of the vector deals the rows."""
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64(vector, F.lit(seed)), F.lit(batches)))
@@ -80,11 +85,11 @@ def features(images: DataFrame, method: str, **given: object) -> DataFrame:
     return methods[method](images, **given)
 
 
-def clustered(rows: DataFrame, k: int, seed: int = 7, vector: str = "features", bisecting: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows with label, centroids (id, features)) of k-means, or of repeated splits in two."""
+def clustered(rows: DataFrame, k: int, seed: int = 7, vector: str = "features", bisecting: bool = False, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows with label, centroids (id, features)) of k-means, or of repeated splits in two. weight: a column that says how many rows each one stands for."""
     have = rows.withColumn("_v", array_to_vector(vector))
     kind = BisectingKMeans if bisecting else KMeans
-    model = kind(k=k, seed=seed, featuresCol="_v", predictionCol="label").fit(have)
+    model = kind(k=k, seed=seed, featuresCol="_v", predictionCol="label", **({"weightCol": weight} if weight else {})).fit(have)
     centres = rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.clusterCenters())], "id int, features array<double>")
     return model.transform(have).drop("_v"), centres
 
