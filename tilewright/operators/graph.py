@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilewright.functions.vectors import distance, mean_vectors
 from tilewright.operators._numbering import numbered
 from tilewright.operators._tables import written
+from tilewright.operators.neighbours import knn_edges as knn_edges
 
 
 def grid_spacing(tiles: DataFrame) -> DataFrame:
@@ -30,82 +31,6 @@ def neighbour_edges(tiles: DataFrame, spacing: DataFrame | None = None) -> DataF
     return met.select("slide", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), distance(F.col("f"), F.col("g")).alias("w"))
 
 
-#: Points that choose a cell's place, at most; points of a cell, about, below that; and distances that a task works out at once.
-CELLS, CELL, AT_ONCE = 1024, 2048, 1 << 17
-
-
-def _nearest_in(own: np.ndarray, vectors: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of others to each vector, itself left out: distances (infinite where there are fewer) and ids, the lower of equals first."""
-    best_d, best_i = np.full((len(own), k), np.inf), np.full((len(own), k), np.iinfo(np.int64).max)
-    step = max(1, AT_ONCE // max(1, len(ids)))
-    for at in range(0, len(own), step):
-        d = np.sqrt(((vectors[at : at + step, None] - others[None]) ** 2).sum(2))
-        d[own[at : at + step, None] == ids[None]] = np.inf
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :k]
-        n = order.shape[1]
-        best_d[at : at + step, :n], best_i[at : at + step, :n] = np.take_along_axis(d, order, 1), ids[order]
-    return best_d, best_i
-
-
-def knn_edges(points: DataFrame, k: int = 4, cell: int = CELL) -> DataFrame:
-    """(a, b, w), a < b: each point (id, features) and its k nearest others, exactly; the lower id wins a tie.
-
-    Points fall into cells around a bounded sample of them. The k nearest in a point's own cell bound how far its neighbours may be, and by the triangle inequality it is sent only to the
-    cells that reach so near; there it meets the cell's points. Nothing but the sample and the cells' radii, one number each, comes to the driver."""
-    spark = points.sparkSession
-    rows = written(points.select(F.col("id").cast("long").alias("id"), "features"), "points")
-    many = min(CELLS, -(-rows.count() // cell))
-    centres = [r.features for r in rows.orderBy(F.xxhash64("id"), "id").limit(many).collect()]
-    if not centres:
-        return spark.createDataFrame([], "a bigint, b bigint, w double")
-    sent = spark.sparkContext.broadcast(np.array(centres, float))
-
-    def far(batch: pd.DataFrame) -> np.ndarray:
-        """Each point's distance to each centre."""
-        vectors = np.array(batch["features"].tolist(), float)
-        return np.concatenate([np.sqrt(((vectors[a : a + 64, None] - sent.value[None]) ** 2).sum(2)) for a in range(0, len(vectors), 64)])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                d = far(batch)
-                yield batch.assign(cell=d.argmin(1), d=d.min(1))
-
-    placed = written(rows.mapInPandas(place, "id bigint, features array<double>, cell bigint, d double"), "placed")
-    radii = np.zeros(len(centres))
-    for r in placed.groupBy("cell").agg(F.max("d").alias("r")).collect():
-        radii[r.cell] = r.r
-
-    def inside(own: pd.DataFrame) -> pd.DataFrame:
-        ids, vectors = own["id"].to_numpy(np.int64), np.array(own["features"].tolist(), float)
-        d, i = _nearest_in(ids, vectors, ids, vectors, k)
-        return own.drop(columns="d").assign(near=list(i), near_d=list(d), reach=d[:, -1])
-
-    local = written(placed.groupBy("cell").applyInPandas(inside, "id bigint, features array<double>, cell bigint, near array<bigint>, near_d array<double>, reach double"), "local")
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                # A little slack, as distances are rounded.
-                ask = far(batch) - radii[None] <= batch["reach"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9
-                ask[np.arange(len(batch)), batch["cell"].to_numpy()] = False
-                row, to = np.nonzero(ask)
-                yield pd.DataFrame({"cell": to, "id": batch["id"].to_numpy()[row], "features": batch["features"].to_numpy()[row]})
-
-    def meet(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        if not len(asked) or not len(own):
-            return pd.DataFrame({"id": [], "near": [], "near_d": []}).astype({"id": np.int64, "near": object, "near_d": object})
-        d, i = _nearest_in(asked["id"].to_numpy(np.int64), np.array(asked["features"].tolist(), float), own["id"].to_numpy(np.int64), np.array(own["features"].tolist(), float), k)
-        return pd.DataFrame({"id": asked["id"].to_numpy(), "near": list(i), "near_d": list(d)})
-
-    asked = local.select("id", "features", "cell", "reach").mapInPandas(send, "cell bigint, id bigint, features array<double>")
-    met = asked.groupBy("cell").cogroup(placed.groupBy("cell")).applyInPandas(meet, "id bigint, near array<bigint>, near_d array<double>")
-    every = local.select("id", "near", "near_d").unionByName(met).select("id", F.explode(F.arrays_zip("near", "near_d")).alias("z")).where(F.col("z.near_d") < float("inf"))
-    best = every.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("z.near_d").alias("w"), F.col("z.near").alias("other")))), 1, k).alias("best"))
-    found = best.select("id", F.explode("best").alias("e")).select("id", "e.other", "e.w")
-    return found.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.min("w").alias("w"))
-
-
 class DisjointSets:
     """Union-find with path halving, union by size, and the energy of the last edge taken."""
 

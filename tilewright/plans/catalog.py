@@ -708,8 +708,8 @@ def bisecting_clusters(spark: SparkSession, d: str) -> DataFrame:
     return models.clustered(fx.patches(spark, d).where("positive = 1").drop("label"), 8, bisecting=True)[0].select("slide", "n", "label")
 
 
-#: Mini-batch k-means over slides, from the first tile of each label below 8: a state a batch, as lists.
-_MINI = fx.PATCHES + """, own as (select *, dense_rank() over (order by vec_id // 100) as b from patch where positive = 1), bat as (select b, list(features order by n) as rows from own group by 1),
+#: Mini-batch k-means over eight batches of slides, from the first tile of each label below 8: a state a batch, as lists.
+_MINI = fx.PATCHES + """, own as (select *, dense_rank() over (order by vec_id // 100 % 8) as b from patch where positive = 1), bat as (select b, list(features order by vec_id) as rows from own group by 1),
   mini(b, cs, ws) as (select 0::bigint, list(f order by label), list_transform(list(label), lambda v: 0.0::double) from (select label, arg_min(features, vec_id) as f from patch where label < 8 group by 1)
     union all select b, list_transform(cs, lambda c, i: case when len(g[i]) = 0 then c else list_transform(c, lambda v, j: (v * ws[i] + list_sum(list_transform(g[i], lambda r: r[j]))) / (ws[i] + len(g[i]))) end), list_transform(ws, lambda w, i: w + len(g[i]))
     from (select b, cs, ws, list_transform(ws, lambda w, i: list_filter(rows, lambda r, k: nearest[k] = i)) as g
@@ -720,7 +720,7 @@ _MINI = fx.PATCHES + """, own as (select *, dense_rank() over (order by vec_id /
 def _minibatch(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p = fx.patches(spark, d)
     first = p.where("label < 8").groupBy("label").agg(F.min_by("features", "vec_id").alias("features")).select(F.col("label").cast("long").alias("id"), "features", F.lit(0.0).alias("weight"))
-    own = p.where("positive = 1").withColumn("batch", F.expr("vec_id div 100"))
+    own = p.where("positive = 1").withColumn("batch", F.expr("vec_id div 100 % 8"))
     return own, minibatch.fit(own, written(first, "centres"), "batch")
 
 
