@@ -404,3 +404,31 @@ def test_toxicity_where_toxic_labels_are_rare(spark, make):
     labels = spark.createDataFrame([(i, int(i in toxic)) for i in range(4000)], "doc_id bigint, toxic int")
     got = {r.doc_id: r.score for r in toxicity.classify(make(*enumerate(texts)), labels, most=512).collect()}
     assert np.mean([got[i] >= 0.5 for i in range(4000, 4050)]) > 0.9 and np.mean([got[i] < 0.5 for i in range(4050, 4100)]) > 0.9
+
+
+def test_fits_dont_depend_on_the_order_of_rows(spark):
+    """The same sample in other orders and partitions gives the same weights."""
+    random = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows = [(int(i % 2), " ".join(random.choice(vocabulary[: 200 + 100 * (i % 2)], 30))) for i in range(120)] + [(1, None), (0, ""), (1, "same"), (0, "same")]
+    for module in (quality, toxicity):
+        made = [module.train(spark.createDataFrame(r, "y int, text string").repartition(n)) for r, n in ((rows, 1), (rows[::-1], 7))]
+        assert np.array_equal(*made) and np.abs(made[0]).max() > 0
+
+
+def test_blocks_of_the_benchmark_are_few_a_stage(spark, make):
+    docs = make((1, "a b c d e f g h i j k"), (2, "nothing of it"), (3, None), (4, "q w e r t y u i o p"))
+    items = spark.createDataFrame([(i, f"x{i} " * 9 + "end") for i in range(11)] + [(99, "q w e r t y u i o p")], "item_id bigint, text string")
+    clean = decontaminate.drop_contaminated(docs, items, block_words=10)
+    assert clean._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= decontaminate.BLOCKS
+    assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 3]
+
+
+def test_chat_of_very_many_turns(spark):
+    import time
+
+    turns = spark.range(100_000).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("said "), "id").alias("text"))
+    began = time.time()
+    r = chat.format_chats(turns).first()
+    assert len(r.loss_spans) == 50_000 and time.time() - began < 60
+    assert all(r.formatted[s.start : s.end] == f"said {2 * k + 1}" for k, s in enumerate(r.loss_spans))

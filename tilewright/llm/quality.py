@@ -126,10 +126,16 @@ def _drawn(rows: DataFrame, order: list[Column | str], most: int, by_class: bool
     return rows.where(F.col("y") == rare).orderBy(*order).limit(few).unionByName(rows.where(F.col("y") != rare).orderBy(*order).limit(most - few))
 
 
+def in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Labelled rows in an order of their own, whatever the order in which a shuffle brought them, so that a fit can be repeated."""
+    return rows.sort_values(["text", "y"], na_position="first", kind="stable", ignore_index=True)
+
+
 def train(rows: DataFrame) -> np.ndarray:
     """The weights, fitted in one task; they alone come to the driver."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = in_order(rows)
         return pd.DataFrame({"w": [fit(rows["text"].tolist(), rows["y"].to_numpy()).tobytes()]})
 
     made = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "w binary").first()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm._common import column, sums
 from tilewright.llm._text import Letters, chunks, ngrams
-from tilewright.llm.quality import sample
+from tilewright.llm.quality import in_order, sample
 
 BITS = 17
 DIM = 8
@@ -103,6 +103,7 @@ def scores(texts: list[str | None], table: np.ndarray, letters: Letters) -> np.n
 
 def train(rows: DataFrame) -> np.ndarray:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = in_order(rows)
         return pd.DataFrame({"w": [fit(rows["text"].tolist(), rows["y"].to_numpy()).tobytes()]})
 
     made = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(run, "w binary").first()
