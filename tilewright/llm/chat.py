@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Turns whose spans are summed up one after the other.
+RUN = 256
 START, END, SEP = "<|im_start|>", "<|im_end|>", "<|im_sep|>"
 
 
@@ -57,16 +59,22 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     pieces = sorted_turns.select("conv", F.transform(t, piece).alias("p"))
     whole = F.array_join(F.transform("p", lambda x: F.concat(x["head"], x["text"], x["tail"])), "")
-    # Spans, by a running sum over the pieces' lengths.
-    zero = F.struct(F.lit(0).alias("at"), F.expr("array_repeat(named_struct('start', 0, 'end', 0), 0)").alias("spans"))
+    # Spans, by a running sum over the pieces' lengths: within runs of RUN pieces, behind what the runs before add up to.
+    sizes = F.transform("p", lambda x: F.struct(F.length(x["head"]).alias("head"), F.length(x["text"]).alias("text"), F.length(x["tail"]).alias("tail"), x["loss"].alias("loss")))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / RUN).cast("int")), lambda r: F.slice("s", r * RUN + 1, F.lit(RUN)))
+    whole_run = F.transform("r", lambda run: F.aggregate(run, F.lit(0), lambda n, x: n + x["head"] + x["text"] + x["tail"]))
+    begins = F.aggregate("n", F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
 
     def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["head"])
-        end = start + F.length(x["text"])
+        start = acc["at"] + x["head"]
+        end = start + x["text"]
         spans = F.when(x["loss"], F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(acc["spans"])
-        return F.struct((end + F.length(x["tail"])).alias("at"), spans.alias("spans"))
+        return F.struct((end + x["tail"]).alias("at"), spans.alias("spans"))
 
-    return pieces.select(F.col("conv").alias(conv_col), whole.alias("formatted"), F.aggregate("p", zero, walk, lambda acc: acc["spans"]).alias("loss_spans"))
+    none = F.expr("array_repeat(named_struct('start', 0, 'end', 0), 0)")
+    spans = F.flatten(F.zip_with("r", F.slice("b", F.lit(1), F.size("r")), lambda run, at: F.aggregate(run, F.struct(at.alias("at"), none.alias("spans")), walk, lambda acc: acc["spans"])))
+    pieces = pieces.select("conv", whole.alias("formatted"), sizes.alias("s")).withColumn("r", runs).withColumn("n", whole_run).withColumn("b", begins)
+    return pieces.select(F.col("conv").alias(conv_col), "formatted", spans.alias("loss_spans"))
 
 
 def turns_column(formatted: Column) -> Column:
