@@ -148,8 +148,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs, all its columns, without the rows that hold a window of an item. Blocks of the benchmark filter one after the other."""
-    for block in _blocks(benchmark, item_col, item_text_col, block_words):
+    """docs, all its columns, without the rows that hold a window of an item. Blocks of the benchmark filter one after the other; as in decontaminate(), rows are written between stages of BLOCKS blocks."""
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_words)):
+        docs = written(docs, "clean") if k and k % BLOCKS == 0 else docs
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(sent: object = sent) -> object:
