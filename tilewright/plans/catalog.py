@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.functions import names, pixels
-from tilewright.functions.vectors import mean_vectors, softmax
-from tilewright.operators import cluster, compare, consensus, graph, minibatch, models, samples, smooth, tiles
+from tilewright.functions.vectors import dot, mean_vectors, norm, softmax
+from tilewright.operators import cluster, compare, consensus, graph, minibatch, models, reduction, samples, smooth, tiles
 from tilewright.operators import tree as trees
 from tilewright.operators._tables import written
 from tilewright.plans import fixtures as fx
@@ -693,6 +693,25 @@ def reduction_applied(spark: SparkSession, d: str) -> DataFrame:
     return models.apply_reduction(fx.patches(spark, d), model).select("slide", "n", _text("reduced").alias("reduced"))
 
 
+@query(
+    f"""with {fx.PATCHES}, own as (select * from patch where positive = 1), fl as (select unnest(features) as v, generate_subscripts(features, 1) as pos from own), mean as (select list(m order by pos) as m from (select pos, avg(v) as m from fl group by 1)),
+    c as (select slide, n, vec_id, list_transform(features, lambda v, j: v - m[j]) as f from own, mean), t as (select avg(list_dot_product(f, f)) as total from c)
+    select slide, n, round(sqrt(list_dot_product(f, f)), 6) as length, round(list_dot_product(f, lag(f) over (order by vec_id)), 4) as product, round(total, 4) as total from c, t"""
+)
+def incremental_reduction(spark: SparkSession, d: str) -> DataFrame:
+    """All components, batch by batch: lengths and products of projections are those of the rows from their mean, and the components' variances add up to the rows' own."""
+    own = fx.patches(spark, d).where("positive = 1")
+    state = None
+    for b in range(3):
+        state = reduction.partial_fit(state, own.where(F.expr("vec_id div 100 % 3") == b), 64)
+    fitted = reduction.model(state)
+    total = fitted.agg(F.sum(F.col("scale") * F.col("scale")).alias("total"))
+    seen = models.apply_reduction(own, fitted.withColumn("scale", F.lit(1.0))).select("slide", "n", "vec_id", "reduced")
+    seen = written(tiles.numbered(seen, ["vec_id"], "at"), "reduced")
+    placed = seen.join(seen.select((F.col("at") + 1).alias("at"), F.col("reduced").alias("before")), "at", "left")
+    return placed.crossJoin(F.broadcast(total)).select("slide", "n", _round(norm(F.col("reduced"))).alias("length"), _round(dot(F.col("reduced"), F.col("before")), 4).alias("product"), _round("total", 4).alias("total"))
+
+
 @query()
 def pca_scaled(spark: SparkSession, d: str) -> DataFrame:
     return models.reduced(fx.patches(spark, d).where("positive = 1")).select("slide", "n", F.size("reduced").alias("size"))
