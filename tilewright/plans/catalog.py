@@ -14,6 +14,7 @@ from tilewright.operators import tree as trees
 from tilewright.operators._tables import written
 from tilewright.plans import fixtures as fx
 from tilewright.sources import writers
+from tilewright.streaming import monitor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -381,6 +382,15 @@ def cosine_inter(spark: SparkSession, d: str) -> DataFrame:
     return samples.inter_class(fx.patches(spark, d)).select("a", "b", _round("inter").alias("inter"))
 
 
+@query(
+    f"with {_UNITS} select label::varchar as a, label::varchar as b, round(avg(1 - list_dot_product(f, c)), 6) as distance from u join cm using (label) group by 1 union all select least(a.label::varchar, b.label::varchar), greatest(a.label::varchar, b.label::varchar), round(1 - list_dot_product(a.c, b.c), 6) from cm a join cm b on a.label < b.label"
+)
+def monitored_cosines(spark: SparkSession, d: str) -> DataFrame:
+    """Distances within and between classes from the state after three batches."""
+    p = fx.patches(spark, d)
+    return monitor.cosines(monitor.over([p.where(F.col("vec_id") % 3 == b) for b in range(3)])).select("a", "b", _round("distance").alias("distance"))
+
+
 @query(
     f"""with {fx.CENTROIDS}, near as (select c.id as centroid, p.vec_id, row_number() over (partition by c.id order by list_distance(p.features, c.features), p.vec_id) as r from patch p, centroid c),
     u as (select vec_id, list_transform(features, lambda v: v / sqrt(list_dot_product(features, features))) as f from patch),
