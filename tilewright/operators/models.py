@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tilewright.functions import orientation
 from tilewright.functions.pixels import word_histograms
 from tilewright.functions.vectors import dot
 from tilewright.operators import minibatch
@@ -78,8 +80,8 @@ def encoded(images: DataFrame, encoder: Callable[[], Callable[[np.ndarray], np.n
 
 
 def features(images: DataFrame, method: str, **given: object) -> DataFrame:
-    """images with their features, by the method's name: words (a histogram of visual words; words=, size=, compat=) or encoder (encoder=, shape=)."""
-    methods = {"words": word_counts, "encoder": encoded}
+    """images with their features, by the method's name: words (a histogram of visual words; words=, size=, compat=), orientation (the same of orientation descriptors) or encoder (encoder=, shape=)."""
+    methods = {"words": word_counts, "orientation": partial(word_counts, cut=descriptor_rows()), "encoder": encoded}
     if method not in methods:
         raise ValueError(f"unknown method {method}; there are {', '.join(methods)}")
     return methods[method](images, **given)
@@ -110,37 +112,76 @@ def windows(image: np.ndarray, size: int = 8) -> np.ndarray:
     return np.moveaxis(view, 2, -1).reshape(-1, size * size * image.shape[2]) if image.ndim == 3 else view.reshape(-1, size * size)
 
 
-def visual_words(images: DataFrame, n_words: int, size: int = 8, seed: int = 7, every: int = 50, batches: int | None = None) -> DataFrame:
-    """(id, features): words from all windows of every so many-th image (by a hash of id); with batches, by mini-batch k-means over so many batches of those images, the windows of an image all in one."""
+#: What an image (height, width, channels, from -1 to 1) is cut into: arrays of rows, some at a time.
+Cut = Callable[[np.ndarray], Iterator[np.ndarray]]
+
+
+def window_rows(size: int) -> Cut:
+    """All windows, 4,096 at a time."""
+
+    def cut(image: np.ndarray) -> Iterator[np.ndarray]:
+        rows = windows(image, size)
+        return (rows[at : at + 4096] for at in range(0, len(rows), 4096))
+
+    return cut
+
+
+def descriptor_rows(**given: int) -> Cut:
+    """Orientation descriptors of all places (see functions.orientation)."""
+    return lambda image: orientation.strips(image, **given)
+
+
+def _image(r: object) -> np.ndarray:
+    """A row's pixels from -1 to 1."""
+    flat = np.array(r.pixels, float) / 127.5 - 1
+    channels = max(1, flat.size // max(1, r.height * r.width))
+    return flat.reshape(r.height, r.width, channels) if channels > 1 else flat.reshape(r.height, r.width)
+
+
+def visual_words(images: DataFrame, n_words: int, size: int = 8, seed: int = 7, every: int = 50, batches: int | None = None, cut: Cut | None = None) -> DataFrame:
+    """(id, features): words from all windows (or what cut makes) of every so many-th image (by a hash of id); with batches, by mini-batch k-means over so many batches of those images, the windows of an image all in one."""
     sampled = images.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(every)) == 0).withColumn("batch", F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(batches or 1)))
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    own = cut or window_rows(size)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for r in part.itertuples():
-                rows = windows(np.array(r.pixels, float).reshape(r.height, r.width), size) / 127.5 - 1
-                for at in range(0, len(rows), 4096):
-                    yield pd.DataFrame({"batch": r.batch, "features": rows[at : at + 4096].tolist()})
+                for rows in own(_image(r)):
+                    yield pd.DataFrame({"batch": r.batch, "features": rows.tolist()})
 
-    rows = sampled.select("batch", "height", "width", "pixels").mapInPandas(cut, "batch bigint, features array<double>")
+    rows = sampled.select("batch", "height", "width", "pixels").mapInPandas(run, "batch bigint, features array<double>")
     if batches is None:
         return clustered(rows.select("features"), n_words, seed)[1]
     return minibatch.fit(rows, minibatch.initial(rows, n_words, seed), "batch").select(F.col("id").cast("int").alias("id"), "features")
 
 
-def word_counts(images: DataFrame, words: DataFrame, size: int = 8, compat: bool = False) -> DataFrame:
-    """(id, histogram) of each image (id, height, width, pixels): its windows' nearest words, counted. The words are few and are sent to all."""
+def word_counts(images: DataFrame, words: DataFrame, size: int = 8, compat: bool = False, cut: Cut | None = None) -> DataFrame:
+    """(id, histogram) of each image (id, height, width, pixels): the nearest words of its windows (or of what cut makes), counted. The words are few and are sent to all."""
     table = np.array([r.features for r in words.orderBy("id").collect()], float)
-    sent = images.sparkSession.sparkContext.broadcast(table)
+    sent, own = images.sparkSession.sparkContext.broadcast(table), cut or window_rows(size)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = sent.value
+        known = sent.value
+        bound = (known * known).sum(1)
         for batch in batches:
             of = []
             for r in batch.itertuples():
-                rows = windows(np.array(r.pixels, float).reshape(r.height, r.width), size) / 127.5 - 1
-                near = [((rows[a : a + 4096, None] - own[None]) ** 2).sum(2).argmin(1) for a in range(0, len(rows), 4096)]
-                of.append(np.concatenate(near).tolist())
+                near = [nearest_words(rows, known, bound) for rows in own(_image(r))]
+                of.append(np.concatenate(near).tolist() if near else [])
             yield pd.DataFrame({"id": batch["id"], "words": of})
 
     found = images.select("id", "height", "width", "pixels").mapInPandas(count, f"id {dict(images.dtypes)['id']}, words array<int>")
     return word_histograms(found.select("id", F.explode("words").alias("word")), "id", n_words=len(table), compat=compat)
+
+
+def nearest_words(rows: np.ndarray, words: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Each row's nearest word, the first of equals: a product finds those that may be, and where several are as near as rounding can tell, distances decide."""
+    near = bound - 2 * (rows @ words.T)
+    edge = near.min(1) + 16 * (rows.shape[1] + 8) * np.finfo(float).eps * ((rows * rows).sum(1) + bound.max())
+    close = near <= edge[:, None]
+    at = close.argmax(1)
+    for i in np.flatnonzero(close.sum(1) > 1):
+        few = np.flatnonzero(close[i])
+        at[i] = few[((rows[i] - words[few]) ** 2).sum(1).argmin()]
+    return at
