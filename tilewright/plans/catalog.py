@@ -764,6 +764,23 @@ def minibatch_clusters(spark: SparkSession, d: str) -> DataFrame:
     return minibatch.predict(own, state).select("slide", "n", "label", _round("d").alias("d"))
 
 
+@query(
+    """with img as (select vec_id as id, list_transform(embedding, lambda v: floor((v::double + 1) * 127)::int) as px from embeddings),
+    win as (select id, i, j, list_transform(range(0, 16), lambda k: px[(i + k // 4) * 8 + j + k % 4 + 1] / 127.5::double - 1) as w from img, (select unnest(range(0, 5)) as i) a, (select unnest(range(0, 5)) as j) b),
+    word as (select id as word, list_transform(w, lambda v, k: v + 0.0131::double * id + 0.0071::double * k) as c from win where id < 6 and i = 0 and j = 0), d as (select win.id, i, j, list(list_distance(w, c) order by word) as far from win, word group by 1, 2, 3),
+    n as (select id, list_position(far, list_min(far)) - 1 as word, count(*) as n from d group by 1, 2)
+    select img.id, array_to_string(list(coalesce(n.n, 0)::varchar order by word.word), ',') as histogram from img cross join word left join n on n.id = img.id and n.word = word.word group by 1"""
+)
+def window_word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Histograms of the nearest words of all windows of pictures of 8 x 8 pixels, each made of a vector."""
+    shades = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 127).cast("int"))
+    images = fx.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("height"), F.lit(8).alias("width"), shades.alias("pixels"))
+    # The words are windows moved a little, so that none is as near to a window of whole numbers as another.
+    corner = F.array(*(F.get("pixels", F.lit(8 * (k // 4) + k % 4)) / 127.5 - 1 + 0.0131 * F.col("id") + 0.0071 * (k + 1) for k in range(16)))
+    words = images.where("id < 6").select(F.col("id").cast("int").alias("id"), corner.alias("features"))
+    return models.features(images, "words", words=words, size=4).select("id", F.array_join("histogram", ",").alias("histogram"))
+
+
 # Sinks
 
 
