@@ -91,6 +91,20 @@ def test_op10(spark, sf_dir, documents):
     assert load.max() <= max(1.02 * load.mean(), largest + 8) and load.min() >= 0.97 * load.mean()
 
 
+def test_op10_balances_jointly(spark):
+    """Bytes, tokens and rows of the shards over their means, where no text is a shard's size; bounds beside what README measures."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    shard = {r.doc_id: r.shard for r in QUERIES["op10_sharding"](spark, "/root/testdata/sf0.01").collect()}
+    load = np.zeros((24, 3))
+    for r in docs:
+        text = r.text or ""
+        load[shard[r.doc_id]] += len(text.encode()) + 8, len(re.findall(r"[^\x20\x09-\x0D]+", text)), 1
+    share = load / load.mean(0)
+    assert (share.max(0) <= [1.01, 1.05, 1.15]).all() and (share.min(0) >= [0.99, 0.95, 0.85]).all(), share
+
+
 @pytest.mark.parametrize(("name", "label", "folds", "held", "least"), [("op1_quality", "quality", 3, 1, 0.95), ("op3_toxicity", "toxic", 5, 0, 0.9)])
 def test_classifiers(spark, duck, name, label, folds, held, least):
     """At a scale that has enough labels; accuracy on rows that weren't learnt from."""
