@@ -132,6 +132,3 @@ def tree(spark: SparkSession, shift: float = 0.0) -> DataFrame:
     from tilewright.operators.tree import TREE
 
     return spark.createDataFrame(rows, TREE)
-
-
-TREE_SQL = "tree(node, l, r, population) as (values " + ", ".join(f"({n}, {a if a is not None else 'null'}, {b if b is not None else 'null'}, {p})" for n, a, b, p in TREE_ROWS) + ")"
