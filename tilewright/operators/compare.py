@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.operators._tables import written
+
 
 def cluster_sizes(rows: DataFrame, label: str = "c1") -> DataFrame:
     """(cluster, n) for 0 to the largest label, empty ones included."""
@@ -24,8 +26,8 @@ def contingency(pairs: DataFrame) -> DataFrame:
 
 def overlap(pairs: DataFrame, dense: bool = True) -> DataFrame:
     """(a, b, n, of_union, of_a, of_b): shared tiles of each two clusters, and their percentages; null where a cluster is empty. dense: every pair of labels up to the largest is there, which is a grid of labels; else those that share tiles."""
-    # The tiles are counted once: all that follows reads the small table of clusters, whose exchange Spark shares.
-    cells = contingency(pairs)
+    # Written, so that the tiles are counted once: all that follows reads the small table of clusters.
+    cells = written(contingency(pairs), "cells")
     n_a, n_b = (cells.groupBy(c).agg(F.sum("n").alias(f"n_{c}")) for c in "ab")
     if dense:
         top = cells.agg(F.max(F.greatest("a", "b")).alias("top")).where("top is not null")
