@@ -167,3 +167,26 @@ def test_similarity_of_deep_trees_ends(spark):
         return 0.5 * sum(score(i, j) for i, j in pairs)
 
     assert trees.similarity(t, t, at, at).first().score == pytest.approx(score(at, at), rel=1e-14)
+
+
+def test_export_plan_asks_only_nodes_with_a_quota(spark, monkeypatch):
+    """On a chain the leaves of all inner nodes grow with its square; those of nodes that have a quota don't."""
+    from hashlib import md5
+
+    from tilewright.operators import samples
+
+    n, most = 150, 12
+    segments = spark.createDataFrame([(i, "s", [float(i)]) for i in range(n)], SEGMENTS)
+    tree = trees.concept_tree(spark.createDataFrame([(i, i + 1, float(i)) for i in range(n - 1)], FOREST), segments).cache()
+    members = [(i, "s", x, i) for i in range(n) for x in range(1 + i % 9)]
+    asked, under = [], trees.leaves_under
+    monkeypatch.setattr(trees, "leaves_under", lambda *a: asked.append(under(*a)) or asked[-1])
+    df = spark.createDataFrame(members, "global_id bigint, slide string, x int, y int")
+    got = sorted(tuple(r) for r in samples.tree_export_plan(tree, df, most).collect())
+    places = {i: sorted((md5(f"s-{x}-{i}-7".encode()).hexdigest(), "s", x, i) for x in range(1 + i % 9)) for i in range(n)}
+    # The k-th merge, n + k, has the leaves 0 to k + 1.
+    want = sorted((n + k, i, *p[1:]) for k in range(n - 1) for i in range(k + 2) for p in places[i][: most // (k + 2)])
+    assert got == want
+    assert asked[0].count() == sum(range(2, most + 1))
+    every = under(tree, tree.where("left is not null").select("node"))
+    assert sorted(tuple(r) for r in samples.export_plan(every, df, most).collect()) == want

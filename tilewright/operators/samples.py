@@ -104,8 +104,16 @@ def one_hot(label: object, classes: int) -> object:
 
 
 def export_plan(leaves: DataFrame, members: DataFrame, most: int, seed: int = 7) -> DataFrame:
-    """(node, slide, x, y): for each node of leaves (node, leaf) at most int(most / leaves of that node) random positions of each of its leaves; members: (global_id, slide, x, y)."""
-    quota = leaves.groupBy("node").agg(F.floor(F.lit(most) / F.count(F.lit(1))).alias("quota"))
-    placed = leaves.join(members, F.col("leaf") == F.col("global_id"))
-    at = Window.partitionBy("node", "leaf").orderBy(random_key(["slide", "x", "y"], seed), "slide", "x", "y")
-    return placed.withColumn("_at", F.row_number().over(at)).join(quota, "node").where("_at <= quota").select("node", "leaf", "slide", "x", "y")
+    """(node, leaf, slide, x, y): for each node of leaves (node, leaf) at most int(most / leaves of that node) random positions of each of its leaves; members: (global_id, slide, x, y). A node of more than `most` leaves has none, so its leaves meet no members; a leaf's order is the same under every node, so its members are put in order once."""
+    quota = leaves.groupBy("node").agg(F.floor(F.lit(most) / F.count(F.lit(1))).alias("quota")).where("quota > 0")
+    at = Window.partitionBy("global_id").orderBy(random_key(["slide", "x", "y"], seed), "slide", "x", "y")
+    first = members.withColumn("_at", F.row_number().over(at)).where(F.col("_at") <= most).select(F.col("global_id").alias("leaf"), "slide", "x", "y", "_at")
+    return leaves.join(quota, "node").join(first, "leaf").where("_at <= quota").select("node", "leaf", "slide", "x", "y")
+
+
+def tree_export_plan(tree: DataFrame, members: DataFrame, most: int, seed: int = 7) -> DataFrame:
+    """As export_plan(), for all inner nodes of a tree: those whose population leaves each leaf a position are asked for their leaves, at most `most` rows a node, and not the long intervals above them, whose quota is 0."""
+    from tilewright.operators.tree import leaves_under
+
+    asked = tree.where(F.col("left").isNotNull() & (F.col("population") <= most)).select("node")
+    return export_plan(leaves_under(tree, asked), members, most, seed)

@@ -626,10 +626,9 @@ def tree_similarity(spark: SparkSession, d: str) -> DataFrame:
 )
 def concept_export_plan(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
-    leaves = trees.leaves_under(t, t.where("left is not null").select("node"))
     stack = _segments(spark, d).select("slide", F.col("in_slide_id").alias("label"), F.col("global_id").cast("long").alias("global_id"))
     members = fx.patches(spark, d).join(stack, ["slide", "label"]).select("global_id", "slide", "x", "y")
-    return samples.export_plan(leaves, members, 40).select("node", "leaf", "slide", "x", "y")
+    return samples.tree_export_plan(t, members, 40).select("node", "leaf", "slide", "x", "y")
 
 
 # Consensus
