@@ -28,6 +28,34 @@ def test_word_histogram(spark):
     assert len(fixed) == 256 and (fixed[0], fixed[255], sum(fixed)) == (1, 2, 3)
 
 
+def test_word_histogram_of_words_beyond_the_bins(spark):
+    found = histogram(spark, [0, 255, 256, 300, -1, None, 255])
+    assert len(found) == 256 and (found[0], found[255], sum(found)) == (1, 2, 3)
+    assert histogram(spark, [None, 300]) == [0] * 256
+    assert histogram(spark, [5, None, 300], compat=True) == [1, *[0] * 253, 1]
+
+
+def test_word_histograms_hold_few_rows(spark):
+    """No stage holds a row a word and key: words are counted sixteen a row, and no bin is a row of its own."""
+    words = spark.range(40 * 512).selectExpr("id div 512 as image", "cast(id % 256 as int) as word")
+    for compat in (False, True):
+        made = pixels.word_histograms(words, "image", compat=compat)
+        assert {tuple(r.histogram) for r in made.collect()} == {(2,) * 254 + (4,) if compat else (2,) * 256}
+        text = made._jdf.queryExecution().executedPlan()
+        held, left = [], [text]
+        while left:
+            node = left.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                left.append(node.executedPlan())
+                continue
+            if node.nodeName().endswith("QueryStage"):
+                left.append(node.plan())
+            if node.nodeName() == "Exchange":
+                held.append(node.metrics().apply("shuffleRecordsWritten").value())
+            left += [node.children().apply(i) for i in range(node.children().size())]
+        assert held and max(held) <= 40 * 16 * 4
+
+
 def test_word_histogram_as_numpy(spark):
     random = np.random.default_rng(3)
     for _ in range(3):

@@ -38,18 +38,30 @@ def stained(values: Column, first_bin: int = STAIN_BIN, more_than: int = STAIN_C
     return F.size(F.filter(values, lambda v: (v >= low) & (v <= 1))) > more_than
 
 
+#: Words whose counts are one row.
+RUN = 16
+
+
+def _runs(rows: DataFrame, key: str, n: Column) -> DataFrame:
+    """(key, run, counts, a, b) of rows (key, w): how often (n a row) each of RUN consecutive words is there, and the least and largest. A row for RUN words, so that what tasks hold is a small part of a row a word."""
+    counts = F.array(*(F.coalesce(F.sum(F.when(F.pmod("w", F.lit(RUN)) == i, n)), F.lit(0).cast("long")) for i in range(RUN)))
+    return rows.groupBy(key, F.floor(F.col("w") / RUN).alias("run")).agg(counts.alias("counts"), F.min("w").alias("a"), F.max("w").alias("b"))
+
+
 def word_histograms(words: DataFrame, key: str, word: str = "word", n_words: int = 256, compat: bool = False) -> DataFrame:
-    """(key, histogram) from a row a visual word. One bin a word; with compat, n_words - 1 equal bins between a key's own least and largest word, edges as numpy has them. Words are counted by partial aggregates first, so a key of any size is at most n_words rows."""
-    counts = words.groupBy(key, F.col(word).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    """(key, histogram) from a row a visual word, a whole number. One bin a word from 0; with compat, n_words - 1 equal bins between a key's own least and largest word, edges as numpy has them. Words beyond the bins, and null, aren't counted. Words are counted by partial aggregates, RUN of them a row, so a key of any size is at most n_words / RUN rows."""
+    runs = _runs(words.select(key, F.col(word).cast("long").alias("w")), key, F.lit(1))
     bins = n_words - 1 if compat else n_words
     if compat:
-        ends = counts.groupBy(key).agg(F.min("w").cast("double").alias("a"), F.max("w").cast("double").alias("b"))
+        ends = runs.groupBy(key).agg(F.min("a").cast("double").alias("a"), F.max("b").cast("double").alias("b"))
         ends = ends.selectExpr(key, "if(a = b, a - 0.5, a) as lo", "if(a = b, b + 0.5, b) as hi").selectExpr("*", f"(hi - lo) / {bins} as step")
-        guess = counts.join(ends, key).selectExpr("*", f"least(cast(floor((w - lo) / (hi - lo) * {bins}) as int), {bins - 1}) as i")
+        held = F.filter(F.transform("counts", lambda n, i: F.struct((F.col("run") * RUN + i).alias("w"), n.alias("n"))), lambda x: x["n"] > 0)
+        counts = runs.join(ends, key).select(key, "lo", "hi", "step", F.explode_outer(held).alias("x")).select(key, "lo", "hi", "step", "x.w", "x.n")
+        guess = counts.selectExpr("*", f"least(cast(floor((w - lo) / (hi - lo) * {bins}) as int), {bins - 1}) as i")
         down = guess.selectExpr("*", "i - if(w < i * step + lo, 1, 0) as j")
-        counts = down.selectExpr(key, f"j + if(j < {bins - 1} and w >= (j + 1) * step + lo, 1, 0) as w", "n")
-        counts = counts.groupBy(key, "w").agg(F.sum("n").alias("n"))
-    # A bin that no word is in has a row of its own, so that a key's counts, in order, are its histogram.
-    every = counts.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("w"), F.lit(0).cast("long").alias("n"))
-    full = counts.select(key, F.col("w").cast("int").alias("w"), "n").unionByName(every).groupBy(key, "w").agg(F.sum("n").alias("n"))
-    return full.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("w", "n"))).alias("m")).select(key, F.transform("m", lambda x: x["n"]).alias("histogram"))
+        runs = _runs(down.selectExpr(key, f"j + if(j < {bins - 1} and w >= (j + 1) * step + lo, 1, 0) as w", "n"), key, F.col("n"))
+    own = F.when(F.col("run").between(0, (bins - 1) // RUN), F.struct("run", "counts"))
+    whole = runs.groupBy(key).agg(F.map_from_entries(F.collect_list(own)).alias("m"))
+    none = F.array(*[F.lit(0).cast("long")] * RUN)
+    every = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit((bins - 1) // RUN).cast("long")), lambda r: F.coalesce(F.try_element_at("m", r), none)))
+    return whole.select(key, F.slice(every, 1, bins).alias("histogram"))
