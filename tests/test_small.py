@@ -387,6 +387,18 @@ def test_consensus_of_odd_runs(spark, monkeypatch, side):
     assert "Exchange" not in plan[: plan.index("MapInArrow")]
 
 
+def test_consensus_matrix_rounds_once_for_two_items(spark, sf_dir):
+    """Rounding takes longer than spelling a pair out, so it isn't done for each pair."""
+    from tilewright.operators import consensus
+    from tilewright.plans import catalog
+
+    given = _odd_runs()
+    df = spark.createDataFrame(given, "k int, run int, id bigint, label string")
+    assert {(r.k, r.i, r.j): r.m for r in consensus.consensus_matrix(df, 3).collect()} == {x: round(m, 3) for x, m in _brute_matrix(given).items()}
+    plan = catalog.consensus_matrix(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and "round(" not in plan[: plan.index("Generate explode(a#")]
+
+
 @pytest.mark.parametrize("side", [7, 2048])
 def test_consensus_shares_of_odd_runs(spark, monkeypatch, side):
     from collections import Counter
