@@ -35,6 +35,34 @@ def test_in_cells(spark, monkeypatch, cell, fan):
     assert all(r.w == pytest.approx(want[r.a, r.b], abs=1e-12) for r in got)
 
 
+def test_what_a_portion_sends_on_is_bounded(spark, monkeypatch):
+    """A portion's kinds times the cells below, to each of which they may go with their vectors."""
+    monkeypatch.setattr(neighbours, "ASKED", 2048, raising=False)
+    dealt, levels, portions, elsewhere = [], [], neighbours._portions, neighbours._elsewhere
+
+    def kept(*a):
+        out = portions(*a)
+        dealt.append(out[0])
+        return out
+
+    def watched(asked, below, leaves, k):
+        levels.extend(below)
+        dealt.clear()
+        return elsewhere(asked, below, leaves, k)
+
+    monkeypatch.setattr(neighbours, "_portions", kept)
+    monkeypatch.setattr(neighbours, "_elsewhere", watched)
+    x = np.random.default_rng(5).normal(size=(1500, 8))
+    points = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = neighbours.knn_edges(spark.createDataFrame(points, POINTS), 4, 60, 200)
+    assert {(r.a, r.b) for r in got.collect()} == set(brute(points, 4))
+    assert levels
+    for rows, level in zip(dealt, levels, strict=False):
+        fans = level.groupBy(F.col("parent").alias("cell")).agg(F.count(F.lit(1)).alias("fan"))
+        most = rows.groupBy("cell", "portion").agg(F.count(F.lit(1)).alias("n")).join(fans, "cell").agg(F.max(F.col("n") * F.col("fan"))).first()[0]
+        assert most <= 2 * 2048
+
+
 def test_odd_points(spark):
     assert neighbours.knn_edges(spark.createDataFrame([], POINTS)).collect() == []
     assert neighbours.knn_edges(spark.createDataFrame([(1, [0.0])], POINTS)).collect() == []

@@ -11,7 +11,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions.vectors import distance
@@ -19,7 +19,9 @@ from tilewright.operators._numbering import numbered
 from tilewright.operators._tables import written
 
 #: Kinds of a cell, at most; pivots of a cell, about at most; kinds of a portion; and distances that a task works out at once.
-CELL, FAN, PORTION, AT_ONCE = 2048, 256, 8192, 1 << 17
+CELL, FAN, PORTION, AT_ONCE = 2048, 256, 8192, 1 << 15
+#: Kinds times cells below, of a portion that goes down a level: each may go to each, with its vector.
+ASKED = 1 << 15
 FAR = np.iinfo(np.int64).max
 
 
@@ -52,9 +54,9 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float)
 
 
-def _portions(rows: DataFrame, counts: DataFrame, cell: str) -> tuple[DataFrame, DataFrame]:
-    """rows dealt out within their cell, in portions, and (cell, portions)."""
-    many = counts.select(cell, F.ceil(F.col("n") / PORTION).cast("int").alias("portions"))
+def _portions(rows: DataFrame, counts: DataFrame, cell: str, most: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows dealt out within their cell, in portions of about PORTION, or most, and (cell, portions)."""
+    many = counts.select(cell, F.ceil(F.col("n") / (F.lit(PORTION) if most is None else most)).cast("int").alias("portions"))
     return rows.join(many, cell).withColumn("portion", F.pmod(F.xxhash64("id"), F.col("portions")).cast("int")).drop("portions"), many
 
 
@@ -160,7 +162,10 @@ def _elsewhere(asked: DataFrame, levels: list[DataFrame], leaves: DataFrame, k:
     front = asked.select("id", "features", "reach", F.col("cell").alias("own"), F.lit(0).cast("long").alias("cell"))
     ends = []
     for level in levels:
-        dealt, many = _portions(front, front.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell")
+        # What a portion sends on is bounded, however many cells there are below.
+        fans = level.groupBy(F.col("parent").alias("cell")).agg(F.count(F.lit(1)).alias("fan"))
+        counts = front.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(fans, "cell")
+        dealt, many = _portions(front, counts, "cell", F.least(F.lit(PORTION), F.ceil(F.lit(ASKED) / F.col("fan"))))
         sent = _given_to_all(level.select(F.col("parent").alias("cell"), F.col("cell").alias("to"), F.col("features").alias("pivot"), "radius"), many, "cell")
 
         def go(rows: pd.DataFrame, around: pd.DataFrame) -> pd.DataFrame:
