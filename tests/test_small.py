@@ -399,6 +399,55 @@ def test_consensus_matrix_rounds_once_for_two_items(spark, sf_dir):
     assert "round(" in plan and "round(" not in plan[: plan.index("Generate explode(a#")]
 
 
+def test_consensus_blocks_get_wider_beyond_a_number(spark, monkeypatch):
+    """A block is copied to all others: were they ever more, copies would grow with the square of the ids."""
+    from tilewright.operators import consensus
+
+    for name, value in (("SIDE", 2), ("BLOCKS", 3), ("WIDEST", 60)):
+        monkeypatch.setattr(consensus, name, value, raising=False)
+    asked, pairs = [], consensus._block_pairs
+    monkeypatch.setattr(consensus, "_block_pairs", lambda items, n: asked.append(n) or pairs(items, n))
+    given = _odd_runs()
+    df = spark.createDataFrame(given, "k int, run int, id bigint, label string").repartition(3)
+    assert {(r.k, r.i, r.j): r.m for r in consensus.consensus_matrix(df).collect()} == _brute_matrix(given) and asked == [3]
+    consensus.consensus_shares(df).collect()
+    assert asked[1] <= 3
+    assert [consensus._many(n) for n in (0, 1, 5, 180, 181)] == [1, 1, 3, 3, 4]
+
+
+def test_consensus_matrix_takes_little_disk(spark, tmp_path):
+    """Pairs come in an order that Parquet encodes well, so that the written matrix isn't a byte or more a pair."""
+    from tilewright.operators import consensus
+
+    runs = spark.range(3000).selectExpr("2 as k", "explode(sequence(0, 2)) as run", "id").selectExpr("k", "run", "id", "pmod(xxhash64(id, if(pmod(xxhash64(id, run, 1), 7) = 0, run, 9)), 8) as label")
+    consensus.consensus_matrix(runs, 6).write.parquet(str(tmp_path / "m"))
+    made = spark.read.parquet(str(tmp_path / "m"))
+    got = made.count()
+    assert got > 500_000 and made.where("i < j").select("i", "j").distinct().count() == got
+    assert sum(f.stat().st_size for f in (tmp_path / "m").glob("*.parquet")) < 0.6 * got
+
+
+@pytest.mark.parametrize(("run", "batch"), [(16, 40), (8, 1), (512, 1 << 19)])
+def test_consensus_runs_spell_each_pair_once(monkeypatch, run, batch):
+    import pyarrow as pa
+
+    from tilewright.operators import consensus
+
+    monkeypatch.setattr(consensus, "RUN", run)
+    monkeypatch.setattr(consensus, "BATCH", batch)
+    random = np.random.default_rng(4)
+    left, right = ([[f"{c}{i}.{n}" for n in range(random.integers(1, 45))] for i in range(9)] for c in "ab")
+    p, q = np.nonzero(random.random((9, 9)) < 0.6)
+    m = random.integers(1, 4, len(p)) / 3
+    parts = list(consensus._runs(pa.array(left), pa.array(right), p, q, m))
+    got = [(a, b, v) for some in parts for x, y, v in zip(some[0].to_pylist(), some[1].to_pylist(), some[2].tolist(), strict=True) for a in x for b in y]
+    assert sorted(got) == sorted((a, b, v) for i, j, v in zip(p, q, m.tolist(), strict=True) for a in left[i] for b in right[j])
+    assert all(0 < len(y) <= run and (len(y) < 8 or len(y) % 8 == 0) for some in parts for y in some[1].to_pylist())
+    assert len(parts) == 2 if batch > 1 << 18 else len(parts) > 5
+    none = np.zeros(0, np.int64)
+    assert not list(consensus._runs(pa.array(left), pa.array(right), none, none, none / 1.0))
+
+
 @pytest.mark.parametrize("side", [7, 2048])
 def test_consensus_shares_of_odd_runs(spark, monkeypatch, side):
     from collections import Counter
